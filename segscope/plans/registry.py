@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import q_pareto
+    from . import q_clean, q_pareto
     out = {}
-    for mod in (q_pareto,):
+    for mod in (q_pareto, q_clean):
         out.update(mod.QUERIES)
     return out
