@@ -91,3 +91,9 @@ def fmt_pct(c, digits: int = 1) -> Column:
 def noise_last(c) -> Column:
     """W5 sort key: regular clusters ascending, noise (-1) last."""
     return (col_(c).cast("long") == -1)
+
+
+def literal_rows(names: list[str], *rows) -> Column:
+    """array<struct> of rows given as lists of Columns, fields named ``names``;
+    ``inline`` turns it into rows."""
+    return F.array(*[F.struct(*[c.alias(n) for c, n in zip(r, names)]) for r in rows])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from functools import reduce
 
-from ..functions.columns import nan_to_null, ratio_pct, rnd
+from ..functions.columns import literal_rows, nan_to_null, ratio_pct, rnd
 from .rank import average_rank, ranked
 
 
@@ -26,12 +26,6 @@ def zip_rows(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def literal_rows(names: list[str], *rows) -> "F.Column":
-    """array<struct> of rows given as lists of Columns, fields named ``names``;
-    ``inline`` turns it into rows."""
-    return F.array(*[F.struct(*[c.alias(n) for c, n in zip(r, names)]) for r in rows])
-
-
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
