@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from . import q_clean, q_pareto, q_profile
+    from . import q_clean, q_cluster, q_pareto, q_profile
     out = {}
-    for mod in (q_pareto, q_clean, q_profile):
+    for mod in (q_pareto, q_clean, q_profile, q_cluster):
         out.update(mod.QUERIES)
     return out
