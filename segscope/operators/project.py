@@ -12,33 +12,84 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import as_array
 
 
-def project(df: DataFrame, features: str, dim: int = 2, prefix: str = "p2_", method: str = "pca") -> DataFrame:
-    """Coordinates ``{prefix}1..{prefix}dim`` (2 or 3) from a PCA fit.
-    Input features are centred first (PCA on the covariance)."""
+RP_DIM = 32
+
+
+def _rp_fn(col: str, width: int, dim: int, seed: int):
+    """Arrow kernel: x -> x @ R with a seeded Gaussian R (width x dim, bounded),
+    for dense arrays and for ML vectors (sparse rows use only their non-zeros)."""
+    R = np.random.default_rng(seed).standard_normal((width, dim)) / np.sqrt(dim)
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            m = b.num_rows
+            if m == 0:
+                continue
+            c = b.column(b.schema.get_field_index(col))
+            if pa.types.is_struct(c.type):  # ML vector: type (0 sparse, 1 dense), size, indices, values
+                kinds = c.field("type").to_numpy(zero_copy_only=False)
+                vals = c.field("values")
+                idx = c.field("indices")
+                out = np.zeros((m, dim))
+                for i in range(m):
+                    v = np.asarray(vals[i].values.to_numpy(zero_copy_only=False), dtype=np.float64)
+                    if kinds[i] == 0:
+                        ii = np.asarray(idx[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
+                        out[i] = v @ R[ii] if len(ii) else 0.0
+                    else:
+                        out[i] = v @ R
+            else:
+                X = np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(m, -1)
+                out = X @ R
+            arrays = list(b.columns) + [pa.array(list(out), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(b.schema.names) + ["_rp"])
+    return run
+
+
+def _width(df: DataFrame, col: str) -> int:
+    from pyspark.ml.linalg import VectorUDT
+    if isinstance(df.schema[col].dataType, VectorUDT):
+        return int(df.select(F.col(col)).first()[0].size)
+    return len(df.select(col).first()[0])
+
+
+def project(df: DataFrame, features: str, dim: int = 2, prefix: str = "p2_", method: str = "pca",
+            seed: int = 42) -> DataFrame:
+    """Coordinates ``{prefix}1..{prefix}dim`` (2 or 3) from a PCA fit on
+    centred features. Wide inputs (more than 64 dimensions, e.g. TF-IDF) are
+    first mapped to 32 dimensions by a seeded Gaussian random projection
+    (distances kept up to a small factor), so the PCA state stays 32 x 32."""
+    from pyspark.ml.stat import Summarizer
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     if dim not in (2, 3):
         raise ValueError("dim must be 2 or 3")
     if method != "pca":
         raise ValueError("only the linear (pca) projection is provided")
-    d = as_array(df, features)
-    width = len(d.select("_x").first()[0])
+    width = _width(df, features)
+    if width > 64:
+        fields = list(df.schema.fields) + [StructField("_rp", ArrayType(DoubleType()), False)]
+        d = df.mapInArrow(_rp_fn(features, width, RP_DIM, seed), StructType(fields))
+        d = d.withColumn("_x", F.col("_rp")).drop("_rp")
+        width = RP_DIM
+    else:
+        d = as_array(df, features)
     k = min(dim, width)
-    mean = d.select(F.posexplode("_x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).orderBy("pos").collect()
-    mu = [r["m"] for r in mean]
-    from pyspark.ml.functions import array_to_vector
+    mu = d.select(Summarizer.mean(array_to_vector("_x")).alias("m")).first()["m"].toArray()
     centred = d.withColumn("_cx", array_to_vector(F.zip_with("_x", F.array(*[F.lit(float(m)) for m in mu]),
                                                              lambda a, b: a - b)))
     model = PCA(k=k, inputCol="_cx", outputCol="_pc").fit(centred)
     pc = model.pc.toArray()
     signs = np.where(pc[np.abs(pc).argmax(0), range(k)] < 0, -1.0, 1.0)
-    fixed = DenseMatrix(pc.shape[0], k, (pc * signs).flatten(order="F").tolist())
-    proj = F.array(*[F.aggregate(F.zip_with(vector_to_array("_cx"), F.array(*[F.lit(float(v)) for v in fixed.toArray()[:, j]]),
+    fixed = pc * signs
+    proj = F.array(*[F.aggregate(F.zip_with(vector_to_array("_cx"), F.array(*[F.lit(float(v)) for v in fixed[:, j]]),
                                             lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
                      for j in range(k)])
     out = centred.withColumn("_p", proj)
