@@ -3,84 +3,151 @@
 ``Window.orderBy(...)`` with no partition moves every row into one task. The
 scale form used here:
 
-1. ``repartitionByRange(B, order)`` cuts the total order into B contiguous
-   ranges (sampled bounds, binary search in the JVM). Ties on the value are
-   split by the tie-break keys, so a hot value still spreads over many tasks.
-2. Inside each range, rows are sorted and an Arrow batch function computes the
-   local row number and the local running sum (vectorised numpy).
-3. Per-range counts and sums (at most B rows) give the offsets; they are joined
-   back by broadcast (size bounded by B).
-
-The range shuffle is an explicit ``repartitionByRange(B, ...)`` so adaptive
-execution never coalesces it, and both branches read the same exchange; range
-ids therefore agree. DECIMAL sums are exact (unscaled 64-bit integers with an
-overflow fallback to Python integers); double sums are sequential within a
-range, as a plain cumulative sum would be.
+1. A bounded sample of the sort keys (about 64 rows per bucket) is read on the
+   driver and cut into B contiguous key ranges (bucket boundaries). Ties on
+   the value are split by the tie-break keys, so a hot value still spreads
+   over many buckets.
+2. Each row's bucket is a pure function of its sort key and the boundaries
+   (vectorised lexicographic search in an Arrow batch function). Nothing
+   depends on partition ids, so any re-execution (lost executor, a plan that
+   evaluates the input twice) gives the same buckets.
+3. A window partitioned by bucket computes the local row number and running
+   sum in the JVM; per-bucket counts and sums (at most B rows) give the
+   offsets, joined back by broadcast (size bounded by B).
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-from itertools import accumulate
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DecimalType, DoubleType, IntegerType, LongType,
-                               StructField, StructType)
+from pyspark.sql.types import (BooleanType, DateType, DecimalType, IntegerType, StringType, StructField,
+                               StructType, TimestampNTZType, TimestampType)
 
-_SAFE = 2 ** 62
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4096
+SAMPLE_PER_BUCKET = 64
 
 
 def _sort_cols(order):
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
 
-def _local_fn(kind: str | None):
-    """Per-range Arrow function: adds _pid, _lrn and (optionally) _lcum."""
-
+def _key_expr(df: DataFrame, c: str):
+    """An exactly comparable stand-in for a sort column: numbers stay numbers
+    (decimals as unscaled integers), times become integers, text stays text."""
+    dt = df.schema[c].dataType
+    col = F.col(c)
+    if isinstance(dt, DecimalType):
+        if dt.precision - dt.scale + dt.scale <= 18:
+            return (col * F.lit(10 ** dt.scale)).cast("long")
+        return col.cast("string")  # very wide decimals: compare as text is wrong; refuse below
+    if isinstance(dt, TimestampType):
+        return F.unix_micros(col)
+    if isinstance(dt, TimestampNTZType):
+        return F.unix_micros(col.cast("timestamp"))
+    if isinstance(dt, DateType):
+        return F.unix_date(col)
+    if isinstance(dt, BooleanType):
+        return col.cast("int")
+    return col
+
+
+def _codes(vals, bnd, asc: bool):
+    """Integer codes that order rows and boundaries together (nulls first when
+    ascending, last when descending, as Spark sorts)."""
+    allv = np.concatenate([vals, bnd])
+    isnull = np.array([v is None or (isinstance(v, float) and math.isnan(v)) for v in allv]) \
+        if allv.dtype == object else np.zeros(len(allv), dtype=bool)
+    filled = allv.copy()
+    if isnull.any():
+        sample = next((v for v in allv if v is not None), 0)
+        filled[isnull] = sample
+    _, inv = np.unique(filled, return_inverse=True)
+    inv = inv.astype(np.int64) + 1
+    inv[isnull] = 0
+    if not asc:
+        inv = -inv
+        inv[isnull] = np.iinfo(np.int64).max
+    return inv
+
+
+def _bucket_fn(keys: list[str], asc: list[bool], bounds: list[tuple]):
+    """Arrow function: _b = number of boundaries <= the row's key."""
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        carry = 0 if kind == "dec" else 0.0
+        nb = len(bounds)
         for b in batches:
             m = b.num_rows
             if m == 0:
                 continue
-            arrays = list(b.columns)
-            names = list(b.schema.names)
-            arrays.append(pa.array(np.full(m, pid, dtype=np.int32)))
-            arrays.append(pa.array(np.arange(seen + 1, seen + m + 1, dtype=np.int64)))
-            names += ["_pid", "_lrn"]
-            seen += m
-            if kind is not None:
-                u = b.column(names.index("_u")).fill_null(0).to_numpy(zero_copy_only=False)
-                if kind == "dec":
-                    u = u.astype(np.int64)
-                    bound = abs(int(carry)) + (int(np.abs(u).max()) * m if m else 0)
-                    if bound < _SAFE:
-                        cum = np.cumsum(u) + np.int64(carry)
-                        carry = int(cum[-1])
-                        out = pa.array(cum, pa.int64()).cast(pa.decimal128(38, 0))
-                    else:
-                        vals = list(accumulate(u.tolist(), initial=int(carry)))[1:]
-                        carry = vals[-1]
-                        out = pa.array([Decimal(v) for v in vals], pa.decimal128(38, 0))
-                else:
-                    u = u.astype(np.float64)
-                    cum = np.cumsum(np.concatenate(([carry], u)))[1:]
-                    carry = float(cum[-1])
-                    out = pa.array(cum, pa.float64())
-                arrays.append(out)
-                names.append("_lcum")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
+            if nb == 0:
+                bucket = np.zeros(m, dtype=np.int32)
+            else:
+                cols = []
+                for j, k in enumerate(keys):
+                    arr = b.column(b.schema.get_field_index(k))
+                    vals = np.array(arr.to_pylist(), dtype=object)
+                    bv = np.array([t[j] for t in bounds], dtype=object)
+                    cols.append(_codes(vals, bv, asc[j]))
+                flag = np.concatenate([np.ones(m, dtype=np.int64), np.zeros(nb, dtype=np.int64)])
+                order = np.lexsort([flag] + cols[::-1])  # primary key last for lexsort
+                is_b = (order >= m)
+                seen = np.cumsum(is_b)
+                bucket_all = np.empty(m + nb, dtype=np.int64)
+                bucket_all[order] = seen
+                bucket = bucket_all[:m].astype(np.int32)
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(bucket)],
+                                             names=list(b.schema.names) + ["_b"])
     return run
 
 
+def _boundaries(work: DataFrame, keys: list[str], asc: list[bool], n: int, B: int, seed: int = 17) -> list[tuple]:
+    if B <= 1 or n == 0:
+        return []
+    target = B * SAMPLE_PER_BUCKET
+    frac = min(1.0, 1.5 * target / n)
+    rows = [tuple(r) for r in work.select(*keys).sample(False, frac, seed).collect()]  # ~target rows
+    if not rows:
+        return []
+
+    def sk(t):  # Spark order: ascending puts NULL first, descending puts NULL last
+        out = []
+        for v, a in zip(t, asc):
+            null = v is None
+            out.append(((not null) if a else null, 0 if null else (v if a else _neg(v))))
+        return tuple(out)
+
+    rows.sort(key=sk)
+    picks = sorted({min(len(rows) - 1, (i * len(rows)) // B) for i in range(1, B)})
+    out, last = [], None
+    for i in picks:
+        t = rows[i]
+        if t != last:
+            out.append(t)
+            last = t
+    return out
+
+
+class _Neg:
+    __slots__ = ("v",)
+
+    def __init__(self, v):
+        self.v = v
+
+    def __lt__(self, o):
+        return self.v > o.v
+
+    def __eq__(self, o):
+        return self.v == o.v
+
+
+def _neg(v):
+    return -v if isinstance(v, (int, float)) else _Neg(v)
+
+
 def ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = None,
            n_ranges: int | None = None) -> DataFrame:
     """Row number ``_rank`` (1-based) in the total order ``order`` (list of
@@ -88,65 +155,49 @@ def ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = Non
     including the row, ``_n`` = row count and ``_total`` = sum of ``value``.
 
     The order must be total (end it with a unique key) for a deterministic
-    result. DECIMAL values give DECIMAL(38, s) sums; other numbers give double.
+    result. DECIMAL values give exact DECIMAL(38, s) sums; other numbers give
+    double sums (summed in order inside a bucket, then offset).
     """
-    spark = df.sparkSession
-    B = int(n_ranges or spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = _sort_cols(order)
-    kind = None
+    keys = [f"_k{i}" for i in range(len(order))]
+    asc = [a for _, a in order]
     work = df
-    scale = 0
+    for (c, _), k in zip(order, keys):
+        work = work.withColumn(k, _key_expr(df, c))
+    for f in work.schema.fields:
+        if f.name in keys and isinstance(f.dataType, StringType) and isinstance(df.schema[order[keys.index(f.name)][0]].dataType, DecimalType):
+            raise ValueError("decimal sort columns wider than 18 digits are not supported")
+    n = work.count()
+    B = int(n_ranges) if n_ranges else max(1, min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
+    bounds = _boundaries(work, keys, asc, n, B)
+    fields = list(work.schema.fields) + [StructField("_b", IntegerType(), False)]
+    bucketed = work.mapInArrow(_bucket_fn(keys, asc, bounds), StructType(fields)).drop(*keys)
+
+    sort_cols = _sort_cols(order)
+    w = Window.partitionBy("_b").orderBy(*sort_cols)
+    local = bucketed.withColumn("_lrn", F.row_number().over(w))
+    aggs = [F.count(F.lit(1)).alias("_pn")]
     if value is not None:
         dt = df.schema[value].dataType
-        if isinstance(dt, DecimalType):
-            kind, scale = "dec", dt.scale
-            work = work.withColumn("_u", (F.col(value) * F.lit(10 ** scale)).cast("bigint"))
-        else:
-            kind = "dbl"
-            work = work.withColumn("_u", F.col(value).cast("double"))
-
-    rng = work.repartitionByRange(B, *sort_cols).sortWithinPartitions(*sort_cols)
-    fields = list(work.schema.fields) + [StructField("_pid", IntegerType(), False),
-                                         StructField("_lrn", LongType(), False)]
-    if kind == "dec":
-        fields.append(StructField("_lcum", DecimalType(38, 0), True))
-    elif kind == "dbl":
-        fields.append(StructField("_lcum", DoubleType(), True))
-    local = rng.mapInArrow(_local_fn(kind), StructType(fields))
-
-    # The totals branch must read the very same range exchange as the row
-    # branch (bounds are sampled per exchange). Referencing every column keeps
-    # column pruning from making the two exchanges differ, so Spark reuses one.
-    aggs = [F.count(F.lit(1)).alias("_pn"),
-            F.max(F.xxhash64(*[F.col(c) for c in work.columns])).alias("_h")]
-    if kind == "dec":
-        aggs.append(F.sum(F.col("_u").cast(DecimalType(38, 0))).alias("_pt"))
-    elif kind == "dbl":
-        aggs.append(F.sum("_u").alias("_pt"))
-    totals = rng.groupBy(F.spark_partition_id().alias("_pid")).agg(*aggs)
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        vsum = F.col(value).cast(DecimalType(38, dt.scale)) if isinstance(dt, DecimalType) else F.col(value).cast("double")
+        local = local.withColumn("_lcum", F.sum(vsum).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        aggs.append(F.sum(vsum).alias("_pt"))
+    totals = bucketed.groupBy("_b").agg(*aggs)  # at most B rows
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    offs = [F.col("_pid"),
-            F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
+    offs = [F.col("_b"), F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
             F.sum("_pn").over(whole).alias("_n")]
-    if kind is not None:
-        zero = F.lit(0).cast(DecimalType(38, 0)) if kind == "dec" else F.lit(0.0)
-        offs += [F.coalesce(F.sum("_pt").over(before), zero).alias("_ot"),
-                 F.sum("_pt").over(whole).alias("_tt")]
-    # the filter is always true; it keeps _h (and so every column) alive
-    offsets = totals.filter(F.col("_h").isNotNull()).select(*offs)
-
-    out = local.join(F.broadcast(offsets), "_pid")
+    if value is not None:
+        zero = F.lit(0).cast(DecimalType(38, dt.scale)) if isinstance(dt, DecimalType) else F.lit(0.0)
+        offs += [F.coalesce(F.sum("_pt").over(before), zero).alias("_ot"), F.sum("_pt").over(whole).alias("_total")]
+    offsets = totals.select(*offs)
+    out = local.join(F.broadcast(offsets), "_b")  # bounded: B rows
     out = out.withColumn("_rank", F.col("_on") + F.col("_lrn"))
-    if kind == "dec":
-        unit = F.lit(Decimal(1).scaleb(-scale)).cast(DecimalType(scale + 1, scale))
-        out = (out.withColumn("_cum", ((F.col("_ot") + F.col("_lcum")) * unit).cast(DecimalType(38, scale)))
-                  .withColumn("_total", (F.col("_tt") * unit).cast(DecimalType(38, scale))))
-    elif kind == "dbl":
-        out = (out.withColumn("_cum", F.col("_ot") + F.col("_lcum"))
-                  .withColumn("_total", F.col("_tt")))
-    drop = ["_pid", "_lrn", "_on", "_u", "_lcum", "_ot", "_tt"]
-    return out.drop(*[c for c in drop if c in out.columns])
+    if value is not None:
+        out = out.withColumn("_cum", F.col("_ot") + F.col("_lcum"))
+        if isinstance(dt, DecimalType):
+            out = out.withColumn("_cum", F.col("_cum").cast(DecimalType(38, dt.scale))) \
+                     .withColumn("_total", F.col("_total").cast(DecimalType(38, dt.scale)))
+    return out.drop("_b", "_lrn", "_on", "_lcum", "_ot")
 
 
 def window_ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = None) -> DataFrame:
