@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from functools import reduce
 
 from ..functions.columns import literal_rows, nan_to_null, ratio_pct, rnd
+from .combine import join_small
 from .rank import average_rank, ranked
+from .stats import group_quantiles
 
 
 def zip_rows(*frames: DataFrame) -> DataFrame:
@@ -228,9 +230,11 @@ def compare_clusters(p: DataFrame, cluster: str, value: str) -> DataFrame:
     from the rounded totals, efficiency = total / count (2 dp), and average
     ranks (descending) by total and by efficiency."""
     v = F.col(value).cast("double")
-    g = (p.filter(F.col(cluster).isNotNull()).groupBy(cluster)
-          .agg(F.count(F.lit(1)).alias("count"), F.sum(F.col(value)).alias("_t"), F.avg(v).alias("_m"),
-               F.median(v).alias("_md"), F.stddev_samp(v).alias("_s")))
+    base = p.filter(F.col(cluster).isNotNull())
+    g = (base.groupBy(cluster)
+             .agg(F.count(F.lit(1)).alias("count"), F.sum(F.col(value)).alias("_t"), F.avg(v).alias("_m"),
+                  F.stddev_samp(v).alias("_s")))
+    g = join_small(g, group_quantiles(base, [cluster], value, {"_md": 0.5}), [cluster], "left")
     g = g.select(cluster, "count", rnd("_t").alias("total"), rnd("_m").alias("mean"),
                  rnd("_md").alias("median"), rnd("_s").alias("std"))
     # one row per cluster: a window over the whole (small) table is fine here

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import noise_last, rnd
 from .combine import join_small
+from .stats import group_quantiles
 
 
 def _num(c):
@@ -25,9 +26,12 @@ def cluster_stats(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     count; plus the cluster's share of rows in % (1 dp)."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for f in features:
-        aggs += [F.avg(_num(f)).alias(f"{f}_mean"), F.percentile(_num(f), 0.5).alias(f"{f}_median"),
+        aggs += [F.avg(_num(f)).alias(f"{f}_mean"),
                  F.stddev_samp(_num(f)).alias(f"{f}_std"), F.count(_num(f)).alias(f"{f}_count")]
-    g = df.filter(F.col(label).isNotNull()).groupBy(label).agg(*aggs)
+    base = df.filter(F.col(label).isNotNull())
+    g = base.groupBy(label).agg(*aggs)
+    for f in features:
+        g = join_small(g, group_quantiles(base, [label], f, {f"{f}_median": 0.5}), [label], "left")
     g = g.withColumn("percentage", rnd(F.col("_rows") / F.sum("_rows").over(Window.partitionBy()) * 100, 1))
     return g.drop("_rows")
 
@@ -71,9 +75,7 @@ def box_stats(long: DataFrame, label: str, k: float = 1.5) -> DataFrame:
     """H8: per (cluster, feature): quartiles (linear), whiskers = extreme values
     inside [q1 - k*iqr, q3 + k*iqr], and the number of points outside."""
     keys = [label, "feature"]
-    q = (long.filter(F.col("value").isNotNull()).groupBy(*keys)
-             .agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.5).alias("median"),
-                  F.percentile("value", 0.75).alias("q3")))
+    q = group_quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("_lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     j = join_small(long.filter(F.col("value").isNotNull()), q, keys, "inner")

@@ -100,8 +100,13 @@ def project(df: DataFrame, features: str, dim: int = 2, prefix: str = "p2_", met
 
 def cluster_centres(df: DataFrame, label: str, coords: list[str]) -> DataFrame:
     """Label position = median of each coordinate per cluster."""
-    return df.filter(F.col(label).isNotNull()).groupBy(label).agg(
-        *[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in coords])
+    from .combine import join_small
+    from .stats import group_quantiles
+    base = df.filter(F.col(label).isNotNull())
+    out = group_quantiles(base, [label], coords[0], {coords[0]: 0.5})
+    for c in coords[1:]:
+        out = join_small(out, group_quantiles(base, [label], c, {c: 0.5}), [label], "left")
+    return out
 
 
 def projection_table(df: DataFrame, dim: int, label: str, hover: list[str] | None = None, prefix: str = "p2_") -> DataFrame:

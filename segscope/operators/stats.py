@@ -65,9 +65,39 @@ def exact_quantile(df: DataFrame, col: str, q: float, limit: int = 200_000,
                 limit = n  # last resort: exact read (only reachable on a broken sketch)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact per-group quantiles (linear). Spark's ``percentile`` is partially
-    aggregated; its state per group is a map of the group's distinct values."""
+GROUP_MAP_LIMIT = 5_000_000
+
+
+def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
+                    limit: int = GROUP_MAP_LIMIT) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation), NULL/NaN skipped.
+
+    Spark's ``percentile`` keeps, per group, a map of the group's distinct
+    values in one task. The groups are counted first: while the largest holds
+    at most ``limit`` rows that map is bounded and ``percentile`` is used.
+    Above it, the quantiles are read off global ranks (``ranked`` over group,
+    value and a spreading tie-break): a hot group is cut across many buckets
+    and only two rows per quantile and group are picked."""
+    from .combine import join_small
+    from .rank import ranked
     v = F.col(col).cast("double")
-    v = F.when(~F.isnan(v), v)
-    return df.groupBy(*keys).agg(*[F.percentile(v, p).alias(name) for name, p in probs.items()])
+    d = df.select(*keys, F.when(~F.isnan(v), v).alias("_v")).filter(F.col("_v").isNotNull())
+    biggest = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if biggest is None or biggest <= limit:
+        return d.groupBy(*keys).agg(*[F.percentile("_v", p).alias(name) for name, p in probs.items()])
+    d = d.withColumn("_tb", F.monotonically_increasing_id())
+    r = ranked(d, [(k, True) for k in keys] + [("_v", True), ("_tb", True)])
+    starts = r.groupBy(*keys).agg(F.min("_rank").alias("_s"), F.count(F.lit(1)).alias("_gn"))
+    r = join_small(r, starts, keys, "inner").withColumn("_j", F.col("_rank") - F.col("_s"))
+    aggs, fin, cond = [], [], None
+    for name, q in probs.items():
+        h = (F.col("_gn") - 1) * F.lit(float(q))
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("_gn") - 1)
+        c = (F.col("_j") == lo) | (F.col("_j") == hi)
+        cond = c if cond is None else (cond | c)
+        aggs += [F.max(F.when(F.col("_j") == lo, F.col("_v"))).alias(f"_{name}_lo"),
+                 F.max(F.when(F.col("_j") == hi, F.col("_v"))).alias(f"_{name}_hi"),
+                 F.max(h - lo).alias(f"_{name}_d")]
+        fin.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_d")).alias(name))
+    return r.filter(cond).groupBy(*keys).agg(*aggs).select(*keys, *fin)

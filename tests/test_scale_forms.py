@@ -48,3 +48,16 @@ def test_top_n_salted_equals_plain(spark):
     w = Window.partitionBy("g").orderBy(F.col("s").desc(), "k")
     b = df.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 5").select("g", "k", "_rn")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_group_quantiles_rank_path_equals_map_path(spark):
+    from segscope.operators.stats import group_quantiles
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(v)) for g, v in zip(rng.choice([0, 1, 1, 1, 2], 4000), rng.normal(size=4000).round(2))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"q1": 0.25, "med": 0.5, "q3": 0.75, "top": 1.0}
+    a = {r["g"]: r for r in group_quantiles(df, ["g"], "v", probs, limit=0).collect()}  # forced rank path
+    b = {r["g"]: r for r in group_quantiles(df, ["g"], "v", probs).collect()}
+    for g in b:
+        for k in probs:
+            assert a[g][k] == pytest.approx(b[g][k], abs=1e-12)
