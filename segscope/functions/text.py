@@ -48,10 +48,26 @@ def stop_words(name: str = "french_custom") -> list[str]:
     raise ValueError(f"unknown stop-word list {name!r}")
 
 
+# Splitting on runs of non-word characters and keeping pieces of the minimum
+# length gives the same tokens, in order, as finding \b\w{min,}\b matches.
+SPLIT = r"(?U)[^\w]+"
+
+
+def min_length(pattern: str) -> int:
+    return 2 if pattern == DEFAULT_TOKEN else 1
+
+
+def split_tokens(col, pattern: str = DEFAULT_TOKEN) -> Column:
+    """Lower-cased tokens (duplicates kept), before stop-word removal."""
+    c = F.col(col) if isinstance(col, str) else col
+    n = min_length(pattern)
+    parts = F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), SPLIT)
+    return F.filter(parts, lambda t: F.length(t) >= n)
+
+
 def tokenize(col, pattern: str = DEFAULT_TOKEN, stops: list[str] | None = None) -> Column:
     """Lower-case, extract the tokens, drop stop words (duplicates kept)."""
-    c = F.col(col) if isinstance(col, str) else col
-    toks = F.regexp_extract_all(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(pattern), 0)
+    toks = split_tokens(col, pattern)
     if stops:
         sw = F.array(*[F.lit(s) for s in sorted(set(stops))])
         toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))

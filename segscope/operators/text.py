@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_rows, rnd
-from ..functions.text import DEFAULT_TOKEN, stop_words, tokenize
+from ..functions.text import DEFAULT_TOKEN, split_tokens, stop_words, tokenize
 from .combine import join_small
 from .rank import top_n
 
@@ -23,8 +23,11 @@ def term_counts(df: DataFrame, key: str, text: str, pattern: str = DEFAULT_TOKEN
                 stops: list[str] | None = None, extra: list[str] | None = None) -> DataFrame:
     """(key, extra..., term, tf): raw count of each token in each document."""
     extra = extra or []
-    toks = df.select(key, *extra, F.explode(tokenize(text, pattern, stops)).alias("term"))
-    return toks.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = df.select(key, *extra, F.explode(split_tokens(text, pattern)).alias("term"))
+    tc = toks.groupBy(key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if stops:  # on distinct (document, term) pairs; a long IN list becomes a hash set
+        tc = tc.filter(~F.col("term").isin(sorted(set(stops))))
+    return tc
 
 
 def vocabulary(tc: DataFrame, max_features: int | None = None, by: list[str] | None = None) -> DataFrame:
@@ -74,7 +77,7 @@ def tfidf_vectors(df: DataFrame, key: str, text: str, max_features: int = 10000,
     import math
     if stops is None:
         stops = stop_words("french_custom")
-    toks = df.select(key, tokenize(text, pattern, stops).alias("_tokens"))
+    toks = df.select(key, split_tokens(text, pattern).alias("_tokens"))
     tc = term_counts(df, key, text, pattern, stops)
     voc = sorted((r["term"], r["df"]) for r in vocabulary(tc, max_features).collect())  # <= max_features rows
     n_docs = df.count()
