@@ -205,6 +205,19 @@ def mixed_cluster(spark, d):
     return r["result"].select("o_orderkey", "cluster_mixed")
 
 
+def density_cluster(spark, d):
+    from ..operators.density import density_cluster as dc
+    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return dc(p, ["p_size", "p_retailprice"], cell=0.25, min_samples=5, min_cluster_size=5).select("p_partkey", "cluster_num")
+
+
+def density_summary(spark, d):
+    from ..operators.density import density_cluster as dc
+    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return CL.cluster_summary(dc(p, ["p_size", "p_retailprice"], cell=0.25, min_samples=5, min_cluster_size=5),
+                              "cluster_num")
+
+
 def _kpi_events(df):
     committed = (F.when(F.col("event_type") == "purchase", F.col("value") * 1.2)
                   .when(F.col("event_type") == "error", F.lit(0.0)).otherwise(F.col("value")))
@@ -284,6 +297,8 @@ QUERIES = {
     "text_segmentation": (text_segmentation, None),
     "numeric_segmentation": (numeric_segmentation, None),
     "mixed_cluster": (mixed_cluster, None),
+    "density_cluster": (density_cluster, None),
+    "density_summary": (density_summary, None),
     "kpis_stream": (kpis_stream, SQL_KPIS_STREAM),
     "read_formats": (read_formats, SQL_READ_FORMATS),
     "book": (book, SQL_BOOK),

@@ -57,3 +57,17 @@ def test_best_k_silhouette(spark):
     assert CL.best_k_silhouette(sw).first()["best_k"] == 3
     sw = _sweep(spark, [-1.0, -1.0, -1.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0])
     assert CL.best_k_silhouette(sw, 3).first()["best_k"] == 3
+
+
+def test_density_cluster_recovers_blobs(spark):
+    import numpy as np
+    from collections import Counter
+    from segscope.operators.density import density_cluster
+    rng = np.random.default_rng(0)
+    pts = np.vstack([rng.normal([0, 0], 0.3, size=(150, 2)), rng.normal([6, 6], 0.3, size=(150, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
+    got = {r["id"]: r["cluster_num"] for r in density_cluster(df, ["x", "y"], 0.25, 3, 20).collect()}
+    a = Counter(got[i] for i in range(150)).most_common(1)[0]
+    b = Counter(got[i] for i in range(150, 300)).most_common(1)[0]
+    assert a[0] != b[0] and a[0] >= 0 and b[0] >= 0
+    assert a[1] >= 135 and b[1] >= 135
