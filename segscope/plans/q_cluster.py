@@ -193,7 +193,7 @@ def text_segmentation(spark, d):
 
 
 def numeric_segmentation(spark, d):
-    r = SEG.numeric_segmentation(_t(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], k_max=6)
+    r = SEG.numeric_segmentation(_t(spark, d, "part"), "p_partkey", ["p_size", "p_retailprice"], cell=0.25)
     return r["result"].select("p_partkey", "cluster_num")
 
 
@@ -205,6 +205,22 @@ def mixed_cluster(spark, d):
     return r["result"].select("o_orderkey", "cluster_mixed")
 
 
+def _orders_mixed(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    types = {"o_totalprice": C.NUMERIC, "o_orderpriority": C.CATEGORICAL, "o_orderstatus": C.CATEGORICAL,
+             "o_orderdate": C.DATE}
+    return o, types
+
+
+def autoencoder_codes(spark, d):
+    from ..operators.encoder import encode, fit_autoencoder
+    o, types = _orders_mixed(spark, d)
+    feats = SEG.mixed_features(o, "o_orderkey", types)
+    model = fit_autoencoder(feats, "features", dim=32, epochs=50, batch=256, seed=42)
+    enc = encode(feats, "features", model)
+    return enc.select("o_orderkey", F.transform("encoded", lambda v: F.round(v, 6)).alias("code"))
+
+
 def density_cluster(spark, d):
     from ..operators.density import density_cluster as dc
     p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -297,6 +313,7 @@ QUERIES = {
     "text_segmentation": (text_segmentation, None),
     "numeric_segmentation": (numeric_segmentation, None),
     "mixed_cluster": (mixed_cluster, None),
+    "autoencoder_codes": (autoencoder_codes, None),
     "density_cluster": (density_cluster, None),
     "density_summary": (density_summary, None),
     "kpis_stream": (kpis_stream, SQL_KPIS_STREAM),

@@ -37,25 +37,33 @@ def text_segmentation(df: DataFrame, key: str, text_cols: list[str], k_min: int
             "keywords": T.cluster_keywords(result, key, "cluster_text", "text_combined")}
 
 
-def numeric_segmentation(df: DataFrame, key: str, features: list[str], k: int | None = None,
-                         k_max: int = 10, seed: int = 42) -> dict[str, DataFrame]:
+def numeric_segmentation(df: DataFrame, key: str, features: list[str], method: str = "density",
+                         k: int | None = None, k_max: int = 10, seed: int = 42, cell: float = 0.5,
+                         min_samples: int = 5, min_cluster_size: int = 5) -> dict[str, DataFrame]:
     """Numeric path: median impute (B5), standardise (E1), segment, project
-    in 2-D and 3-D (P1), statistics (H1) and quality (G2, F9).
+    in 2-D and 3-D (P1), statistics (H1), summary (F9) and quality (G2).
 
-    The reference segments with a density method; rows here are segmented
-    by k-means with k chosen by silhouette unless given (see README)."""
+    ``method='density'`` (default, as the reference) uses the grid density
+    clustering (F6, noise = -1, at most 6 features); ``'kmeans'`` uses k-means
+    with k chosen by silhouette unless given."""
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators import profile as H
+    from ..operators.density import MAX_DIMS, density_cluster
+    from ..operators.quality import silhouette
     C.validate(df, features, min_features=2)
     d = FE.standardize(C.impute_median(df.select(key, *features), features), features, suffix="_z")
     zc = [f + "_z" for f in features]
-    from pyspark.ml.feature import VectorAssembler
     v = VectorAssembler(inputCols=zc, outputCol="features").transform(d).persist()
-    if k is None:
-        sweep = CL.k_sweep(v, "features", range(2, k_max + 1), seed=seed)
-        k = CL.best_k_silhouette(sweep).first()["best_k"]
-    lab, _ = CL.kmeans(v, "features", k, seed=seed, out="cluster_num")
-    lab = PJ.project(PJ.project(lab, "features", 2, "p2_"), "features", 3, "p3_")
-    from ..operators import profile as H
-    from ..operators.quality import silhouette
+    if method == "density":
+        if len(features) > MAX_DIMS:
+            raise C.ValidationError(f"density segmentation takes at most {MAX_DIMS} features")
+        lab = density_cluster(v, zc, cell, min_samples, min_cluster_size, out="cluster_num")
+    else:
+        if k is None:
+            sweep = CL.k_sweep(v, "features", range(2, k_max + 1), seed=seed)
+            k = CL.best_k_silhouette(sweep).first()["best_k"]
+        lab, _ = CL.kmeans(v, "features", k, seed=seed, out="cluster_num")
+    lab = PJ.project(PJ.project(lab, "features", 2, "p2_"), "features", 3, "p3_").persist()
     return {"result": lab.drop("features"),
             "stats": H.cluster_stats(lab, "cluster_num", features),
             "summary": CL.cluster_summary(lab, "cluster_num"),
@@ -101,16 +109,22 @@ def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_feat
 
 
 def mixed_cluster(df: DataFrame, key: str, types: dict[str, str], k_max: int = 100, seed: int = 42,
-                  n_init: int = 10) -> dict[str, DataFrame]:
+                  n_init: int = 10, encoder: str = "pca", epochs: int = 50) -> dict[str, DataFrame]:
     """mixed features (E10) -> linear encoder to max(2, min(32, d // 2))
     dimensions (F7b, PCA) -> k by vote (F5) over 2..min(k_max, n-1) -> k-means
-    (F1, model reused) -> 2-D projection -> label. Too few rows: F8."""
+    (F1, model reused) -> 2-D projection -> label. Too few rows: F8.
+    ``encoder='autoencoder'`` trains the non-linear encoder (F7a) instead."""
     from pyspark.ml.feature import PCA
     feats = mixed_features(df, key, types).persist()
     n = feats.count()
     width = len(feats.select("features").first()[0])
     dim = max(2, min(32, width // 2))
-    enc = PCA(k=min(dim, width), inputCol="features", outputCol="encoded").fit(feats).transform(feats).persist()
+    if encoder == "autoencoder":  # F7a
+        from ..operators.encoder import encode, fit_autoencoder
+        model = fit_autoencoder(feats, "features", dim=32, epochs=epochs, batch=256, seed=seed)
+        enc = encode(feats, "features", model).persist()
+    else:  # F7b
+        enc = PCA(k=min(dim, width), inputCol="features", outputCol="encoded").fit(feats).transform(feats).persist()
     top = min(k_max, n - 1)
     if top < 2:
         return {"result": CL.label_unclassified(df), "sweep": None}

@@ -71,3 +71,19 @@ def test_density_cluster_recovers_blobs(spark):
     b = Counter(got[i] for i in range(150, 300)).most_common(1)[0]
     assert a[0] != b[0] and a[0] >= 0 and b[0] >= 0
     assert a[1] >= 135 and b[1] >= 135
+
+
+def test_autoencoder_loss_falls(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    from segscope.operators.encoder import encode, fit_autoencoder
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(400, 2))
+    X = np.hstack([base, base @ rng.normal(size=(2, 6))]) + 0.01 * rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(X)], "id int, x array<double>")
+    df = df.withColumn("features", array_to_vector("x")).repartition(4)
+    m = fit_autoencoder(df, "features", dim=2, epochs=8, batch=32, lr=1e-2)
+    assert m["dim"] == 2 and m["history"][-1] < m["history"][0]
+    enc = encode(df, "features", m)
+    assert enc.count() == 400 and len(enc.first()["encoded"]) == 2
