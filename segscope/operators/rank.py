@@ -55,25 +55,41 @@ def _key_expr(df: DataFrame, c: str):
     return col
 
 
-def _codes(vals, bnd, asc: bool):
+def _codes(vals, isnull, bnd, asc: bool):
     """Integer codes that order rows and boundaries together (nulls first when
-    ascending, last when descending, as Spark sorts)."""
-    allv = np.concatenate([vals, bnd])
-    isnull = np.array([v is None or (isinstance(v, float) and math.isnan(v)) for v in allv]) \
-        if allv.dtype == object else np.zeros(len(allv), dtype=bool)
-    filled = allv.copy()
-    if isnull.any():
-        sample = next((v for v in allv if v is not None), 0)
-        filled[isnull] = sample
-    _, inv = np.unique(filled, return_inverse=True)
+    ascending, last when descending, as Spark sorts). ``vals`` is a numpy array
+    (numeric, or object for text) with ``isnull`` marking missing rows."""
+    bnull = np.array([v is None for v in bnd], dtype=bool)
+    if vals.dtype == object:
+        bv = np.array([v if v is not None else "" for v in bnd], dtype=object)
+        filled = np.where(isnull, "", vals).astype(object)
+    else:
+        bv = np.array([v if v is not None else 0 for v in bnd], dtype=vals.dtype)
+        filled = np.where(isnull, 0, vals)
+    allv = np.concatenate([filled, bv])
+    nulls = np.concatenate([isnull, bnull])
+    _, inv = np.unique(allv, return_inverse=True)
     inv = inv.astype(np.int64) + 1
-    inv[isnull] = 0
+    inv[nulls] = 0
     if not asc:
         inv = -inv
-        inv[isnull] = np.iinfo(np.int64).max
+        inv[nulls] = np.iinfo(np.int64).max
     return inv
 
 
+def _column_values(arr):
+    """numpy values + null mask for an Arrow column (numbers stay numeric)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    isnull = arr.is_null().to_numpy(zero_copy_only=False)
+    t = arr.type
+    if pa.types.is_integer(t):
+        return pc.fill_null(arr, 0).to_numpy(zero_copy_only=False).astype(np.int64), isnull
+    if pa.types.is_floating(t):
+        return pc.fill_null(arr, 0.0).to_numpy(zero_copy_only=False).astype(np.float64), isnull
+    return np.array(arr.to_pylist(), dtype=object), isnull
+
+
 def _bucket_fn(keys: list[str], asc: list[bool], bounds: list[tuple]):
     """Arrow function: _b = number of boundaries <= the row's key."""
     def run(batches):
@@ -88,10 +104,8 @@ def _bucket_fn(keys: list[str], asc: list[bool], bounds: list[tuple]):
             else:
                 cols = []
                 for j, k in enumerate(keys):
-                    arr = b.column(b.schema.get_field_index(k))
-                    vals = np.array(arr.to_pylist(), dtype=object)
-                    bv = np.array([t[j] for t in bounds], dtype=object)
-                    cols.append(_codes(vals, bv, asc[j]))
+                    vals, isnull = _column_values(b.column(b.schema.get_field_index(k)))
+                    cols.append(_codes(vals, isnull, [t[j] for t in bounds], asc[j]))
                 flag = np.concatenate([np.ones(m, dtype=np.int64), np.zeros(nb, dtype=np.int64)])
                 order = np.lexsort([flag] + cols[::-1])  # primary key last for lexsort
                 is_b = (order >= m)
