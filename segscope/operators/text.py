@@ -10,6 +10,7 @@ hot cluster never sits in one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,9 @@ def tfidf_long(df: DataFrame, key: str, text: str, max_features: int | None = 10
     by = by or []
     if stops is None:
         stops = stop_words("french_custom")
-    tc = term_counts(df, key, text, pattern, stops, extra=by)
+    # read twice (vocabulary and weights): keep the distinct (document, term)
+    # counts once instead of tokenising the texts twice (spills to disk)
+    tc = term_counts(df, key, text, pattern, stops, extra=by).persist(StorageLevel.MEMORY_AND_DISK)
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else None
     voc = vocabulary(tc, max_features, by)
     if by:
