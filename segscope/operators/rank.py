@@ -181,7 +181,8 @@ def ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = Non
         if f.name in keys and isinstance(f.dataType, StringType) and isinstance(df.schema[order[keys.index(f.name)][0]].dataType, DecimalType):
             raise ValueError("decimal sort columns wider than 18 digits are not supported")
     n = work.count()
-    B = int(n_ranges) if n_ranges else max(1, min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
+    per = int(df.sparkSession.conf.get("segscope.rank.rowsPerBucket", str(ROWS_PER_BUCKET)))
+    B = int(n_ranges) if n_ranges else max(1, min(MAX_BUCKETS, math.ceil(n / per)))
     bounds = _boundaries(work, keys, asc, n, B)
     fields = list(work.schema.fields) + [StructField("_b", IntegerType(), False)]
     bucketed = work.mapInArrow(_bucket_fn(keys, asc, bounds), StructType(fields)).drop(*keys)

@@ -82,6 +82,7 @@ def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, f
     from .rank import ranked
     v = F.col(col).cast("double")
     d = df.select(*keys, F.when(~F.isnan(v), v).alias("_v")).filter(F.col("_v").isNotNull())
+    limit = int(df.sparkSession.conf.get("segscope.quantile.groupMapLimit", str(limit)))
     biggest = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if biggest is None or biggest <= limit:
         return d.groupBy(*keys).agg(*[F.percentile("_v", p).alias(name) for name, p in probs.items()])
