@@ -190,13 +190,17 @@ def ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = Non
     sort_cols = _sort_cols(order)
     w = Window.partitionBy("_b").orderBy(*sort_cols)
     local = bucketed.withColumn("_lrn", F.row_number().over(w))
-    aggs = [F.count(F.lit(1)).alias("_pn")]
     if value is not None:
         dt = df.schema[value].dataType
         vsum = F.col(value).cast(DecimalType(38, dt.scale)) if isinstance(dt, DecimalType) else F.col(value).cast("double")
         local = local.withColumn("_lcum", F.sum(vsum).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        aggs.append(F.sum(vsum).alias("_pt"))
-    totals = bucketed.groupBy("_b").agg(*aggs)  # at most B rows
+    # bucket totals from the window output itself (already clustered by bucket:
+    # no new exchange, and both branches read one exchange): count = last row
+    # number, sum = last running sum. At most B rows.
+    aggs = [F.max("_lrn").alias("_pn")]
+    if value is not None:
+        aggs.append(F.max_by("_lcum", "_lrn").alias("_pt"))
+    totals = local.groupBy("_b").agg(*aggs)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     offs = [F.col("_b"), F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
