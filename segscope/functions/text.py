@@ -28,13 +28,13 @@ FRENCH_CUSTOM = [
     'toute', 'toutes', 'tout', 'très', 'vers', 'voici', 'voilà', 'là', 'où',
 ]
 
-# Extra entries the mixed-type text pipeline adds to the library list.
+# Extra entries the mixed-type text path adds to the library list.
 MIXED_EXTRA = ['', 'nan', 'na', 'manquant']
 
 
 def stop_words(name: str = "french_custom") -> list[str]:
     """E7: 'french_custom' (default), 'french' (Spark's bundled French list),
-    'french_mixed' (Spark's list plus the mixed-pipeline extras), or 'none'."""
+    'french_mixed' (Spark's list plus the mixed-path extras), or 'none'."""
     if name == "none":
         return []
     if name == "french_custom":

@@ -71,7 +71,7 @@ def numeric_segmentation(df: DataFrame, key: str, features: list[str], method: s
 
 
 def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_features: int = 100) -> DataFrame:
-    """Per-type pipelines concatenated in column order: numeric -> median
+    """Per-type transforms concatenated in column order: numeric -> median
     impute + standardise; categorical -> 'missing' + one-hot; text -> TF-IDF
     (100 terms, 1-character tokens, French + extra stop words), dense;
     date -> year, month, day, weekday."""
