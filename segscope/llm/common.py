@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,24 @@ def words(c: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, remainder 2 by 4: rows that no model learns from. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in smaller pieces, so that what a task derives from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def text_slices(batches, column: int, most_bytes: int = 1 << 21, rows: int = 2048):
+    """Arrow batches cut so that the texts of a piece have about ``most_bytes``; one longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        at = total = 0
+        for i, n in enumerate(sizes):
+            if i > at and (total + n > most_bytes or i - at >= rows):
+                yield batch.slice(at, i - at)
+                at, total = i, 0
+            total += n
+        if at < len(sizes):
+            yield batch.slice(at)

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, url_filter
-from .common import table
+from . import binary_output, chat_format, ngram_join, packing, url_filter
+from .common import saved, shared_path, table
+
+
+def tokenizer_path(name):
+    """Where the public vocabulary files are; every executor needs them at the same path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark, sf_dir):
@@ -50,6 +56,47 @@ SITE_RULES = [url_filter.Rule("block", "||net/"), url_filter.Rule("allow", "||ex
 PATTERN_RULES = [url_filter.Rule("block", p) for p in ("/ads/", "/adserver/", "/track/*.gif", "/login/", "/cart/", "/cgi-bin/")]
 
 
+def op4_ngram_join(spark, sf_dir):
+    """Components of all documents under 3-word Jaccard of 90 %."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+OP4_SQL = """
+WITH RECURSIVE toks AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM toks),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+classes AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS c, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS least
+  FROM sized WHERE n > 0 GROUP BY 1),
+grams AS (SELECT c, n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.c AS u, b.c AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS both FROM grams a JOIN grams b
+  ON a.g = b.g AND a.c <> b.c AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2),
+linked AS (SELECT u, v FROM pairs WHERE 100 * both >= 90 * (nu + nv - both)),
+reach(u, v) AS (SELECT c, c FROM classes UNION SELECT r.u, l.v FROM reach r JOIN linked l ON r.v = l.u),
+ids AS (SELECT r.u, min(c.least) AS component_id FROM reach r JOIN classes c ON r.v = c.c GROUP BY 1)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, coalesce(i.component_id, s.doc_id) AS component_id
+FROM sized s LEFT JOIN ids i ON s.n > 0 AND md5(array_to_string(list_sort(s.s), chr(10))) = i.u
+"""
+
+
+def op5_binary_output(spark, sf_dir):
+    """Every document's ids, framed, written in id order and read back."""
+    path = shared_path(spark, "op5-records")
+    binary_output.write_records(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    index = saved(binary_output.read_index(spark, path), "op5-index")
+    return index.join(binary_output.file_starts(index), "file").select(
+        "doc_id", (F.col("file_start") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op6_packing(spark, sf_dir):
+    """Every document cut into power-of-two sequences of at most 1024 ids."""
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return out.select("doc_id", "start", "length", packing.ids_crc32("ids", "width").alias("ids_crc32"), "doc_tokens",
+                      "sequence_id", "offset")
+
+
 def op10_url_filter(spark, sf_dir):
     """Every page's url against the site rules and the default pattern rules."""
     out = url_filter.filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
@@ -74,5 +121,8 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.name}' THEN '
 
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op4_ngram_join": (op4_ngram_join, OP4_SQL),
+    "op5_binary_output": (op5_binary_output, None),
+    "op6_packing": (op6_packing, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
 }
