@@ -188,9 +188,9 @@ def _tile_links(rest: DataFrame, sets: DataFrame, percent: int, tile_shingles: i
     return rows.groupBy("leaf", "p", "q").applyInPandas(run, "u long, v long")
 
 
-def ngram_join(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text",
-               tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per input row."""
+def groups(df: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text",
+           tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """doc_id, n, node (names the shingle set), root (names the component): one row per input row."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     points = saved(_points(docs, k, percent), "points")
     # one row per set and cell it stands in; then the cells with company
@@ -212,9 +212,44 @@ def ngram_join(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_
     more = _tile_links(placed.join(mixed, "leaf"), sets, percent, tile_shingles)
     edges = first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
     roots = components(edges)
-    labelled = points.select("doc_id", "n", "node").join(roots, "node", "left")
-    labelled = labelled.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "root", "left").select(
+    placed = points.select("doc_id", "n", "node").join(roots, "node", "left")
+    return placed.select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
+
+
+def ngram_join(df: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text",
+               tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per input row."""
+    placed = groups(df, k, percent, doc_id, text, tile_shingles)
+    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` less all but one of each component: the smallest id
+    stays (null ids last), texts without words all stay. Only the ids that go
+    are joined to the texts; rows of repeated or null ids, whose id does not name
+    one text, are told apart by their shingle sets."""
+    placed = saved(groups(df, k, percent, doc_id, text), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("node").alias("c"))
+    stays = placed.where("n > 0").groupBy("root").agg(F.min(order).alias("o")).select(
+        F.col("o.b").alias("_id"), F.col("o.c").alias("_node"))
+    unclear = placed.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(doc_id).cast("long").alias("doc_id"))
+    goes = placed.where("n > 0").join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_anti")
+    goes = goes.select(F.col("doc_id").alias("_id")).unionByName(unclear).distinct()
+    kept = rows.join(goes, F.col("doc_id") == F.col("_id"), "left_anti").where("doc_id is not null").select("_row.*")
+    if unclear.isEmpty():
+        return kept
+    some = rows.join(unclear, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    @F.pandas_udf("struct<n:long,node:long>")
+    def name(texts):
+        found = [s for at in range(0, len(texts), 256) for s in shingle_sets([(t or "").encode() for t in texts[at:at + 256]], k)]
+        return pd.DataFrame({"n": [len(s) for s in found], "node": [fingerprint(s) for s in found]})
+
+    some = some.withColumn("_s", name(F.col(f"_row.`{text}`"))).select("_row", "doc_id", "_s.n", "_s.node")
+    first = some.where("n > 0").join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
+    first = first.groupBy("doc_id", "node").agg(F.first("_row").alias("_row"))
+    return kept.unionByName(some.where("n = 0").select("_row.*")).unionByName(first.select("_row.*"))

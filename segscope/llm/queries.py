@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary_output, chat_format, ngram_join, packing, url_filter
+from . import (binary_output, chat_format, decontaminate, lang_id, ngram_join, packing, quality_rules, token_counts, toxicity,
+               url_filter)
 from .common import saved, shared_path, table
 
 
@@ -56,6 +57,16 @@ SITE_RULES = [url_filter.Rule("block", "||net/"), url_filter.Rule("allow", "||ex
 PATTERN_RULES = [url_filter.Rule("block", p) for p in ("/ads/", "/adserver/", "/track/*.gif", "/login/", "/cart/", "/cgi-bin/")]
 
 
+def op2_toxicity(spark, sf_dir):
+    """Every document's score, learned from ``labels.toxic`` outside the held-out rows."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_decontaminate(spark, sf_dir):
+    """Every document against every benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_join(spark, sf_dir):
     """Components of all documents under 3-word Jaccard of 90 %."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -97,6 +108,23 @@ def op6_packing(spark, sf_dir):
                       "sequence_id", "offset")
 
 
+def op7_token_counts(spark, sf_dir):
+    """Every document's tokens under the unigram segmentation."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_lang_id(spark, sf_dir):
+    """Every document's language by compression."""
+    documents = table(spark, sf_dir, "documents")
+    out = lang_id.predict_languages(documents, lang_id.learn(documents))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_quality_rules(spark, sf_dir):
+    """Base counts, score and verdict of every document."""
+    return quality_rules.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark, sf_dir):
     """Every page's url against the site rules and the default pattern rules."""
     out = url_filter.filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
@@ -121,8 +149,13 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.name}' THEN '
 
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op2_toxicity": (op2_toxicity, None),
+    "op3_decontaminate": (op3_decontaminate, None),
     "op4_ngram_join": (op4_ngram_join, OP4_SQL),
     "op5_binary_output": (op5_binary_output, None),
     "op6_packing": (op6_packing, None),
+    "op7_token_counts": (op7_token_counts, None),
+    "op8_lang_id": (op8_lang_id, None),
+    "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
 }

@@ -12,7 +12,7 @@ import os
 import re
 import struct
 
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
 _RUNS = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z")
 
 
