@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, slices
@@ -86,9 +86,12 @@ def pack_documents(df: DataFrame, path: str | None = None, **options) -> DataFra
         (F.col("_base") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
-@F.pandas_udf("long")
-def ids_crc32(ids, width):
+def ids_crc32(ids: Column, width: Column) -> Column:
     """Unsigned crc32 of the ids as little-endian u32."""
-    import pandas as pd
-    return pd.Series([zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes() if w == 2 else b)
-                      for b, w in zip(ids, width)], dtype="int64")
+    @F.pandas_udf("long")
+    def crc(ids, width):
+        import pandas as pd
+        return pd.Series([zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes() if w == 2 else b)
+                          for b, w in zip(ids, width)], dtype="int64")
+
+    return crc(ids, width)
