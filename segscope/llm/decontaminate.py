@@ -56,7 +56,8 @@ def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
         hashes = F.when(F.size("t") >= size, F.transform(
             F.sequence(F.lit(0), F.greatest(F.size("t") - size, F.lit(0))),
             lambda i: F.xxhash64(F.lit(size), F.slice("t", i + 1, size))))
-        return df.select(*keys, F.posexplode(hashes).alias("pos", "h"))
+        # outer: for the inner form the planner repeats the hashes in a filter below it
+        return df.select(*keys, F.posexplode_outer(hashes).alias("pos", "h"))
 
     return functools.reduce(DataFrame.unionByName, map(of, sizes))
 
@@ -114,7 +115,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     found = found.withColumn("_d", F.slice("_d", F.col("doc_start") + 1, F.col("n_tokens"))).drop("_text")
     found = found.withColumn("_run", F.transform("_c", lambda c, k: F.struct(
         c.alias("c"), F.get("_i", k).alias("i"), F.get("_d", k).alias("d"))))
-    found = found.where(_consistent("_run")).withColumn("kind", F.when(F.col("_i") == F.col("_d"), "exact").otherwise("reparameterised"))
+    found = found.withColumn("_ok", _consistent("_run")).withColumn("_row", F.monotonically_increasing_id())
+    # the row number keeps the filter above the arrays, which else are worked out anew in each lambda
+    found = found.where("_ok and _row >= 0").withColumn("kind", F.when(F.col("_i") == F.col("_d"), "exact").otherwise("reparameterised"))
     return found.select(*RESULT).distinct()
 
 

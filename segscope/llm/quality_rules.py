@@ -121,4 +121,5 @@ def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counted = saved(with_buckets(rows.select("doc_id", "text")).select("doc_id", "_b"), "quality")
     out = _verdict(with_buckets(with_base(rows)), fit(counted, labels), threshold)
-    return out.where("_q_kept").select("_row.*")
+    # the row number keeps the filter above the arrays, which else are worked out anew in each lambda
+    return out.withColumn("_at", F.monotonically_increasing_id()).where("_q_kept and _at >= 0").select("_row.*")
