@@ -134,9 +134,9 @@ def clean(df: DataFrame) -> DataFrame:
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """Missing (and NaN) -> the exact median of the column (linear
-    interpolation). Medians come from ``exact_quantile`` (bounded memory)."""
-    from .stats import exact_quantile
-    meds = {c: exact_quantile(df, c, 0.5) for c in cols}
+    interpolation); all columns in one pass (``column_quantiles``)."""
+    from .stats import column_quantiles
+    meds = column_quantiles(df, cols, 0.5) if cols else {}
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")

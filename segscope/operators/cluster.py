@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
+from .rank import ranked
 from .quality import as_array, calinski_harabasz, davies_bouldin, fit_centroids, silhouette
 
 UNCLASSIFIED = "unclassified"
@@ -69,10 +70,14 @@ def assign(df: DataFrame, features: str, centroids: list[list[float]], out: str
     d = as_array(df, features)
     if d.schema["_x"].dataType.containsNull:
         d = d.withColumn("_x", F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0))))
+    # a missing vector, or one of another length, gets no label
+    fits = F.coalesce(F.size("_x") == len(centroids[0]), F.lit(False))
+    d = d.withColumn("_fits", fits).withColumn("_x", F.when(fits, F.col("_x")).otherwise(F.array_repeat(F.lit(0.0), len(centroids[0]))))
     fields = [f for f in d.schema.fields if f.name != "_x"] + [StructField(out, IntegerType(), False)]
     if dist_out:
         fields.append(StructField(dist_out, DoubleType(), False))
-    return d.mapInArrow(_assign_fn(centroids, "_x", out, dist_out), StructType(fields))
+    a = d.mapInArrow(_assign_fn(centroids, "_x", out, dist_out), StructType(fields))
+    return a.withColumns({c: F.when(F.col("_fits"), F.col(c)) for c in (out, dist_out) if c}).drop("_fits")
 
 
 def centroids_of(df: DataFrame, features: str, label: str) -> list[list[float]]:
@@ -85,7 +90,7 @@ def lloyd_step(df: DataFrame, features: str, centroids: list[list[float]], out:
     """One Lloyd iteration: assign, then the new centroids (empty clusters keep
     their old centroid). Returns (assigned DataFrame, new centroids)."""
     a = assign(df, features, centroids, out)
-    model = {m["label"]: m["centroid"] for m in fit_centroids(as_array(a, features), "_x", out)}
+    model = {m["label"]: m["centroid"] for m in fit_centroids(as_array(a.filter(F.col(out).isNotNull()), features), "_x", out)}
     new = [model.get(i, c) for i, c in enumerate(centroids)]
     return a, new
 
@@ -101,11 +106,15 @@ def k_sweep(df: DataFrame, features: str, ks, seed: int = 42, n_init: int = 1, m
     n = data.count()
 
     def one(k):
-        if k < 2 or k > n - 1 and metrics == "all":
+        if metrics == "all" and not 2 <= k <= n - 1:
             return None
+        if k < 2:  # one cluster: no fit, the spread around the mean
+            model = fit_centroids(data.withColumn("_one", F.lit(0)), features, "_one")
+            sse = sum(m["n"] * (m["q"] - sum(x * x for x in m["centroid"])) for m in model)
+            return {"k": int(k), "sse": float(sse), "silhouette": -1.0}
         lab, model = kmeans(data, features, k, seed, n_init)
         row = {"k": int(k), "sse": float(model.summary.trainingCost)}
-        if k >= 2 and n >= k:
+        if n >= k:
             row["silhouette"] = silhouette(lab, features, "cluster", noise=None).first()["silhouette"]
             if metrics == "all":
                 row["calinski_harabasz"] = calinski_harabasz(lab, features, "cluster").first()["calinski_harabasz"]
@@ -187,5 +196,6 @@ def summary_lines(summary: DataFrame, quality: DataFrame | None = None) -> DataF
 def order_clusters(df: DataFrame, label: str) -> DataFrame:
     """ord = numeric order of the cluster labels with noise (-1) last."""
     g = df.select(label).distinct()
-    w = Window.orderBy((F.col(label).cast("long") == -1), F.col(label).cast("long"))
-    return g.withColumn("ord", F.row_number().over(w))
+    g = g.withColumns({"_noise": F.col(label).cast("long") == -1, "_label": F.col(label).cast("long")})
+    r = ranked(g, [("_noise", True), ("_label", True)])
+    return r.withColumn("ord", F.col("_rank").cast("int")).drop("_noise", "_label", "_rank", "_n")

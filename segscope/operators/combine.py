@@ -1,9 +1,8 @@
 """Joins, set operations, consolidation, relabelling.
 
-``join_small`` is the one place that decides on a broadcast: the small side is
-counted first (it is an aggregate, so counting is cheap) and broadcast only
-under ``max_rows``; above that a shuffle join is planned and adaptive
-execution handles skewed keys (skew-join splitting).
+``join_small`` attaches a per-key table to rows. It gives no hint: Spark
+broadcasts a side whose measured bytes are under the session's threshold, else
+it shuffles, and adaptive execution splits skewed keys.
 """
 
 from __future__ import annotations
@@ -13,15 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Attach a per-key table to rows; broadcast only when its size is checked."""
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Attach a per-key table to rows."""
+    return big.join(small, on, how)
 
 
 def attach(df: DataFrame, result: DataFrame, key, cols: list[str]) -> DataFrame:

@@ -7,13 +7,12 @@ i.e. from pairs of rows. Here density is measured on a grid instead:
    ``cell`` (in standard deviations);
 2. cells holding at least ``min_samples`` rows are dense (a grouped count with
    map-side combine: a hot cell costs one counter, not one task);
-3. dense cells touching each other (coordinates differing by at most one in
-   every dimension: a bounded fan-out of 3^d - 1 per cell) are linked, and
-   clusters are the connected components, found by min-label propagation
-   until no label changes (reliable checkpoint each round);
+3. dense cells that share a face (one step along one feature: d links per cell,
+   for any number of features) are linked, and clusters are the connected
+   components, found in logarithmically many rounds (reliable checkpoint each);
 4. components with fewer than ``min_cluster_size`` rows, and rows in sparse
    cells, are noise (-1). Cluster ids are 0.. in the order of the components'
-   smallest cell.
+   smallest cell, coordinates compared as numbers.
 
 This is DBSCAN-like density clustering on grid cells, not the library's
 single-linkage hierarchy; it needs no neighbour search and scales with the
@@ -22,18 +21,15 @@ number of non-empty cells.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .combine import join_small
+from .components import components
 from .features import standardize
 from .rank import ranked
 
-MAX_DIMS = 6
-
 
 def grid_cells(df: DataFrame, features: list[str], cell: float = 0.5) -> DataFrame:
     """Rows with their cell (array<long>) on standardised features; rows with a
@@ -47,42 +43,30 @@ def grid_cells(df: DataFrame, features: list[str], cell: float = 0.5) -> DataFra
     return z.withColumn("_cell", F.when(~any_null, F.array(*coords))).drop(*[f + "_z" for f in features])
 
 
-def _components(dense: DataFrame, dim: int) -> DataFrame:
-    """(cell, comp): comp = smallest cell reachable through touching dense cells."""
-    offs = [list(o) for o in itertools.product([-1, 0, 1], repeat=dim) if any(o)]
-    off_lit = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offs])
-    nodes = dense.select(F.col("_cell").alias("node"))
-    edges = (nodes.select(F.col("node").alias("src"), F.explode(off_lit).alias("_o"))
-                  .select("src", F.zip_with("src", "_o", lambda a, b: a + b).alias("dst"))
-                  .join(nodes.withColumnRenamed("node", "dst"), "dst"))
-    edges = cut_lineage(edges)
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    while True:
-        prop = (edges.join(labels.withColumnRenamed("node", "src"), "src")
-                     .groupBy("dst").agg(F.min("comp").alias("cand")))
-        new = (labels.join(prop.withColumnRenamed("dst", "node"), "node", "left")
-                     .select("node", F.least("comp", F.coalesce("cand", "comp")).alias("comp")))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter(F.col("comp") != F.col("old")).count()
-        labels = new
-        if changed == 0:
-            return labels
+def _roots(dense: DataFrame, dim: int) -> DataFrame:
+    """dense: (_cell, _in) -> (_cell, _in, root): root = number of the smallest
+    cell, in numeric order of the coordinates, reachable through dense cells
+    that share a face."""
+    axes = [f"_c{i}" for i in range(dim)]
+    numbered = dense.withColumns({a: F.get("_cell", F.lit(i)) for i, a in enumerate(axes)})
+    numbered = cut_lineage(ranked(numbered, [(a, True) for a in axes]).select("_cell", "_in", F.col("_rank").cast("long").alias("_id")))
+    steps = F.array(*[F.array(*[F.lit(int(i == j)).cast("long") for j in range(dim)]) for i in range(dim)])
+    onward = numbered.select(F.col("_id").alias("u"), F.col("_cell").alias("_from"), F.explode(steps).alias("_o"))
+    onward = onward.select("u", F.zip_with("_from", "_o", lambda a, b: a + b).alias("_cell"))
+    roots = components(onward.join(numbered.select("_cell", F.col("_id").alias("v")), "_cell").select("u", "v"))
+    return numbered.join(roots, F.col("_id") == F.col("node"), "left").select("_cell", "_in", F.coalesce("root", "_id").alias("root"))
 
 
 def density_cluster(df: DataFrame, features: list[str], cell: float = 0.5, min_samples: int = 5,
                     min_cluster_size: int = 5, out: str = "cluster_num") -> DataFrame:
     """grid density clustering; adds ``out`` (int, -1 = noise)."""
-    if not 1 <= len(features) <= MAX_DIMS:
-        raise ValueError(f"grid density clustering takes 1 to {MAX_DIMS} features (fan-out 3^d); "
-                         "project wider inputs first (P1)")
+    if not features:
+        raise ValueError("grid density clustering needs a feature")
     g = grid_cells(df, features, cell)
-    cells = g.filter(F.col("_cell").isNotNull()).groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    dense = cut_lineage(cells.filter(F.col("_n") >= min_samples))
-    comps = _components(dense, len(features)).withColumnRenamed("node", "_cell")
-    sizes = comps.join(dense, "_cell").groupBy("comp").agg(F.sum("_n").alias("_size"))
-    kept = sizes.filter(F.col("_size") >= min_cluster_size).select("comp")
-    ids = ranked(kept.withColumn("_ck", F.to_json("comp")), [("_ck", True)]) \
-        .select("comp", (F.col("_rank") - 1).cast("int").alias("_cid"))
-    cell_ids = comps.join(ids, "comp").select("_cell", "_cid")
+    cells = g.filter(F.col("_cell").isNotNull()).groupBy("_cell").agg(F.count(F.lit(1)).alias("_in"))
+    comps = cut_lineage(_roots(cells.filter(F.col("_in") >= min_samples), len(features)))
+    kept = comps.groupBy("root").agg(F.sum("_in").alias("_size")).filter(F.col("_size") >= min_cluster_size).select("root")
+    ids = ranked(kept, [("root", True)]).select("root", (F.col("_rank") - 1).cast("int").alias("_cid"))
+    cell_ids = comps.join(ids, "root").select("_cell", "_cid")
     res = join_small(g, cell_ids, "_cell", "left")
     return res.withColumn(out, F.coalesce(F.col("_cid"), F.lit(-1))).drop("_cell", "_cid")

@@ -237,12 +237,11 @@ def compare_clusters(p: DataFrame, cluster: str, value: str) -> DataFrame:
     g = join_small(g, group_quantiles(base, [cluster], value, {"_md": 0.5}), [cluster], "left")
     g = g.select(cluster, "count", rnd("_t").alias("total"), rnd("_m").alias("mean"),
                  rnd("_md").alias("median"), rnd("_s").alias("std"))
-    # one row per cluster: a window over the whole (small) table is fine here
-    g = g.withColumn("_all", F.sum("total").over(Window.partitionBy()))
+    g = g.withColumn("_all", g.agg(F.sum("total")).scalar())
     g = (g.withColumn("contribution_pct", ratio_pct("total", "_all"))
           .withColumn("efficiency", rnd(F.col("total") / F.col("count"))).drop("_all"))
-    g = average_rank(g, "total", "rank_by_total")
-    return average_rank(g, "efficiency", "rank_by_efficiency")
+    g = average_rank(g, "total", "rank_by_total", [cluster])
+    return average_rank(g, "efficiency", "rank_by_efficiency", [cluster])
 
 
 # Recommendation texts (ours; the decision rules are the reference's).

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import noise_last, rnd
 from .combine import join_small
-from .stats import group_quantiles
+from .rank import ranked
+from .stats import feature_quantiles, group_quantiles
 
 
 def _num(c):
@@ -30,24 +31,26 @@ def cluster_stats(df: DataFrame, label: str, features: list[str]) -> DataFrame:
                  F.stddev_samp(_num(f)).alias(f"{f}_std"), F.count(_num(f)).alias(f"{f}_count")]
     base = df.filter(F.col(label).isNotNull())
     g = base.groupBy(label).agg(*aggs)
-    for f in features:
-        g = join_small(g, group_quantiles(base, [label], f, {f"{f}_median": 0.5}), [label], "left")
-    g = g.withColumn("percentage", rnd(F.col("_rows") / F.sum("_rows").over(Window.partitionBy()) * 100, 1))
+    medians = feature_quantiles(base, [label], features, {"m": 0.5}).groupBy(label).agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("m"))).alias(f"{f}_median") for f in features])
+    g = join_small(g, medians, [label], "left")
+    g = g.withColumn("percentage", rnd(F.col("_rows") / g.agg(F.sum("_rows")).scalar() * 100, 1))
     return g.drop("_rows")
 
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     """H3: count and % per cluster; ``ord`` = numeric order with noise (-1) last."""
     g = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.orderBy(noise_last(label), F.col(label).cast("long"))
-    return (g.withColumn("pct", rnd(F.col("count") / F.sum("count").over(Window.partitionBy()) * 100, 2))
-             .withColumn("ord", F.row_number().over(w)))
+    g = g.withColumn("pct", rnd(F.col("count") / g.agg(F.sum("count")).scalar() * 100, 2))
+    g = g.withColumn("_noise", noise_last(label)).withColumn("_label", F.col(label).cast("long"))
+    r = ranked(g, [("_noise", True), ("_label", True)])
+    return r.withColumn("ord", F.col("_rank").cast("int")).drop("_noise", "_label", "_rank", "_n")
 
 
 def cluster_share(df: DataFrame, label: str) -> DataFrame:
     """H4: normalised counts per cluster."""
     g = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("share", rnd(F.col("count") / F.sum("count").over(Window.partitionBy()), 6))
+    return g.withColumn("share", rnd(F.col("count") / g.agg(F.sum("count")).scalar(), 6))
 
 
 def category_share(df: DataFrame, label: str, cluster, col: str, count_missing: bool = False,
@@ -61,7 +64,7 @@ def category_share(df: DataFrame, label: str, cluster, col: str, count_missing:
     else:
         d = d.select(v.alias(col)).filter(F.col(col).isNotNull())
     g = d.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return g.withColumn("pct", rnd(F.col("count") / F.sum("count").over(Window.partitionBy()) * 100, 6))
+    return g.withColumn("pct", rnd(F.col("count") / g.agg(F.sum("count")).scalar() * 100, 6))
 
 
 def feature_long(df: DataFrame, label: str, features: list[str], key: list[str] | None = None) -> DataFrame:
@@ -132,7 +135,7 @@ def cluster_index(df: DataFrame, label: str, n: int = 10) -> DataFrame:
     index); noise (-1) gets NULL."""
     g = df.filter(F.col(label).isNotNull()).select(label).distinct()
     reg = g.filter(F.col(label).cast("long") != -1)
-    w = Window.orderBy(F.col(label).cast("long"))
-    reg = reg.withColumn("palette_index", ((F.row_number().over(w) - 1) % n).cast("int"))
+    reg = ranked(reg.withColumn("_label", F.col(label).cast("long")), [("_label", True)])
+    reg = reg.select(label, ((F.col("_rank") - 1) % n).cast("int").alias("palette_index"))
     noise = g.filter(F.col(label).cast("long") == -1).withColumn("palette_index", F.lit(None).cast("int"))
     return reg.unionByName(noise)

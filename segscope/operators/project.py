@@ -63,18 +63,19 @@ def _width(df: DataFrame, col: str) -> int:
 def project(df: DataFrame, features: str, dim: int = 2, prefix: str = "p2_", method: str = "pca",
             seed: int = 42) -> DataFrame:
     """Coordinates ``{prefix}1..{prefix}dim`` (2 or 3) from a PCA fit on
-    centred features. Wide inputs (more than 64 dimensions, e.g. TF-IDF) are
-    first mapped to 32 dimensions by a seeded Gaussian random projection
-    (distances kept up to a small factor), so the PCA state stays 32 x 32."""
+    centred features, whatever their number (the PCA state has d x d numbers).
+    ``method='random_pca'``, for wide inputs such as TF-IDF, first maps to 32
+    dimensions by a seeded Gaussian random projection (distances kept up to a
+    small factor), so that state stays 32 x 32."""
     from pyspark.ml.stat import Summarizer
     from pyspark.ml.functions import array_to_vector
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     if dim not in (2, 3):
         raise ValueError("dim must be 2 or 3")
-    if method != "pca":
-        raise ValueError("only the linear (pca) projection is provided")
+    if method not in ("pca", "random_pca"):
+        raise ValueError("only linear projections are provided: pca or random_pca")
     width = _width(df, features)
-    if width > 64:
+    if method == "random_pca":
         fields = list(df.schema.fields) + [StructField("_rp", ArrayType(DoubleType()), False)]
         d = df.mapInArrow(_rp_fn(features, width, RP_DIM, seed), StructType(fields))
         d = d.withColumn("_x", F.col("_rp")).drop("_rp")
@@ -100,13 +101,9 @@ def project(df: DataFrame, features: str, dim: int = 2, prefix: str = "p2_", met
 
 def cluster_centres(df: DataFrame, label: str, coords: list[str]) -> DataFrame:
     """Label position = median of each coordinate per cluster."""
-    from .combine import join_small
-    from .stats import group_quantiles
-    base = df.filter(F.col(label).isNotNull())
-    out = group_quantiles(base, [label], coords[0], {coords[0]: 0.5})
-    for c in coords[1:]:
-        out = join_small(out, group_quantiles(base, [label], c, {c: 0.5}), [label], "left")
-    return out
+    from .stats import feature_quantiles
+    medians = feature_quantiles(df.filter(F.col(label).isNotNull()), [label], coords, {"m": 0.5})
+    return medians.groupBy(label).agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(c) for c in coords])
 
 
 def projection_table(df: DataFrame, dim: int, label: str, hover: list[str] | None = None, prefix: str = "p2_") -> DataFrame:

@@ -30,8 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-MAX_CLUSTERS = 1000
-
 
 def as_array(df: DataFrame, col: str, out: str = "_x") -> DataFrame:
     """Feature column as array<double> (vectors and float arrays accepted)."""
@@ -69,11 +67,9 @@ def centroid_table(df: DataFrame, v: str, label: str) -> DataFrame:
 
 def fit_centroids(df: DataFrame, x: str, label: str) -> list[dict]:
     """Per cluster: label, n, centroid (list), mean squared norm; ordered by
-    label. Collected model state: at most MAX_CLUSTERS rows (checked)."""
-    t = centroid_table(to_vector(df, x), "_v", label)
-    if t.count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    rows = t.orderBy(label).collect()
+    label. This is the fitted model itself (k x d numbers), read on the driver;
+    scores that need sums only work on ``centroid_table``."""
+    rows = centroid_table(to_vector(df, x), "_v", label).orderBy(label).collect()
     return [dict(label=r[label], n=r["n"], q=r["q"], centroid=list(r["centroid"])) for r in rows]
 
 
@@ -111,19 +107,17 @@ def silhouette(df: DataFrame, features: str, label: str, noise=-1) -> DataFrame:
 
 def calinski_harabasz(df: DataFrame, features: str, label: str, noise=None) -> DataFrame:
     """(B / (k-1)) / (W / (n-k)); 1.0 when W = 0; NULL with < 2 clusters.
-    W = sum_c n_c (q_c - ||mu_c||^2), B = sum_c n_c ||mu_c - mu||^2: both from
-    the per-cluster model, no second pass."""
-    model = fit_centroids(_prep(df, features, label, noise), "_v", label)
-    k = len(model)
-    n = sum(m["n"] for m in model)
+    W = sum_c n_c (q_c - ||mu_c||^2), B = sum_c n_c ||mu_c||^2 - n ||mu||^2:
+    sums over the per-cluster table, which stays distributed for any k."""
+    d = _prep(df, features, label, noise)
+    sq = _sq(F.col("centroid"))
+    s = centroid_table(d, "_v", label).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * sq).alias("b"),
+                                           F.sum(F.col("n") * (F.col("q") - sq)).alias("w")).first()
+    k, n = s["k"], s["n"] or 0
     if k < 2:
         return _one_row(df.sparkSession, n=int(n), calinski_harabasz=None)
-    C = np.array([m["centroid"] for m in model])
-    ns = np.array([m["n"] for m in model], dtype=float)
-    qs = np.array([m["q"] for m in model])
-    mu = (C * ns[:, None]).sum(0) / n
-    B = float((ns * ((C - mu) ** 2).sum(1)).sum())
-    W = float((ns * (qs - (C ** 2).sum(1))).sum())
+    mu = d.agg(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
+    B, W = max(0.0, s["b"] - n * float((mu ** 2).sum())), s["w"]
     ch = 1.0 if W <= 0 else B * (n - k) / (W * (k - 1))
     return _one_row(df.sparkSession, n=int(n), calinski_harabasz=float(ch))
 
@@ -132,25 +126,25 @@ def davies_bouldin(df: DataFrame, features: str, label: str, noise=None) -> Data
     """Mean over clusters of max_j (s_i + s_j) / ||mu_i - mu_j||, s = mean
     Euclidean distance to the own centroid (0 when centroids coincide).
     ``negated`` is the value used in the vote. The centroid table (k rows) is
-    joined to the points by broadcast; the k x k step runs on the model."""
+    joined to the points; the k x k step runs on the model, row by row."""
     d = _prep(df, features, label, noise)
     t = centroid_table(d, "_v", label)
     k = t.count()
     if k < 2:
         return _one_row(df.sparkSession, davies_bouldin=None, negated=None)
-    if k > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    j = d.select(label, vector_to_array("_v").alias("_x")).join(F.broadcast(t.select(label, "centroid")), label)
+    j = d.select(label, vector_to_array("_v").alias("_x")).join(t.select(label, "centroid"), label)
     dist = F.sqrt(F.aggregate(F.zip_with("_x", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                               lambda acc, v: acc + v))
     s_rows = j.groupBy(label).agg(F.avg(dist).alias("s")).join(t.select(label, "centroid"), label).orderBy(label).collect()
     S = np.array([r["s"] for r in s_rows])
     C = np.array([list(r["centroid"]) for r in s_rows])
-    M = np.sqrt(((C[:, None, :] - C[None, :, :]) ** 2).sum(-1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        R = np.where(M > 0, (S[:, None] + S[None, :]) / np.where(M > 0, M, 1.0), 0.0)
-    np.fill_diagonal(R, -np.inf)
-    db = float(R.max(1).mean())
+    worst = []
+    for i in range(len(S)):
+        m = np.sqrt(((C - C[i]) ** 2).sum(-1))
+        r = np.where(m > 0, (S + S[i]) / np.where(m > 0, m, 1.0), 0.0)
+        r[i] = -np.inf
+        worst.append(r.max())
+    db = float(np.mean(worst))
     return _one_row(df.sparkSession, davies_bouldin=db, negated=-db)
 
 

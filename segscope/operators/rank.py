@@ -3,17 +3,22 @@
 ``Window.orderBy(...)`` with no partition moves every row into one task. The
 scale form used here:
 
-1. A bounded sample of the sort keys (about 64 rows per bucket) is read on the
-   driver and cut into B contiguous key ranges (bucket boundaries). Ties on
-   the value are split by the tie-break keys, so a hot value still spreads
-   over many buckets.
+1. One pass over the sort keys alone counts the rows and draws a bounded sample
+   from each partition (``SAMPLE_PER_PARTITION`` rows); the driver cuts it into
+   B contiguous key ranges (bucket boundaries). Ties on the value are split by
+   the tie-break keys, so a hot value still spreads over many buckets.
 2. Each row's bucket is a pure function of its sort key and the boundaries
-   (vectorised lexicographic search in an Arrow batch function). Nothing
+   (vectorised lexicographic search in an Arrow scalar function, which only the
+   key columns enter; other columns stay in the JVM and can be pruned). Nothing
    depends on partition ids, so any re-execution (lost executor, a plan that
    evaluates the input twice) gives the same buckets.
 3. A window partitioned by bucket computes the local row number and running
    sum in the JVM; per-bucket counts and sums (at most B rows) give the
    offsets, joined back by broadcast (size bounded by B).
+
+B is one bucket per ``ROWS_PER_BUCKET`` rows, at most ``BUCKETS_PER_PARTITION``
+times the session's shuffle partitions: a bucket is one window partition, so
+whoever raises the shuffle partitions for larger data raises the bound with it.
 """
 
 from __future__ import annotations
@@ -21,14 +26,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DateType, DecimalType, IntegerType, StringType, StructField,
-                               StructType, TimestampNTZType, TimestampType)
+from pyspark.sql.types import (BooleanType, DateType, DecimalType, LongType, StructField, StructType, TimestampNTZType,
+                               TimestampType)
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-SAMPLE_PER_BUCKET = 64
+BUCKETS_PER_PARTITION = 32
+SAMPLE_PER_PARTITION = 512
 
 
 def _sort_cols(order):
@@ -37,13 +43,12 @@ def _sort_cols(order):
 
 def _key_expr(df: DataFrame, c: str):
     """An exactly comparable stand-in for a sort column: numbers stay numbers
-    (decimals as unscaled integers), times become integers, text stays text."""
+    (decimals that fit a long as unscaled integers, wider ones as they are),
+    times become integers, text stays text."""
     dt = df.schema[c].dataType
     col = F.col(c)
     if isinstance(dt, DecimalType):
-        if dt.precision - dt.scale + dt.scale <= 18:
-            return (col * F.lit(10 ** dt.scale)).cast("long")
-        return col.cast("string")  # very wide decimals: compare as text is wrong; refuse below
+        return (col * F.lit(10 ** dt.scale)).cast("long") if dt.precision <= 18 else col
     if isinstance(dt, TimestampType):
         return F.unix_micros(col)
     if isinstance(dt, TimestampNTZType):
@@ -61,8 +66,9 @@ def _codes(vals, isnull, bnd, asc: bool):
     (numeric, or object for text) with ``isnull`` marking missing rows."""
     bnull = np.array([v is None for v in bnd], dtype=bool)
     if vals.dtype == object:
-        bv = np.array([v if v is not None else "" for v in bnd], dtype=object)
-        filled = np.where(isnull, "", vals).astype(object)
+        known = next((v for v in [*bnd, *vals] if v is not None), "")
+        bv = np.array([v if v is not None else known for v in bnd], dtype=object)
+        filled = np.array([known if m else v for v, m in zip(vals, isnull)], dtype=object)
     else:
         bv = np.array([v if v is not None else 0 for v in bnd], dtype=vals.dtype)
         filled = np.where(isnull, 0, vals)
@@ -79,7 +85,6 @@ def _codes(vals, isnull, bnd, asc: bool):
 
 def _column_values(arr):
     """numpy values + null mask for an Arrow column (numbers stay numeric)."""
-    import pyarrow as pa
     import pyarrow.compute as pc
     isnull = arr.is_null().to_numpy(zero_copy_only=False)
     t = arr.type
@@ -90,59 +95,68 @@ def _column_values(arr):
     return np.array(arr.to_pylist(), dtype=object), isnull
 
 
-def _bucket_fn(keys: list[str], asc: list[bool], bounds: list[tuple]):
-    """Arrow function: _b = number of boundaries <= the row's key."""
+def _bucket(keys: list[str], asc: list[bool], bounds: list[tuple]):
+    """Column: the number of boundaries <= the row's key."""
+    nb = len(bounds)
+
+    @F.arrow_udf("int")
+    def run(*columns: pa.Array) -> pa.Array:
+        m = len(columns[0])
+        cols = [_codes(*_column_values(c), [t[j] for t in bounds], asc[j]) for j, c in enumerate(columns)]
+        flag = np.concatenate([np.ones(m, dtype=np.int64), np.zeros(nb, dtype=np.int64)])
+        order = np.lexsort([flag] + cols[::-1])  # primary key last for lexsort
+        place = np.empty(m + nb, dtype=np.int64)
+        place[order] = np.cumsum(order >= m)
+        return pa.array(place[:m].astype(np.int32))
+
+    return run(*keys) if nb else F.lit(0)
+
+
+def _sampled(work: DataFrame, keys: list[str]) -> tuple[int, list[tuple[float, tuple]]]:
+    """(row count, [(rows it stands for, key)]) in one pass over the key columns."""
+    rows = work.select(*keys)
+
     def run(batches):
-        import pyarrow as pa
-        nb = len(bounds)
+        rng = np.random.Generator(np.random.PCG64(17))
+        n, kept, draw = 0, None, np.zeros(0)
         for b in batches:
-            m = b.num_rows
-            if m == 0:
-                continue
-            if nb == 0:
-                bucket = np.zeros(m, dtype=np.int32)
-            else:
-                cols = []
-                for j, k in enumerate(keys):
-                    vals, isnull = _column_values(b.column(b.schema.get_field_index(k)))
-                    cols.append(_codes(vals, isnull, [t[j] for t in bounds], asc[j]))
-                flag = np.concatenate([np.ones(m, dtype=np.int64), np.zeros(nb, dtype=np.int64)])
-                order = np.lexsort([flag] + cols[::-1])  # primary key last for lexsort
-                is_b = (order >= m)
-                seen = np.cumsum(is_b)
-                bucket_all = np.empty(m + nb, dtype=np.int64)
-                bucket_all[order] = seen
-                bucket = bucket_all[:m].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(list(b.columns) + [pa.array(bucket)],
-                                             names=list(b.schema.names) + ["_b"])
-    return run
-
-
-def _boundaries(work: DataFrame, keys: list[str], asc: list[bool], n: int, B: int, seed: int = 17) -> list[tuple]:
-    if B <= 1 or n == 0:
-        return []
-    target = B * SAMPLE_PER_BUCKET
-    frac = min(1.0, 1.5 * target / n)
-    rows = [tuple(r) for r in work.select(*keys).sample(False, frac, seed).collect()]  # ~target rows
-    if not rows:
+            n += b.num_rows
+            new = rng.random(b.num_rows)
+            both = pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            draw = np.concatenate([draw, new])
+            best = np.argsort(draw, kind="stable")[:SAMPLE_PER_PARTITION]
+            kept, draw = both.take(best), draw[best]
+        if kept is not None:
+            kept = kept.append_column("_n", pa.array(np.full(kept.num_rows, n, np.int64)))
+            kept = kept.append_column("_m", pa.array(np.full(kept.num_rows, kept.num_rows, np.int64)))
+            kept = kept.append_column("_i", pa.array(np.arange(kept.num_rows)))
+            yield from kept.combine_chunks().to_batches()
+
+    fields = [*rows.schema.fields, *[StructField(c, LongType()) for c in ("_n", "_m", "_i")]]
+    got = [tuple(r) for r in rows.mapInArrow(run, StructType(fields)).collect()]
+    return sum(r[-3] for r in got if r[-1] == 0), [(r[-3] / r[-2], r[:-3]) for r in got]
+
+
+def _boundaries(sample: list[tuple[float, tuple]], asc: list[bool], B: int) -> list[tuple]:
+    if B <= 1 or not sample:
         return []
 
-    def sk(t):  # Spark order: ascending puts NULL first, descending puts NULL last
+    def sk(t):  # Spark order: ascending puts NULL first, descending puts NULL last; NaN above all numbers
         out = []
         for v, a in zip(t, asc):
-            null = v is None
-            out.append(((not null) if a else null, 0 if null else (v if a else _neg(v))))
+            null, nan = v is None, v != v
+            v = 0 if null or nan else v
+            out.append(((not null) if a else null, nan if a else not nan, v if a else _neg(v)))
         return tuple(out)
 
-    rows.sort(key=sk)
-    picks = sorted({min(len(rows) - 1, (i * len(rows)) // B) for i in range(1, B)})
-    out, last = [], None
-    for i in picks:
-        t = rows[i]
-        if t != last:
+    sample = sorted(sample, key=lambda x: sk(x[1]))
+    step = sum(x for x, _ in sample) / B
+    out, passed = [], 0.0
+    for weight, t in sample:
+        if passed >= step * (len(out) + 1) and (not out or t != out[-1]):
             out.append(t)
-            last = t
-    return out
+        passed += weight
+    return out[:B - 1]
 
 
 class _Neg:
@@ -164,7 +178,8 @@ def _neg(v):
 
 def ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = None,
            n_ranges: int | None = None) -> DataFrame:
-    """Row number ``_rank`` (1-based) in the total order ``order`` (list of
+    """Any orderable columns: decimals of any width, text, times, NULL and NaN
+    (in Spark's order). Row number ``_rank`` (1-based) in the total order ``order`` (list of
     (column, ascending)), plus ``_cum`` = running sum of ``value`` up to and
     including the row, ``_n`` = row count and ``_total`` = sum of ``value``.
 
@@ -177,15 +192,12 @@ def ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | None = Non
     work = df
     for (c, _), k in zip(order, keys):
         work = work.withColumn(k, _key_expr(df, c))
-    for f in work.schema.fields:
-        if f.name in keys and isinstance(f.dataType, StringType) and isinstance(df.schema[order[keys.index(f.name)][0]].dataType, DecimalType):
-            raise ValueError("decimal sort columns wider than 18 digits are not supported")
-    n = work.count()
-    per = int(df.sparkSession.conf.get("segscope.rank.rowsPerBucket", str(ROWS_PER_BUCKET)))
-    B = int(n_ranges) if n_ranges else max(1, min(MAX_BUCKETS, math.ceil(n / per)))
-    bounds = _boundaries(work, keys, asc, n, B)
-    fields = list(work.schema.fields) + [StructField("_b", IntegerType(), False)]
-    bucketed = work.mapInArrow(_bucket_fn(keys, asc, bounds), StructType(fields)).drop(*keys)
+    n, sample = _sampled(work, keys)
+    spark = df.sparkSession
+    per = int(spark.conf.get("segscope.rank.rowsPerBucket", str(ROWS_PER_BUCKET)))
+    most = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    B = int(n_ranges) if n_ranges else max(1, min(most, math.ceil(n / per)))
+    bucketed = work.withColumn("_b", _bucket(keys, asc, _boundaries(sample, asc, B))).drop(*keys)
 
     sort_cols = _sort_cols(order)
     w = Window.partitionBy("_b").orderBy(*sort_cols)
@@ -230,13 +242,11 @@ def window_ranked(df: DataFrame, order: list[tuple[str, bool]], value: str | Non
     return out
 
 
-def average_rank(df: DataFrame, col: str, out: str, ascending: bool = False) -> DataFrame:
-    """Pandas-style average rank of ties. For a table with one row per group
-    (clusters); ties share the mean of the positions they occupy."""
-    o = F.col(col).asc() if ascending else F.col(col).desc()
-    w = Window.orderBy(o)
-    tie = Window.partitionBy(col)
-    return df.withColumn(out, (F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0).cast("double"))
+def average_rank(df: DataFrame, col: str, out: str, tiebreak: list[str], ascending: bool = False) -> DataFrame:
+    """Pandas-style average rank of ties: ties share the mean of the
+    positions they occupy. ``tiebreak`` makes the order total."""
+    r = ranked(df, [(col, ascending), *[(t, True) for t in tiebreak]])
+    return r.withColumn(out, F.avg("_rank").over(Window.partitionBy(col)).cast("double")).drop("_rank", "_n")
 
 
 def top_n(df: DataFrame, score: str, n: int, by: list[str] | None = None,

@@ -1,104 +1,67 @@
-"""Exact quantiles with bounded memory.
+"""Exact quantiles, one algorithm for every size.
 
-``percentile`` keeps a map of every distinct value of a group in one task; for
-a global quantile over a huge column that map is unbounded. ``exact_quantile``
-narrows a bracket instead: a Greenwald-Khanna sketch (``percentile_approx``,
-bounded, partially aggregated) gives bounds that must contain the target
-ranks, rows below the bracket are counted, and the loop repeats on the rows
-inside the bracket until they are few enough to read exactly. Each round
-shrinks the bracket by about the sketch accuracy (10^4 by default), so a
-trillion rows need three rounds. Linear interpolation between the two
-neighbouring order statistics (pandas / DuckDB rule).
+The rows are first counted per (group, feature, value): ties collapse under
+map-side combine, so a heavy value costs one row. ``ranked`` then gives running
+counts over the total order (group, feature, value) without putting a group into
+one task, and each quantile is read off the one or two values whose ranges of
+positions hold its neighbouring ranks. Linear interpolation between the two
+neighbouring order statistics (pandas / DuckDB rule). NULL groups are groups;
+NULL and NaN values are skipped; a group without values has no row.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def _clean_values(df: DataFrame, col: str) -> DataFrame:
-    v = F.col(col).cast("double")
-    return df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
+def feature_quantiles(df: DataFrame, keys: list[str], features: list[str], probs: dict[str, float],
+                      name: str = "feature") -> DataFrame:
+    """keys..., ``name`` (the feature), one column per quantile."""
+    from .rank import ranked
+    ids = [f"_g{i}" for i in range(len(keys))]
+    named = df.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], *[F.col(f).cast("double").alias(f"_f{j}") for j, f in enumerate(features)])
+    long = named.unpivot(ids, [f"_f{j}" for j in range(len(features))], "_feature", "_v") if features else None
+    counts = long.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*ids, "_feature", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # used by the sample, the ranks and the group totals: worked out once
+    counts = cut_lineage(counts.withColumn("_c", F.col("_c").cast("decimal(20,0)")))
+    group = [*ids, "_feature"]
+    r = ranked(counts, [(c, True) for c in [*group, "_v"]], value="_c")
+    r = r.select(*group, "_v", (F.col("_cum") - F.col("_c")).alias("_from"), F.col("_cum").alias("_to"))
+    ends = r.groupBy(*group).agg(F.min("_from").alias("_start"), F.max("_to").alias("_end"))
+    ends = ends.select(*[F.col(c).alias(f"{c}_e") for c in group], "_start", (F.col("_end") - F.col("_start") - 1).cast("double").alias("_last"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_e")) for c in group])
+    j = r.join(ends, same).select(*group, "_v", "_last", (F.col("_from") - F.col("_start")).cast("double").alias("_a"),
+                                  (F.col("_to") - F.col("_start")).cast("double").alias("_b"))
+    aggs, picked = [], F.lit(False)
+    for i, q in enumerate(probs.values()):
+        h = F.col("_last") * F.lit(float(q))
+        lo, hi = F.floor(h), F.ceil(h)
+        at = lambda pos: (F.col("_a") <= pos) & (pos < F.col("_b"))
+        picked = picked | at(lo) | at(hi)
+        aggs += [F.max(F.when(at(lo), F.col("_v"))).alias(f"_l{i}"), F.max(F.when(at(hi), F.col("_v"))).alias(f"_h{i}"),
+                 F.max(h - lo).alias(f"_d{i}")]
+    out = j.where(picked).groupBy(*group).agg(*aggs)
+    which = F.element_at(F.create_map(*[x for j, f in enumerate(features) for x in (F.lit(f"_f{j}"), F.lit(f))]), F.col("_feature"))
+    return out.select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], which.alias(name), *[
+        (F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_d{i}")).alias(p) for i, p in enumerate(probs)])
 
-def exact_quantile(df: DataFrame, col: str, q: float, limit: int = 200_000,
-                   accuracy: int = 10_000) -> float | None:
-    """Exact q-quantile of a column (NULL and NaN skipped), None if empty."""
-    vals = _clean_values(df, col)
-    n = vals.count()
-    if n == 0:
-        return None
-    h = (n - 1) * q
-    k0 = int(math.floor(h))
-    k1 = min(k0 + 1, n - 1)
-    frac = h - k0
-    lo = hi = None
-    below = 0
-    m = n
-    margin = 2.0 / accuracy
-    while True:
-        sub = vals
-        if lo is not None:
-            sub = vals.filter((F.col("v") >= lo) & (F.col("v") <= hi))
-        if m <= limit or (lo is not None and lo == hi):
-            if lo is not None and lo == hi:
-                return float(lo)
-            xs = sorted(r[0] for r in sub.collect())  # at most `limit` values
-            a, b = xs[k0 - below], xs[k1 - below]
-            return float(a + (b - a) * frac)
-        p0 = max(0.0, (k0 - below) / m - margin)
-        p1 = min(1.0, (k1 - below) / m + margin)
-        new_lo, new_hi = sub.agg(F.percentile_approx("v", [p0, p1], accuracy)).first()[0]
-        st = sub.agg(F.count(F.when(F.col("v") < new_lo, 1)).alias("b"),
-                     F.count(F.when((F.col("v") >= new_lo) & (F.col("v") <= new_hi), 1)).alias("m")).first()
-        nb, nm = below + st["b"], st["m"]
-        if nb <= k0 and nb + nm > k1:  # the bracket holds both target ranks
-            lo, hi, below, m = new_lo, new_hi, nb, nm
-        else:  # sketch bound missed (should not happen): widen and retry
-            margin *= 4
-            if margin > 1:
-                lo, hi, m = None, None, n
-                below = 0
-                limit = n  # last resort: exact read (only reachable on a broken sketch)
 
+def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of one column per group."""
+    return feature_quantiles(df, keys, [col], probs, "_which").drop("_which")
 
-GROUP_MAP_LIMIT = 5_000_000
 
+def column_quantiles(df: DataFrame, cols: list[str], q: float) -> dict[str, float | None]:
+    """Exact q-quantile of each column (None without values); one row per column reaches the driver."""
+    rows = {r["feature"]: r["q"] for r in feature_quantiles(df, [], cols, {"q": q}).collect()}
+    return {c: rows.get(c) for c in cols}
 
-def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float],
-                    limit: int = GROUP_MAP_LIMIT) -> DataFrame:
-    """Exact per-group quantiles (linear interpolation), NULL/NaN skipped.
 
-    Spark's ``percentile`` keeps, per group, a map of the group's distinct
-    values in one task. The groups are counted first: while the largest holds
-    at most ``limit`` rows that map is bounded and ``percentile`` is used.
-    Above it, the quantiles are read off global ranks (``ranked`` over group,
-    value and a spreading tie-break): a hot group is cut across many buckets
-    and only two rows per quantile and group are picked."""
-    from .combine import join_small
-    from .rank import ranked
-    v = F.col(col).cast("double")
-    d = df.select(*keys, F.when(~F.isnan(v), v).alias("_v")).filter(F.col("_v").isNotNull())
-    limit = int(df.sparkSession.conf.get("segscope.quantile.groupMapLimit", str(limit)))
-    biggest = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if biggest is None or biggest <= limit:
-        return d.groupBy(*keys).agg(*[F.percentile("_v", p).alias(name) for name, p in probs.items()])
-    d = d.withColumn("_tb", F.monotonically_increasing_id())
-    r = ranked(d, [(k, True) for k in keys] + [("_v", True), ("_tb", True)])
-    starts = r.groupBy(*keys).agg(F.min("_rank").alias("_s"), F.count(F.lit(1)).alias("_gn"))
-    r = join_small(r, starts, keys, "inner").withColumn("_j", F.col("_rank") - F.col("_s"))
-    aggs, fin, cond = [], [], None
-    for name, q in probs.items():
-        h = (F.col("_gn") - 1) * F.lit(float(q))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("_gn") - 1)
-        c = (F.col("_j") == lo) | (F.col("_j") == hi)
-        cond = c if cond is None else (cond | c)
-        aggs += [F.max(F.when(F.col("_j") == lo, F.col("_v"))).alias(f"_{name}_lo"),
-                 F.max(F.when(F.col("_j") == hi, F.col("_v"))).alias(f"_{name}_hi"),
-                 F.max(h - lo).alias(f"_{name}_d")]
-        fin.append((F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_d")).alias(name))
-    return r.filter(cond).groupBy(*keys).agg(*aggs).select(*keys, *fin)
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """Exact q-quantile of a column (NULL and NaN skipped), None if empty."""
+    return column_quantiles(df, [col], q)[col]

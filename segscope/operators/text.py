@@ -98,7 +98,7 @@ def tfidf_vectors(df: DataFrame, key: str, text: str, max_features: int = 10000,
 def text_cluster_stats(df: DataFrame, label: str) -> DataFrame:
     """Documents per cluster, % of all (2 dp), relative density (3 dp)."""
     g = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_documents"))
-    pct = F.col("n_documents") / F.sum("n_documents").over(Window.partitionBy()) * 100
+    pct = F.col("n_documents") / g.agg(F.sum("n_documents")).scalar() * 100
     return (g.withColumn("pct", rnd(pct, 2))
              .withColumn("pct_text", F.format_string("%.2f%%", rnd(pct, 2)))
              .withColumn("density", rnd(pct / 100, 3)))

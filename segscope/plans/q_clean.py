@@ -85,13 +85,13 @@ UNION ALL SELECT 3, 'p_retailprice', COALESCE(SUBSTR(CAST(ARG_MIN(p_retailprice,
 
 
 def column_widths(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    p = _t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     return C.column_widths(p)
 
 
 SQL_COLUMN_WIDTHS = " UNION ALL ".join(
     f"SELECT {i} AS pos, '{c}' AS column, LEAST(GREATEST(COALESCE(MAX(LENGTH(CAST({c} AS VARCHAR))), 0), {len(c)}) + 2, 50) AS width FROM part"
-    for i, c in enumerate(["p_partkey", "p_name", "p_brand", "p_type", "p_size"]))
+    for i, c in enumerate(["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]))
 
 
 def _texty_part(spark, d):

@@ -158,17 +158,17 @@ def _part_vec(spark, d):
 
 
 def kmeans_sweep(spark, d):
-    s = CL.k_sweep(_part_vec(spark, d), "features", range(2, 7), seed=42, metrics="all")
+    s = CL.k_sweep(_part_vec(spark, d), "features", range(2, 11), seed=42, metrics="all")
     return s.select("k", *[rnd(c, 6).alias(c) for c in s.columns if c != "k"])
 
 
 def best_k_silhouette(spark, d):
-    return CL.best_k_silhouette(CL.k_sweep(_part_vec(spark, d), "features", range(2, 7), seed=42))
+    return CL.best_k_silhouette(CL.k_sweep(_part_vec(spark, d), "features", range(2, 11), seed=42))
 
 
 def best_k_vote(spark, d):
     v = _part_vec(spark, d)
-    return CL.best_k_vote(CL.k_sweep(v, "features", range(2, 7), seed=42, metrics="all"), v.count())
+    return CL.best_k_vote(CL.k_sweep(v, "features", range(2, 11), seed=42, metrics="all"), v.count())
 
 
 def kmeans_part(spark, d):
@@ -187,7 +187,7 @@ def projection_table(spark, d):
 
 
 def text_segmentation(spark, d):
-    r = SEG.text_segmentation(_t(spark, d, "documents"), "doc_id", ["text"], 2, 6)
+    r = SEG.text_segmentation(_t(spark, d, "documents"), "doc_id", ["text"], 2, 10)
     return r["result"].select("doc_id", "lang", "cluster_text", rnd("tsne_1", 6).alias("tsne_1"),
                               rnd("tsne_2", 6).alias("tsne_2"))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import to_number, to_ts
 from ..functions.text import MIXED_TOKEN, stop_words
 from ..operators import clean as C
 from ..operators import cluster as CL
@@ -30,7 +31,7 @@ def text_segmentation(df: DataFrame, key: str, text_cols: list[str], k_min: int
     sweep = CL.k_sweep(vec, "features", range(k_min, k_max + 1), seed=seed, metrics="silhouette").persist()
     best_k = CL.best_k_silhouette(sweep, k_min).first()["best_k"]
     labelled, _ = CL.kmeans(vec, "features", best_k, seed=seed, out="cluster_text")
-    proj = PJ.project(labelled, "features", 2, prefix="tsne_")
+    proj = PJ.project(labelled, "features", 2, prefix="tsne_", method="random_pca")
     result = d.join(proj.select(key, "cluster_text", "tsne_1", "tsne_2"), key)
     return {"result": result, "sweep": sweep,
             "stats": T.text_cluster_stats(result, "cluster_text"),
@@ -44,19 +45,17 @@ def numeric_segmentation(df: DataFrame, key: str, features: list[str], method: s
     in 2-D and 3-D (P1), statistics (H1), summary (F9) and quality (G2).
 
     ``method='density'`` (default, as the reference) uses the grid density
-    clustering (F6, noise = -1, at most 6 features); ``'kmeans'`` uses k-means
+    clustering (F6, noise = -1); ``'kmeans'`` uses k-means
     with k chosen by silhouette unless given."""
     from pyspark.ml.feature import VectorAssembler
     from ..operators import profile as H
-    from ..operators.density import MAX_DIMS, density_cluster
+    from ..operators.density import density_cluster
     from ..operators.quality import silhouette
     C.validate(df, features, min_features=2)
     d = FE.standardize(C.impute_median(df.select(key, *features), features), features, suffix="_z")
     zc = [f + "_z" for f in features]
     v = VectorAssembler(inputCols=zc, outputCol="features").transform(d).persist()
     if method == "density":
-        if len(features) > MAX_DIMS:
-            raise C.ValidationError(f"density segmentation takes at most {MAX_DIMS} features")
         lab = density_cluster(v, zc, cell, min_samples, min_cluster_size, out="cluster_num")
     else:
         if k is None:
@@ -79,7 +78,10 @@ def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_feat
     from pyspark.ml.functions import vector_to_array
     cols = list(types)
     C.validate(df, cols, types)
-    d = df.select(key, *cols)
+    # bad numbers and dates in text columns are missing
+    as_type = {C.NUMERIC: to_number, C.DATE: to_ts}
+    d = df.select(key, *[as_type[types[c]](c).alias(c) if types[c] in as_type and df.schema[c].dataType.typeName() == "string"
+                         else F.col(c) for c in cols])
     parts = []
     nums = [c for c in cols if types[c] == C.NUMERIC]
     if nums:

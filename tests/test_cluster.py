@@ -87,3 +87,37 @@ def test_autoencoder_loss_falls(spark):
     assert m["dim"] == 2 and m["history"][-1] < m["history"][0]
     enc = encode(df, "features", m)
     assert enc.count() == 400 and len(enc.first()["encoded"]) == 2
+
+
+def test_density_long_line_and_ten_features(spark):
+    from segscope.operators.density import density_cluster
+    line = spark.range(2000 * 5).selectExpr("id", "cast(id div 5 as double) as x", "0.0 + (id % 2) as y")
+    got = density_cluster(line, ["x"], cell=1.7320508 / 2000 * 2, min_samples=2, min_cluster_size=5)
+    assert got.select("cluster_num").distinct().count() == 1
+    many = spark.range(400).selectExpr("id", *[f"cast((id % 2) * 50 + rand({i}) * 0.01 as double) as f{i}" for i in range(10)])
+    got = density_cluster(many, [f"f{i}" for i in range(10)], cell=1.0, min_samples=3, min_cluster_size=20)
+    assert got.groupBy((got.id % 2).alias("g")).agg({"cluster_num": "max"}).distinct().count() == 2
+
+
+def test_sweep_has_one_cluster_and_missing_vectors_have_no_label(spark):
+    from segscope.operators.cluster import assign, k_sweep
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "id int, x array<double>")
+    rows = {r["k"]: r for r in k_sweep(_vec(df), "v", range(1, 4)).collect()}
+    assert sorted(rows) == [1, 2, 3] and rows[1]["silhouette"] == -1.0 and abs(rows[1]["sse"] - 20.0) < 1e-9
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [5.0, 5.0]), (4, [1.0])], "id int, x array<double>")
+    got = {r["id"]: (r["cluster"], r["dist"]) for r in assign(odd, "x", [[0.0, 0.0], [5.0, 4.0]], dist_out="dist").collect()}
+    assert got == {1: (0, 0.0), 2: (None, None), 3: (1, 1.0), 4: (None, None)}
+
+
+def _vec(df):
+    from pyspark.ml.functions import array_to_vector
+    return df.withColumn("v", array_to_vector("x"))
+
+
+def test_mixed_features_take_bad_numbers_and_dates(spark):
+    from segscope.operators import clean as C
+    from segscope.plans.segmentation import mixed_features
+    df = spark.createDataFrame([(1, "3.5", "2024-01-01"), (2, "x", "not a date"), (3, None, None), (4, "1.5", "2024-02-30")],
+                               "id int, n string, d string")
+    got = mixed_features(df, "id", {"n": C.NUMERIC, "d": C.DATE}).collect()
+    assert len(got) == 4 and all(len(r["features"]) == 5 for r in got)

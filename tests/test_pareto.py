@@ -72,7 +72,7 @@ def test_potential(p):
 
 def test_average_rank(spark):
     d = spark.createDataFrame([(1, 4.0), (2, 1.0), (3, 4.0), (4, 2.0)], "id int, v double")
-    got = {r["id"]: r["r"] for r in average_rank(d, "v", "r").collect()}
+    got = {r["id"]: r["r"] for r in average_rank(d, "v", "r", ["id"]).collect()}
     assert got == {1: 1.5, 2: 4.0, 3: 1.5, 4: 3.0}
 
 
