@@ -353,6 +353,21 @@ def pareto_chart_data(p: DataFrame, value: str, label_col: str | None = None, n:
                       F.col("cum_pct"), (F.col("cum_pct") <= F.lit(float(threshold))).alias("in_threshold"))
 
 
+def flagged_in_chart(chart: DataFrame) -> DataFrame:
+    """C11: how many elements of the chart lie inside the threshold."""
+    return chart.agg(F.count(F.lit(1)).alias("n_shown"), F.count(F.when(F.col("in_threshold"), 1)).alias("n_flagged"))
+
+
+def pareto_options(df: DataFrame, cluster: str) -> DataFrame:
+    """The pick-lists of the Pareto page as rows (list, value): clusters,
+    numeric variables (without the cluster column) and display columns."""
+    from .clean import numeric_columns
+    names = [("variable", c) for c in numeric_columns(df, [cluster])] + [("display", c) for c in df.columns]
+    rows = F.array(*[F.struct(F.lit(k).alias("list"), F.lit(v).alias("value")) for k, v in names])
+    lists = df.limit(1).select(F.inline(rows))
+    return cluster_options(df, cluster).select(F.lit("cluster").alias("list"), "value").unionByName(lists)
+
+
 def chart_ticks(chart: DataFrame, ticks: int = 20) -> DataFrame:
     """Every max(1, m // ticks)-th element of the chart rows (m rows);
     tick text cut to 10 characters + '...'."""

@@ -90,6 +90,15 @@ def box_stats(long: DataFrame, label: str, k: float = 1.5) -> DataFrame:
                   F.count(F.when(~inside, 1)).alias("n_outliers")))
 
 
+def box_outliers(long: DataFrame, label: str, k: float = 1.5) -> DataFrame:
+    """H8: the rows outside the whiskers of their (cluster, feature)."""
+    keys = [label, "feature"]
+    q = group_quantiles(long, keys, "value", {"_q1": 0.25, "_q3": 0.75})
+    reach = k * (F.col("_q3") - F.col("_q1"))
+    j = join_small(long.filter(F.col("value").isNotNull()), q, keys, "inner")
+    return j.filter((F.col("value") < F.col("_q1") - reach) | (F.col("value") > F.col("_q3") + reach)).drop("_q1", "_q3")
+
+
 def feature_importance(stats: DataFrame, label: str, features: list[str], n: int = 10,
                        noise=-1) -> DataFrame:
     """H9: for each feature, std of the cluster means / mean of the cluster

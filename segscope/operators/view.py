@@ -49,14 +49,12 @@ def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
 
 
-def format_view(df: DataFrame, amounts: list[str] = (), pcts: list[str] = (), digits: int = 1) -> DataFrame:
-    """Amounts as '1,234.56', percentages as 'x.x%', missing as ''."""
-    out = df
-    for c in amounts:
-        out = out.withColumn(c, fmt_amount(c))
-    for c in pcts:
-        out = out.withColumn(c, fmt_pct(c, digits))
-    return out
+def format_view(df: DataFrame, amounts: list[str] = (), pcts: list[str] = (), digits: int = 1,
+                missing: str = "") -> DataFrame:
+    """Amounts as '1,234.56', percentages as 'x.x%', missing values as
+    ``missing`` ('' in tables and cards, 'N/A' in cluster statistics)."""
+    show = lambda c, text: F.when(F.col(c).isNull(), F.lit(missing)).otherwise(text)
+    return df.withColumns({**{c: show(c, fmt_amount(c)) for c in amounts}, **{c: show(c, fmt_pct(c, digits)) for c in pcts}})
 
 
 def short_labels(df: DataFrame, col: str, n: int = 20, out: str = "label") -> DataFrame:

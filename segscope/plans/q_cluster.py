@@ -279,11 +279,9 @@ SQL_READ_FORMATS = " UNION ALL ".join(
 
 
 def book(spark, d):
-    import os
-    base = IO.scratch_path(spark, "book").replace("file:", "")
-    os.makedirs(base, exist_ok=True)
-    IO.write_table(_t(spark, d, "region"), f"file:{base}/region.csv", "csv")
-    IO.write_table(_t(spark, d, "nation"), f"file:{base}/nation.parquet", "parquet")
+    base = IO.scratch_path(spark, "book")
+    IO.write_table(_t(spark, d, "region"), f"{base}/region.csv", "csv")
+    IO.write_table(_t(spark, d, "nation"), f"{base}/nation.parquet", "parquet")
     b = IO.read_book(spark, base)
     rows = [b[name].agg(F.count(F.lit(1)).alias("n_rows")).withColumn("sheet", F.lit(name)) for name in sorted(b)]
     out = rows[0]

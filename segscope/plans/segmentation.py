@@ -69,6 +69,19 @@ def numeric_segmentation(df: DataFrame, key: str, features: list[str], method: s
             "quality": silhouette(lab, "features", "cluster_num")}
 
 
+_CUSTOM: dict = {}
+
+
+def register_type(name: str, fn) -> None:
+    """``fn(df, column) -> (df, [feature columns])`` builds the features of
+    every column of the semantic type ``name`` (a built-in type is replaced)."""
+    _CUSTOM[name] = fn
+
+
+def unregister_type(name: str) -> None:
+    _CUSTOM.pop(name, None)
+
+
 def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_features: int = 100) -> DataFrame:
     """Per-type transforms concatenated in column order: numeric -> median
     impute + standardise; categorical -> 'missing' + one-hot; text -> TF-IDF
@@ -77,23 +90,27 @@ def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_feat
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     cols = list(types)
-    C.validate(df, cols, types)
+    C.validate(df, cols, {c: t for c, t in types.items() if t not in _CUSTOM} | {c: C.NUMERIC for c, t in types.items() if t in _CUSTOM})
     # bad numbers and dates in text columns are missing
     as_type = {C.NUMERIC: to_number, C.DATE: to_ts}
-    d = df.select(key, *[as_type[types[c]](c).alias(c) if types[c] in as_type and df.schema[c].dataType.typeName() == "string"
+    d = df.select(key, *[as_type[types[c]](c).alias(c) if types[c] in as_type and types[c] not in _CUSTOM and df.schema[c].dataType.typeName() == "string"
                          else F.col(c) for c in cols])
     parts = []
-    nums = [c for c in cols if types[c] == C.NUMERIC]
+    built_in = [c for c in cols if types[c] not in _CUSTOM]
+    nums = [c for c in built_in if types[c] == C.NUMERIC]
     if nums:
         d = FE.standardize(C.impute_median(d, nums), nums, suffix="_z")
-    cats = [c for c in cols if types[c] == C.CATEGORICAL]
+    cats = [c for c in built_in if types[c] == C.CATEGORICAL]
     if cats:
         d = C.impute_const(d.select(*[F.col(c).cast("string").alias(c) if c in cats else F.col(c) for c in d.columns]),
                            cats, "missing")
         d = FE.one_hot_vectors(d, cats, out_col="_onehot")
     for c in cols:
         t = types[c]
-        if t == C.NUMERIC:
+        if t in _CUSTOM:
+            d, made = _CUSTOM[t](d, c)
+            parts += made
+        elif t == C.NUMERIC:
             parts.append(c + "_z")
         elif t == C.CATEGORICAL:
             if "_onehot" not in parts:

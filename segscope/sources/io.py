@@ -8,8 +8,6 @@ per-cluster sheets become ``partitionBy`` folders.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +40,18 @@ def _format_of(name: str) -> str | None:
 def read_book(spark: SparkSession, directory: str, format: str | None = None, do_clean: bool = True) -> dict[str, DataFrame]:
     """A2/A3: every dataset under ``directory`` (one per sheet), cleaned, keyed
     by name. An entry in an unknown format is an error."""
+    # listed through the Hadoop file system, so any store that Spark reads will do
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     book = {}
-    for entry in sorted(os.listdir(directory)):
+    for entry in sorted(x.getPath().getName() for x in fs.listStatus(path)):
         if entry.startswith((".", "_")):
             continue
         fmt = format or _format_of(entry)
         if fmt is None:
             raise ValueError(f"unsupported format for {entry!r}")
         name = entry.rsplit(".", 1)[0]
-        book[name] = read_table(spark, os.path.join(directory, entry), fmt, do_clean)
+        book[name] = read_table(spark, f"{directory.rstrip('/')}/{entry}", fmt, do_clean)
     return book
 
 
@@ -105,7 +106,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:8]}"
-
-
-def row_count_by_format(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n_rows"))
