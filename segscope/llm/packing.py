@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, slices
 from .tokens import encoder
 
+BROADCAST_FILES = 100_000  # beyond, the join shuffles
 PIECE = "doc_id long, start long, length int, doc_tokens long, width int, ids binary"
 
 
@@ -81,7 +82,8 @@ def pack_documents(df: DataFrame, path: str | None = None, **options) -> DataFra
     counts = stored.groupBy("length", "_file").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("length", "_file").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    return stored.join(base, "_file").select(
+    few = base.count() <= BROADCAST_FILES
+    return stored.join(F.broadcast(base) if few else base, "_file").select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "width", "ids",
         (F.col("_base") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
