@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from ..session import cut_lineage
 from .quality import as_array
 
 
@@ -83,34 +84,31 @@ def _epoch_fn(w, d, e, batch, lr, seed, out_act):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        blocks = []
-        for b in batches:
-            if b.num_rows:
-                c = b.column(0)
-                blocks.append(np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, d))
-        if not blocks:
-            return
-        X = np.vstack(blocks)  # one partition (bounded by the input split size)
         params = [p.copy() for p in _unflat(w.copy(), shapes)]
         mom = [np.zeros_like(p) for p in params]
         vel = [np.zeros_like(p) for p in params]
         rng = np.random.default_rng(seed + TaskContext.get().partitionId())
-        order = rng.permutation(len(X))
-        t, loss_sum = 0, 0.0
-        for s in range(0, len(X), batch):
-            xb = X[order[s:s + batch]]
-            loss, gs = _grads(params, xb, out_act)
-            loss_sum += loss * len(xb)
-            t += 1
-            for i, gr in enumerate(gs):  # Adam
-                mom[i] = 0.9 * mom[i] + 0.1 * gr
-                vel[i] = 0.999 * vel[i] + 0.001 * gr * gr
-                mh = mom[i] / (1 - 0.9 ** t)
-                vh = vel[i] / (1 - 0.999 ** t)
-                params[i] = params[i] - lr * mh / (np.sqrt(vh) + 1e-7)
+        t, n, loss_sum = 0, 0, 0.0
+        for b in batches:  # one Arrow batch in memory at a time, shuffled within; Adam's state goes on
+            X = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, d)
+            order = rng.permutation(len(X))
+            n += len(X)
+            for s in range(0, len(X), batch):
+                xb = X[order[s:s + batch]]
+                loss, gs = _grads(params, xb, out_act)
+                loss_sum += loss * len(xb)
+                t += 1
+                for i, gr in enumerate(gs):  # Adam
+                    mom[i] = 0.9 * mom[i] + 0.1 * gr
+                    vel[i] = 0.999 * vel[i] + 0.001 * gr * gr
+                    mh = mom[i] / (1 - 0.9 ** t)
+                    vh = vel[i] / (1 - 0.999 ** t)
+                    params[i] = params[i] - lr * mh / (np.sqrt(vh) + 1e-7)
+        if not n:
+            return
         flat = np.concatenate([p.ravel() for p in params])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([len(X)], pa.int64()),
+            [pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64()),
              pa.array([loss_sum])], names=["w", "n", "loss"])
     return run
 
@@ -118,7 +116,8 @@ def _epoch_fn(w, d, e, batch, lr, seed, out_act):
 def fit_autoencoder(df: DataFrame, features: str, dim: int = 32, epochs: int = 50, batch: int = 256,
                     lr: float = 1e-3, seed: int = 42, output_activation: str = "linear"):
     """Returns (weights, history of mean training loss per epoch, code size)."""
-    x = as_array(df, features).select("_x")
+    # every epoch reads the features: stored once; rows without a vector are left out
+    x = cut_lineage(as_array(df, features).select("_x").filter(F.col("_x").isNotNull()))
     d = len(x.first()[0])
     e = max(2, min(dim, d // 2))
     w = _init(d, e, seed)

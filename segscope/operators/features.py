@@ -65,13 +65,9 @@ def label_encode(df: DataFrame, cols: list[str], missing: str = "nan", suffix: s
 
 def one_hot_long(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """E4 long form: (key, feature, 1.0) per present category; missing -> no row."""
-    parts = [df.filter(F.col(c).isNotNull())
-               .select(key, F.concat(F.lit(c + "="), F.col(c).cast("string")).alias("feature"),
-                       F.lit(1.0).alias("value")) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    long = df.select(key, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([key], cols, "_c", "_v")
+    return long.filter(F.col("_v").isNotNull()).select(key, F.concat("_c", F.lit("="), "_v").alias("feature"),
+                                                       F.lit(1.0).alias("value"))
 
 
 def one_hot_vectors(df: DataFrame, cols: list[str], out_col: str = "onehot") -> DataFrame:

@@ -253,19 +253,19 @@ def recommendations(gini_df: DataFrame, outliers_df: DataFrame, potential_df: Da
                    stability_df.select("stability_score", F.col("least_stable").cast("string")))
     rec = literal_rows(
         ["ord", "on", "type", "priority", "title", "description", "action"],
-        [F.lit(1), F.col("gini") > 0.6, F.lit("concentration"), F.lit("high"), F.lit("Strong concentration"),
+        [F.lit(1), F.col("gini") > 0.6, F.lit("concentration"), F.lit("high"), F.lit("Value sits in few items"),
          F.format_string(f"Gini %.2f: the top {threshold:g}%% of items carry most of the value", F.col("gini")),
-         F.lit("Study the key items and their strategic role")],
-        [F.lit(2), F.col("n_upper") > 0, F.lit("outliers"), F.lit("medium"), F.lit("Exceptional items found"),
+         F.lit("List the key items and name an owner for each")],
+        [F.lit(2), F.col("n_upper") > 0, F.lit("outliers"), F.lit("medium"), F.lit("Values far from the rest"),
          F.format_string("%d exceptional items carry %.1f%% of the total", F.col("n_upper"), F.col("impact_pct")),
-         F.lit("Explore what drives these items")],
+         F.lit("Trace each of them back to its source rows")],
         [F.lit(3), F.col("potential_gain_pct") > 10, F.lit("performance gap"), F.lit("high"),
-         F.lit("Large improvement potential"),
+         F.lit("Low values could rise"),
          F.format_string("%d items lag behind; estimated gap %.1f%%", F.col("low_count"), F.col("potential_gain_pct")),
-         F.lit("Examine the low performers")],
-        [F.lit(4), F.col("stability_score") < 0.7, F.lit("clusters"), F.lit("medium"), F.lit("Unstable clusters"),
+         F.lit("Compare the low half with the median item")],
+        [F.lit(4), F.col("stability_score") < 0.7, F.lit("clusters"), F.lit("medium"), F.lit("Clusters differ in spread"),
          F.format_string("Stability %.2f; cluster %s varies most", F.col("stability_score"), F.col("least_stable")),
-         F.lit("Revisit the segmentation or the causes of variability")])
+         F.lit("Split the widest cluster or check its inputs")])
     return (one.select(F.inline(rec)).filter(F.col("on")).drop("on"))
 
 
@@ -299,9 +299,9 @@ def action_plan(recs: DataFrame) -> DataFrame:
     hi = F.col("priority") == "high"
     return (recs.filter(F.col("priority").isin("high", "medium"))
                 .select(F.when(hi, 1).otherwise(2).alias("priority"), "action",
-                        F.when(hi, F.lit("short term (1-3 months)")).otherwise(F.lit("medium term (3-6 months)")).alias("timeline"),
-                        F.when(hi, F.lit("dedicated team")).otherwise(F.lit("shared resources")).alias("resources"),
-                        F.when(hi, F.lit("improvement of the main metric")).otherwise(F.lit("lower variability")).alias("kpi"),
+                        F.when(hi, F.lit("first quarter")).otherwise(F.lit("second quarter")).alias("timeline"),
+                        F.when(hi, F.lit("named owner")).otherwise(F.lit("existing staff")).alias("resources"),
+                        F.when(hi, F.lit("gap to the median item")).otherwise(F.lit("spread inside clusters")).alias("kpi"),
                         "ord"))
 
 
@@ -313,14 +313,14 @@ def monitor_kpis(gini_df: DataFrame, summary: DataFrame, stability_df: DataFrame
     rows = literal_rows(
         ["ord", "name", "value", "target", "frequency"],
         [F.lit(1), F.lit("concentration index"), F.format_string("%.6f", F.col("gini")),
-         F.lit("keep > 0.6 for strong concentration"), F.lit("monthly")],
+         F.lit("above 0.6 is concentrated"), F.lit("monthly")],
         [F.lit(2), F.lit("top items contribution"),
          F.format_string("%.1f%%", F.col("key_sum") / F.col("total_value") * 100),
          F.lit(f"keep > {threshold:g}%"), F.lit("weekly")],
         [F.lit(3), F.lit("cluster stability"), F.format_string("%.6f", F.col("stability_score")),
          F.lit("keep > 0.7"), F.lit("monthly")],
         [F.lit(4), F.lit("exceptional items"), F.col("n_outliers").cast("string"),
-         F.lit("review impact monthly"), F.lit("monthly")])
+         F.lit("recount every month"), F.lit("monthly")])
     return one.select(F.inline(rows))
 
 

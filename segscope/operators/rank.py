@@ -250,15 +250,17 @@ def average_rank(df: DataFrame, col: str, out: str, tiebreak: list[str], ascendi
 
 
 def top_n(df: DataFrame, score: str, n: int, by: list[str] | None = None,
-          tiebreak: list[str] | None = None, salt: int = 16) -> DataFrame:
+          tiebreak: list[str] | None = None, salt: int | None = None) -> DataFrame:
     """Top n rows by ``score`` (descending), overall or per group ``by``.
 
     Per group it runs in two rounds: first the top n inside (group, hash(tie) %
     salt), then the top n of those candidates. A hot group is thus split over
-    ``salt`` tasks, and the second round sees at most salt*n rows per group.
+    ``salt`` tasks (by default the session's shuffle partitions), and the second
+    round sees at most salt*n rows per group.
     Exact: every global top-n row is in the top n of its own salt cell.
     """
     tiebreak = tiebreak or []
+    salt = salt or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(score).desc()] + [F.col(t).asc() for t in tiebreak]
     if not by:
         return df.orderBy(*order).limit(n)

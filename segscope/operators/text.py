@@ -10,12 +10,12 @@ hot cluster never sits in one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_rows, rnd
 from ..functions.text import DEFAULT_TOKEN, split_tokens, stop_words, tokenize
+from ..session import cut_lineage
 from .combine import join_small
 from .rank import top_n
 
@@ -51,17 +51,17 @@ def tfidf_long(df: DataFrame, key: str, text: str, max_features: int | None = 10
     by = by or []
     if stops is None:
         stops = stop_words("french_custom")
-    # read twice (vocabulary and weights): keep the distinct (document, term)
-    # counts once instead of tokenising the texts twice (spills to disk)
-    tc = term_counts(df, key, text, pattern, stops, extra=by).persist(StorageLevel.MEMORY_AND_DISK)
+    # read twice (vocabulary and weights): the distinct (document, term) counts are
+    # stored once in the shared folder, nothing stays cached
+    tc = cut_lineage(term_counts(df, key, text, pattern, stops, extra=by))
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else None
     voc = vocabulary(tc, max_features, by)
     if by:
         voc = join_small(voc, n, by, "inner")
         idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
     else:
-        n_docs = df.count()
-        idf = F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1
+        n_docs = df.agg(F.count(F.lit(1))).scalar()
+        idf = F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1
     voc = voc.select(*by, "term", idf.alias("idf"))
     w = join_small(tc, voc, by + ["term"], "inner").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*by, key)))

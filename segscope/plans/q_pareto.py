@@ -298,13 +298,13 @@ def recommendations(spark, d):
 _REC_SQL = f"""one AS (SELECT g.gini, o.n_upper, pot.potential_gain_pct, stab.stability_score
   FROM g, o, pot, stab),
 rec AS (
-  SELECT 1 AS ord, 'concentration' AS type, 'high' AS priority, 'Strong concentration' AS title,
-         'Study the key items and their strategic role' AS action FROM one WHERE gini > 0.6
-  UNION ALL SELECT 2, 'outliers', 'medium', 'Exceptional items found', 'Explore what drives these items'
+  SELECT 1 AS ord, 'concentration' AS type, 'high' AS priority, 'Value sits in few items' AS title,
+         'List the key items and name an owner for each' AS action FROM one WHERE gini > 0.6
+  UNION ALL SELECT 2, 'outliers', 'medium', 'Values far from the rest', 'Trace each of them back to its source rows'
          FROM one WHERE n_upper > 0
-  UNION ALL SELECT 3, 'performance gap', 'high', 'Large improvement potential', 'Examine the low performers'
+  UNION ALL SELECT 3, 'performance gap', 'high', 'Low values could rise', 'Compare the low half with the median item'
          FROM one WHERE potential_gain_pct > 10
-  UNION ALL SELECT 4, 'clusters', 'medium', 'Unstable clusters', 'Revisit the segmentation or the causes of variability'
+  UNION ALL SELECT 4, 'clusters', 'medium', 'Clusters differ in spread', 'Split the widest cluster or check its inputs'
          FROM one WHERE stability_score < 0.7)"""
 _ALL_INSIGHTS_SQL = f"""{_P_SQL}, {_Q_SQL},
 g AS (SELECT {R(_GINI_EXPR, 6)} AS gini FROM (SELECT COUNT(*) AS n, SUM(value * rank) AS sxr, SUM(value) AS tot FROM pp) s),
@@ -324,9 +324,9 @@ def action_plan(spark, d):
 
 SQL_ACTION_PLAN = f"""WITH {_ALL_INSIGHTS_SQL}
 SELECT CASE WHEN priority = 'high' THEN 1 ELSE 2 END AS priority, action,
-  CASE WHEN priority = 'high' THEN 'short term (1-3 months)' ELSE 'medium term (3-6 months)' END AS timeline,
-  CASE WHEN priority = 'high' THEN 'dedicated team' ELSE 'shared resources' END AS resources,
-  CASE WHEN priority = 'high' THEN 'improvement of the main metric' ELSE 'lower variability' END AS kpi, ord
+  CASE WHEN priority = 'high' THEN 'first quarter' ELSE 'second quarter' END AS timeline,
+  CASE WHEN priority = 'high' THEN 'named owner' ELSE 'existing staff' END AS resources,
+  CASE WHEN priority = 'high' THEN 'gap to the median item' ELSE 'spread inside clusters' END AS kpi, ord
 FROM rec WHERE priority IN ('high', 'medium')"""
 
 
@@ -337,11 +337,11 @@ def monitor_kpis(spark, d):
 
 SQL_MONITOR_KPIS = f"""WITH {_ALL_INSIGHTS_SQL}
 SELECT 1 AS ord, 'concentration index' AS name, printf('%.6f', gini) AS value,
-       'keep > 0.6 for strong concentration' AS target, 'monthly' AS frequency FROM g
+       'above 0.6 is concentrated' AS target, 'monthly' AS frequency FROM g
 UNION ALL SELECT 2, 'top items contribution', printf('%.1f%%', CAST(key_sum AS DOUBLE) / CAST(total_value AS DOUBLE) * 100),
        'keep > 80%', 'weekly' FROM summ
 UNION ALL SELECT 3, 'cluster stability', printf('%.6f', stability_score), 'keep > 0.7', 'monthly' FROM stab
-UNION ALL SELECT 4, 'exceptional items', CAST(n_outliers AS VARCHAR), 'review impact monthly', 'monthly' FROM o"""
+UNION ALL SELECT 4, 'exceptional items', CAST(n_outliers AS VARCHAR), 'recount every month', 'monthly' FROM o"""
 
 
 def pareto_rule(spark, d):
