@@ -5,8 +5,8 @@ Features of a whole text (``FEATURES``): densities of lexicon words and of
 lexicon word beginnings, hits close to a second person pronoun, the share of
 capitals, of punctuation and of obfuscated words (letters with digits or signs
 inside), and the length. The lexicon is learned: words, and word beginnings of
-``STEM`` letters, that stand in at least ``SUPPORT`` of the toxic training texts
-and ``ODDS`` times as often there as in the others.
+``STEMS`` letters, that stand in at least ``SUPPORT`` of the toxic training texts
+(and in ``LEAST_SUPPORT``) and ``ODDS`` times as often there as in the others.
 
 Learning uses at most about ``MAX_TRAIN`` labelled documents, chosen by hash of
 their id: a bounded sample, so its label rows may be broadcast. Documents whose
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import held_out, saved, text_slices
 
 MAX_TRAIN = 40_000
-STEM, SUPPORT, ODDS, LEXICON_SIZE = 5, 0.01, 20.0, 4000
+STEMS, SUPPORT, LEAST_SUPPORT, ODDS, LEXICON_SIZE = (4, 5), 0.01, 4, 20.0, 4000
 NEAR = 5  # words between a lexicon word and a second person pronoun
 LEAST = 10
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deinen ihr euch "
@@ -54,7 +54,7 @@ def features(text: str, words_of: frozenset, stems_of: frozenset) -> list[float]
     words = _WORD.findall(text.lower())
     n = max(1, len(words))
     hits = [i for i, w in enumerate(words) if w in words_of]
-    stems = [i for i, w in enumerate(words) if w[:STEM] in stems_of]
+    stems = [i for i, w in enumerate(words) if w[:4] in stems_of or w[:5] in stems_of]
     person = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON], np.int64)
     both = np.array(sorted({*hits, *stems}), np.int64)
     near = densest = 0
@@ -96,11 +96,12 @@ def learn_lexicon(train: DataFrame, toxic: int, other: int) -> tuple[frozenset,
     """Words and beginnings of words that mark toxic texts; counted per document, at most LEXICON_SIZE of each."""
     terms = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
     found = []
-    for kind in (terms, F.array_distinct(F.transform(F.filter(terms, lambda w: F.length(w) > STEM), lambda w: F.substring(w, 1, STEM)))):
+    stems = F.concat(*[F.transform(F.filter(terms, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n)) for n in STEMS])
+    for kind in (terms, F.array_distinct(stems)):
         counts = train.select("toxic", F.explode(kind).alias("w")).where("w <> ''").groupBy("w").agg(
             F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
         odds = ((F.col("p") + 0.5) / toxic) / ((F.col("n") + 0.5) / other)
-        top = counts.where((F.col("p") >= max(5.0, SUPPORT * toxic)) & (odds >= ODDS)).orderBy(F.desc("p"), "w").limit(LEXICON_SIZE)
+        top = counts.where((F.col("p") >= max(LEAST_SUPPORT, SUPPORT * toxic)) & (odds >= ODDS)).orderBy(F.desc("p"), "w").limit(LEXICON_SIZE)
         found.append(frozenset(r["w"] for r in top.collect()))
     return found[0], found[1]
 
