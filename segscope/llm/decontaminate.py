@@ -28,6 +28,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 WINDOW, MIN_TOKENS, MIN_LITERAL, MIN_ITEM = 8, 13, 5, 5
 BROADCAST_WINDOWS = 500_000
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
@@ -90,7 +92,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
                  min_tokens: int = MIN_TOKENS, min_literal: int = MIN_LITERAL) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_tokens, kind (``exact`` or ``reparameterised``): the runs that
     give a document away, positions in tokens."""
-    items = _items(benchmark, window, min_literal, item_id, item_text).persist()
+    items = saved(_items(benchmark, window, min_literal, item_id, item_text), "items")
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
     small = items.count() <= BROADCAST_WINDOWS
