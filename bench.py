@@ -18,7 +18,8 @@ HEADLINE = [
     "indicators_line", "kpis_line", "kpis_order", "pareto", "key_items", "pareto_summary", "gini",
     "outlier_summary", "cluster_stability", "improvement_potential", "compare_clusters", "recommendations",
     "profile_columns", "impute_median", "label_encode", "cluster_stats", "box_stats",
-    "tfidf_long", "cluster_keywords", "assign_nearest", "silhouette", "davies_bouldin", "compare_sets",
+    "tfidf_long", "cluster_keywords", "one_hot_long", "pareto_sums", "box_outliers", "extract_set", "consolidate",
+    "assign_nearest", "silhouette", "davies_bouldin", "compare_sets",
 ]
 
 
@@ -29,6 +30,7 @@ def main():
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
     qs = all_queries()
     times = {}
+    qs["indicators_line"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up: JVM and first scan
     for name in names:
         fn = qs[name][0]
         t0 = time.time()
