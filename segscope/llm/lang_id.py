@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from .common import held_out, text_slices
 
 SAMPLES, DICTIONARY_BYTES, CHUNK_WORDS = 256, 1 << 16, 400
-NARROW, SURE = 0.005, 0.1
+NARROW, SURE = 0.002, 0.1
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TAIL = b"\0" * 64
 
 
 def chunks(text: str) -> list[bytes]:
-    words = _LETTERS.findall(text.lower())
+    """Nothing for a text without a letter (the pattern also takes signs such as raised digits)."""
+    words = _LETTERS.findall(text.lower()) if any(map(str.isalpha, text)) else []
     return [" ".join(dict.fromkeys(words[at:at + CHUNK_WORDS])).encode() for at in range(0, len(words), CHUNK_WORDS)]
 
 
