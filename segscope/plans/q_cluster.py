@@ -227,6 +227,32 @@ def density_cluster(spark, d):
     return dc(p, ["p_size", "p_retailprice"], cell=0.25, min_samples=5, min_cluster_size=5).select("p_partkey", "cluster_num")
 
 
+SQL_DENSITY_CLUSTER = """
+WITH RECURSIVE z AS (SELECT p_partkey, CAST(FLOOR((p_size - (SELECT AVG(p_size) FROM part)) / (SELECT STDDEV_POP(p_size) FROM part) / 0.25) AS BIGINT) AS x,
+    CAST(FLOOR((p_retailprice - (SELECT AVG(p_retailprice) FROM part)) / (SELECT STDDEV_POP(p_retailprice) FROM part) / 0.25) AS BIGINT) AS y FROM part),
+dense AS (SELECT x, y, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY x, y) AS id FROM z GROUP BY x, y HAVING COUNT(*) >= 5),
+step AS (SELECT a.id AS a, b.id AS b FROM dense a JOIN dense b ON ABS(a.x - b.x) + ABS(a.y - b.y) = 1),
+reach(a, b) AS (SELECT id, id FROM dense UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a),
+comp AS (SELECT a AS id, MIN(b) AS root FROM reach GROUP BY a),
+kept AS (SELECT root, ROW_NUMBER() OVER (ORDER BY root) - 1 AS cid FROM comp JOIN dense USING (id) GROUP BY root HAVING SUM(n) >= 5)
+SELECT p_partkey, CAST(COALESCE(cid, -1) AS INT) AS cluster_num FROM z LEFT JOIN dense USING (x, y) LEFT JOIN comp USING (id) LEFT JOIN kept USING (root)"""
+
+
+def pca_axes(spark, d):
+    """Variance of each axis and their covariance; on two features the axes
+    are the principal ones just when these are the eigenvalues and 0."""
+    p = FE.standardize(_t(spark, d, "part").select("p_size", "p_retailprice", (F.col("p_size") * F.col("p_retailprice")).alias("w")),
+                       ["p_size", "w"], suffix="_z")
+    v = VectorAssembler(inputCols=["p_size_z", "w_z"], outputCol="features").transform(p)
+    x = PJ.project(v, "features", 2, prefix="a")
+    return x.agg(rnd(F.var_pop("a1"), 6).alias("var_1"), rnd(F.var_pop("a2"), 6).alias("var_2"),
+                 F.abs(rnd(F.covar_pop("a1", "a2"), 6)).alias("covariance"))
+
+
+SQL_PCA_AXES = f"""WITH c AS (SELECT ABS(CORR(p_size, p_size * p_retailprice)) AS r FROM part)
+SELECT {R('1 + r', 6)} AS var_1, {R('1 - r', 6)} AS var_2, 0.0::DOUBLE AS covariance FROM c"""
+
+
 def density_summary(spark, d):
     from ..operators.density import density_cluster as dc
     p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -312,7 +338,8 @@ QUERIES = {
     "numeric_segmentation": (numeric_segmentation, None),
     "mixed_cluster": (mixed_cluster, None),
     "autoencoder_codes": (autoencoder_codes, None),
-    "density_cluster": (density_cluster, None),
+    "density_cluster": (density_cluster, SQL_DENSITY_CLUSTER),
+    "pca_axes": (pca_axes, SQL_PCA_AXES),
     "density_summary": (density_summary, None),
     "kpis_stream": (kpis_stream, SQL_KPIS_STREAM),
     "read_formats": (read_formats, SQL_READ_FORMATS),
