@@ -28,23 +28,24 @@ def _rp_fn(col: str, width: int, dim: int, seed: int):
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         for b in batches:
             m = b.num_rows
             if m == 0:
                 continue
             c = b.column(b.schema.get_field_index(col))
             if pa.types.is_struct(c.type):  # ML vector: type (0 sparse, 1 dense), size, indices, values
-                kinds = c.field("type").to_numpy(zero_copy_only=False)
-                vals = c.field("values")
-                idx = c.field("indices")
+                kinds = pc.fill_null(c.field("type"), 0).to_numpy(zero_copy_only=False)
+                flat = np.asarray(c.field("values").flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+                size = pc.fill_null(pc.list_value_length(c.field("values")), 0).to_numpy(zero_copy_only=False)
+                # position of each value: its stored index in a sparse row, its place in a dense one
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                sparse = np.repeat(kinds == 0, size)
+                place[sparse] = c.field("indices").flatten().to_numpy(zero_copy_only=False)
                 out = np.zeros((m, dim))
-                for i in range(m):
-                    v = np.asarray(vals[i].values.to_numpy(zero_copy_only=False), dtype=np.float64)
-                    if kinds[i] == 0:
-                        ii = np.asarray(idx[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
-                        out[i] = v @ R[ii] if len(ii) else 0.0
-                    else:
-                        out[i] = v @ R
+                some = size > 0
+                if some.any():
+                    out[some] = np.add.reduceat(flat[:, None] * R[place], (np.cumsum(size) - size)[some])
             else:
                 X = np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(m, -1)
                 out = X @ R

@@ -29,9 +29,10 @@ def build_session(master: str | None = None, app: str = "segscope",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "16g",
         "spark.sql.ansi.enabled": "true",
     }
+    if master and "SPARK_DRIVER_MEMORY" not in os.environ:  # one JVM does all the work; on a cluster the launcher decides
+        conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

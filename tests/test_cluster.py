@@ -121,3 +121,16 @@ def test_mixed_features_take_bad_numbers_and_dates(spark):
                                "id int, n string, d string")
     got = mixed_features(df, "id", {"n": C.NUMERIC, "d": C.DATE}).collect()
     assert len(got) == 4 and all(len(r["features"]) == 5 for r in got)
+
+
+def test_registered_feature_type(spark):
+    from pyspark.sql import functions as F
+    from segscope.operators import clean as C
+    from segscope.plans import segmentation as S
+    df = spark.createDataFrame([(1, "abc", 2.0), (2, None, 4.0)], "id int, code string, n double")
+    S.register_type("length", lambda d, c: (d.withColumn(f"_{c}_len", F.coalesce(F.length(c), F.lit(0)).cast("double")), [f"_{c}_len"]))
+    try:
+        got = {r["id"]: r["features"].toArray().tolist() for r in S.mixed_features(df, "id", {"code": "length", "n": C.NUMERIC}).collect()}
+    finally:
+        S.unregister_type("length")
+    assert got == {1: [3.0, -1.0], 2: [0.0, 1.0]}
