@@ -33,6 +33,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one job in the shared folder, gone when the job's result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, shared_path(spark, name), 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, which: int | None = None) -> None:
+        """Delete the whole, or the table that was saved as number ``which``."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path if which is None else f"{self.path}/{which}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, words
+from .common import Scratch, saved, words
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.25  # nats per n-gram
@@ -119,7 +119,9 @@ def judge(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
           threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that are kept, with its own columns: texts stay where they are, only buckets move."""
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counted = saved(with_buckets(rows.select("doc_id", "text")).select("doc_id", "_b"), "quality")
-    out = _verdict(with_buckets(with_base(rows)), fit(counted, labels), threshold)
+    scratch = Scratch(df.sparkSession, "quality")
+    weights = fit(scratch.save(with_buckets(rows.select("doc_id", "text")).select("doc_id", "_b")), labels)
+    scratch.drop()
+    out = _verdict(with_buckets(with_base(rows)), weights, threshold)
     # the row number keeps the filter above the arrays, which else are worked out anew in each lambda
     return out.withColumn("_at", F.monotonically_increasing_id()).where("_q_kept and _at >= 0").select("_row.*")
