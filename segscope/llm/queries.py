@@ -75,16 +75,16 @@ def op4_ngram_join(spark, sf_dir):
 OP4_SQL = """
 WITH RECURSIVE toks AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
   ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM toks),
 sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
 classes AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS c, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS least
   FROM sized WHERE n > 0 GROUP BY 1),
 grams AS (SELECT c, n, unnest(s) AS g FROM classes),
-pairs AS (SELECT a.c AS u, b.c AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS both FROM grams a JOIN grams b
+pairs AS (SELECT a.c AS u, b.c AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS shared FROM grams a JOIN grams b
   ON a.g = b.g AND a.c <> b.c AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2),
-linked AS (SELECT u, v FROM pairs WHERE 100 * both >= 90 * (nu + nv - both)),
+linked AS (SELECT u, v FROM pairs WHERE 100 * shared >= 90 * (nu + nv - shared)),
 reach(u, v) AS (SELECT c, c FROM classes UNION SELECT r.u, l.v FROM reach r JOIN linked l ON r.v = l.u),
 ids AS (SELECT r.u, min(c.least) AS component_id FROM reach r JOIN classes c ON r.v = c.c GROUP BY 1)
 SELECT s.doc_id, s.n::BIGINT AS n_shingles, coalesce(i.component_id, s.doc_id) AS component_id
