@@ -5,7 +5,9 @@ Texts are made canonical: names (capitalised words inside a sentence), digit
 runs and units after a number become typed placeholders, the rest is lower-cased
 and cut into runs of letters and digits. Windows of ``window`` tokens are hashed;
 those of the benchmark (with at least ``min_literal`` real words) are joined to
-all windows of all documents. Hits on one diagonal (document position minus item
+all windows of all documents. Beside them the plain lower-case tokens of every
+item are cut into windows, without a least number of words, and joined exactly,
+so a verbatim copy is found whatever the template makes of it. Hits on one diagonal (document position minus item
 position) form runs; a run is evidence when it covers ``min_tokens`` tokens, or
 the whole item if that is shorter. Then the slots of the run are compared: one
 name or unit of the item must stand for one name or unit of the document
@@ -15,8 +17,9 @@ re-parameterised question is found, and chance meetings of a template are not.
 The benchmark's windows are broadcast only while they number at most
 ``BROADCAST_WINDOWS`` (they are counted first); beyond that the join shuffles.
 
-Defined results: null and empty texts and items match nothing, nor do items of
-fewer than ``MIN_ITEM`` tokens; documents are named by id, so repeated rows of an
+Defined results: null and empty texts and items match nothing; items of fewer
+than ``MIN_ITEM`` tokens match as verbatim wholes only; of runs of one item that
+lie in one another in the document the longest is given (exact if equal); documents are named by id, so repeated rows of an
 id answer together, and null ids are left out; repeated items are separate; an
 empty table on either side gives no rows; extra columns are ignored.
 """
@@ -64,17 +67,16 @@ def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, map(of, sizes))
 
 
-def _items(benchmark: DataFrame, window: int, min_literal: int, item_id: str, text: str) -> DataFrame:
-    """item_id, size, pos, h, rank (among the item's windows that count), valid (how many), n."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), canonical(F.col(text)).alias("t"))
-    items = items.where((F.size("t") >= MIN_ITEM) & F.col("item_id").isNotNull())
+def _items(tokens: DataFrame, window: int, min_literal: int, least: int, plainly: bool) -> DataFrame:
+    """plainly, item_id, size, pos, h, rank (among the item's windows that count), valid (how many), n."""
+    items = tokens.where((F.size("t") >= least) & F.col("item_id").isNotNull())
     items = items.withColumn("size", F.least(F.size("t"), F.lit(window)))
     spans = items.select("item_id", "t", "size", F.size("t").alias("n"), F.posexplode(F.transform(
         F.sequence(F.lit(0), F.size("t") - F.col("size")), lambda i: F.slice("t", i + 1, F.col("size")))).alias("item_pos", "span"))
     literal = F.size(F.filter("span", lambda x: ~x.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
     spans = spans.where(literal >= F.least(F.lit(min_literal), F.col("size")))
     each = Window.partitionBy("item_id")
-    return spans.select("item_id", "size", "n", "item_pos", F.xxhash64("size", "span").alias("h"),
+    return spans.select(F.lit(plainly).alias("plainly"), "item_id", "size", "n", "item_pos", F.xxhash64("size", "span").alias("h"),
                         F.row_number().over(each.orderBy("item_pos")).alias("rank"), F.count(F.lit(1)).over(each).alias("valid"))
 
 
@@ -92,24 +94,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
                  min_tokens: int = MIN_TOKENS, min_literal: int = MIN_LITERAL) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_tokens, kind (``exact`` or ``reparameterised``): the runs that
     give a document away, positions in tokens."""
-    items = saved(_items(benchmark, window, min_literal, item_id, item_text), "items")
+    tokens = {False: canonical, True: plain}
+    items = [_items(benchmark.select(F.col(item_id).alias("item_id"), tokens[p](F.col(item_text)).alias("t")), window,
+                    0 if p else min_literal, 1 if p else MIN_ITEM, p) for p in tokens]
+    items = saved(items[0].unionByName(items[1]), "items")
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window`` values
+    sizes = sorted((r["plainly"], r["size"]) for r in items.select("plainly", "size").distinct().collect())  # at most twice ``window`` values
     small = items.count() <= BROADCAST_WINDOWS
-    rows = _windows(docs.select("doc_id", canonical(F.col("text")).alias("t")), sizes or [window], "doc_id")
-    hits = rows.join(F.broadcast(items) if small else items, "h")
-    hits = hits.select("doc_id", "item_id", "item_pos", "rank", "valid", "n", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    line = Window.partitionBy("doc_id", "item_id", "diagonal").orderBy("rank")
+    rows = [_windows(docs.select(F.lit(p).alias("plainly"), "doc_id", tokens[p](F.col("text")).alias("t")),
+                     [n for q, n in sizes if q == p] or [window], "plainly", "doc_id") for p in tokens]
+    hits = rows[0].unionByName(rows[1]).join(F.broadcast(items) if small else items, ["plainly", "h"])
+    hits = hits.select("plainly", "doc_id", "item_id", "item_pos", "rank", "valid", "n", "size", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
+    line = Window.partitionBy("plainly", "doc_id", "item_id", "diagonal").orderBy("rank")
     runs = hits.withColumn("island", F.col("rank") - F.row_number().over(line)).groupBy(
-        "doc_id", "item_id", "diagonal", "island").agg(
+        "plainly", "doc_id", "item_id", "diagonal", "island").agg(
         F.count(F.lit(1)).alias("hits"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"),
         F.first("valid").alias("valid"), F.first("n").alias("n"), F.first("size").alias("size"))
     covered = F.col("last") - F.col("first") + F.col("size")
     runs = runs.where((covered >= F.least(F.lit(min_tokens), F.col("n"))) | (F.col("hits") == F.col("valid")))
-    runs = runs.select("doc_id", "item_id", (F.col("diagonal") + F.col("first")).alias("doc_start"),
+    runs = runs.select("plainly", "doc_id", "item_id", (F.col("diagonal") + F.col("first")).alias("doc_start"),
                        F.col("first").alias("item_start"), covered.alias("n_tokens"))
     texts = benchmark.select(F.col(item_id).alias("item_id"), canonical(F.col(item_text)).alias("_c"), plain(F.col(item_text)).alias("_i"))
-    texts = texts.where(F.size("_c") >= MIN_ITEM)
     runs = runs.join(texts, "item_id").select(*[c for c in runs.columns], F.slice("_c", F.col("item_start") + 1, F.col("n_tokens")).alias("_c"),
                                               F.slice("_i", F.col("item_start") + 1, F.col("n_tokens")).alias("_i"))
     found = runs.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id")
@@ -117,10 +122,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     found = found.withColumn("_d", F.slice("_d", F.col("doc_start") + 1, F.col("n_tokens"))).drop("_text")
     found = found.withColumn("_run", F.transform("_c", lambda c, k: F.struct(
         c.alias("c"), F.get("_i", k).alias("i"), F.get("_d", k).alias("d"))))
-    found = found.withColumn("_ok", _consistent("_run")).withColumn("_row", F.monotonically_increasing_id())
+    same = F.col("_i") == F.col("_d")
+    found = found.withColumn("_ok", F.when(F.col("plainly"), same).otherwise(_consistent("_run"))).withColumn("_row", F.monotonically_increasing_id())
     # the row number keeps the filter above the arrays, which else are worked out anew in each lambda
-    found = found.where("_ok and _row >= 0").withColumn("kind", F.when(F.col("_i") == F.col("_d"), "exact").otherwise("reparameterised"))
-    return found.select(*RESULT).distinct()
+    found = found.where("_ok and _row >= 0").withColumn("kind", F.when(same, "exact").otherwise("reparameterised"))
+    found = found.select(*RESULT, (F.col("doc_start") + F.col("n_tokens")).alias("_end"))
+    outer = Window.partitionBy("doc_id", "item_id").orderBy("doc_start", F.desc("_end"), "kind", "item_start").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_reach", F.max("_end").over(outer)).where("_reach is null or _end > _reach").select(*RESULT)
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

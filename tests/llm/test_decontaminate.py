@@ -46,3 +46,12 @@ def test_equals_brute_force_on_the_tables(spark):
             for i in grams.get(tuple(w[k:k + 13]), ())}
     got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()}
     assert want and got >= want and {d for d, _ in got} == {d for d, _ in want}
+
+
+def test_verbatim_copies_without_literal_windows(spark):
+    items = ["What is 12 + 45 * 3 - 7 / 2 + 19 * 4 ?", "Who wrote Hamlet in 1600?", "What is the boiling point of pure water at sea level?",
+             "Were Anna Bert Carl Dora Emil Fritz Gerda Hans all there too?", "What is 2+2?", "Alice Bob Carol went home"]
+    docs = [(i, "as we noted before, " + t + " and so on") for i, t in enumerate(items)] + [(90, "who wrote it in 1600?"), (91, "What is 12 + 45 * 3 ?")]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(99, "?!")], "item_id long, text string")
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in rows) == [(i, i, "exact") for i in range(len(items))]
