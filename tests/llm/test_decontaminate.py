@@ -55,3 +55,19 @@ def test_verbatim_copies_without_literal_windows(spark):
     bench = spark.createDataFrame(list(enumerate(items)) + [(99, "?!")], "item_id long, text string")
     rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in rows) == [(i, i, "exact") for i in range(len(items))]
+
+
+def test_new_values_of_other_lengths(spark):
+    tom = ("Tom buys 3 red apples for the school fair in May. Tom then gives 4 of them to a good friend. "
+           "Tom eats one more and asks how many he has left.")
+    pay = "she paid 3 dollars for the bread and 40 for the long coat and 15 for a pair of old shoes at the market near the station"
+    trip = "every summer Anna flies to Paris with her sister and then takes the train to Rome where they meet the rest of the family"
+    slip = "the old clock in the hall of the house struck twelve as the red cat slept by the warm fire"
+    bench = spark.createDataFrame([(0, tom), (1, pay), (2, trip), (3, slip)], "item_id long, text string")
+    docs = [(10, "Some text. " + tom.replace("Tom", "Mia").replace("3", "1,250")), (11, "so " + pay.replace("3", "2.50").replace("40", "1,200").replace("15", "7 1/4")),
+            (12, "so " + trip.replace("Anna", "Mary Ann").replace("Paris", "New York").replace("Rome", "San Marino")),
+            (13, "so " + slip.replace("house", "very big house")),
+            (21, "so the old clock in the hall of the tower and " + "x " * 40 + "red cat slept by the warm fire")]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["kind"] for r in rows if r["doc_id"] < 20} == {(i + 10, i): "reparameterised" for i in range(4)}
+    assert not [r for r in rows if r["doc_id"] == 21]
