@@ -201,7 +201,7 @@ def mixed_cluster(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate")
     types = {"o_totalprice": C.NUMERIC, "o_orderpriority": C.CATEGORICAL, "o_orderstatus": C.CATEGORICAL,
              "o_orderdate": C.DATE}
-    r = SEG.mixed_cluster(o, "o_orderkey", types, k_max=6, n_init=2)
+    r = SEG.mixed_cluster(o, "o_orderkey", types)
     return r["result"].select("o_orderkey", "cluster_mixed")
 
 

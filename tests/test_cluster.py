@@ -134,3 +134,20 @@ def test_registered_feature_type(spark):
     finally:
         S.unregister_type("length")
     assert got == {1: [3.0, -1.0], 2: [0.0, 1.0]}
+
+
+def test_mixed_cluster_query_sweeps_as_the_operator_does(spark, monkeypatch):
+    import inspect
+    from segscope.plans import q_cluster
+    from segscope.plans import segmentation as SEG
+    signature, seen = inspect.signature(SEG.mixed_cluster), []
+
+    def spy(df, *args, **options):
+        call = signature.bind(df, *args, **options)
+        call.apply_defaults()
+        seen.append((call.arguments["k_max"], call.arguments["n_init"]))
+        return {"result": df.withColumn("cluster_mixed", df[args[0]])}
+
+    monkeypatch.setattr(SEG, "mixed_cluster", spy)
+    q_cluster.mixed_cluster(spark, "/root/testdata/sf0.001")
+    assert seen == [(100, 10)]
