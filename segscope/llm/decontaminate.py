@@ -82,18 +82,42 @@ def plain(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
+def _seed(mode: int, size: int) -> Column:
+    return F.lit(mode * 1_000_000 + size)
+
+
+def _half(size: int) -> int:
+    """A window's hash is that of two windows of this size, at its start and at its end."""
+    return 1 << (size - 1).bit_length() - 1
+
+
+def _windows(df: DataFrame, sizes: list[int], mode: int, *keys: str) -> DataFrame:
     """keys, pos, h: every window of the given sizes over the tokens t."""
     def of(size):
-        hashes = F.when(F.size("t") >= size, F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("t") - size, F.lit(0))),
-            lambda i: F.xxhash64(F.lit(size), F.slice("t", i + 1, size))))
+        rows, have = df.select(*keys, F.transform("t", lambda x: F.xxhash64(x, _seed(mode, size))).alias("g")), 1
+        while have < size:  # windows twice as long each time: a few hashes a token instead of ``size``
+            step = min(have, size - have)
+            left = F.greatest(F.size("g") - step, F.lit(0))
+            rows = rows.select(*keys, F.zip_with(F.slice("g", F.lit(1), left), F.slice("g", F.lit(step + 1), left),
+                                                 lambda x, y: F.xxhash64(x, y)).alias("g"))
+            have += step
         # outer: for the inner form the planner repeats the hashes in a filter below it
-        return df.select(*keys, F.posexplode_outer(hashes).alias("pos", "h"))
+        return rows.select(*keys, F.posexplode_outer("g").alias("pos", "h"))
 
     return functools.reduce(DataFrame.unionByName, map(of, sizes))
 
 
+def _window_hash(span: str, mode: int, window: int) -> Column:
+    """What ``_windows`` gives for a window of at most ``window`` tokens."""
+    def tree(size, at, whole):
+        if size == 1:
+            return F.xxhash64(F.get(span, F.lit(at)), _seed(mode, whole))
+        half = _half(size)
+        return F.xxhash64(tree(half, at, whole), tree(half, at + size - half, whole))
+
+    return functools.reduce(lambda c, n: c.when(F.size(span) == n, tree(n, 0, n)), range(1, window + 1), F.when(F.lit(False), F.lit(0).cast("long")))
+
+
 def _tokens(text: Column, mode: int) -> Column:
     return plain(text) if mode == PLAIN else canonical(text, mode)
 
@@ -120,7 +144,7 @@ def _items(texts: DataFrame, window: int, min_literal: int, least: int, mode: in
     each = Window.partitionBy("item_id")
     return spans.select(F.lit(mode).alias("mode"), "item_id", "size", "n", "item_pos",
                         _plain_size(F.slice("s", F.lit(1), F.col("item_pos"))).alias("lo"),
-                        _plain_size(F.slice("s", F.lit(1), F.col("item_pos") + F.col("size"))).alias("hi"), F.xxhash64("size", "span").alias("h"),
+                        _plain_size(F.slice("s", F.lit(1), F.col("item_pos") + F.col("size"))).alias("hi"), _window_hash("span", mode, window).alias("h"),
                         F.row_number().over(each.orderBy("item_pos")).alias("rank"), F.count(F.lit(1)).over(each).alias("valid"))
 
 
@@ -147,9 +171,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     sizes = sorted((r["mode"], r["size"]) for r in items.select("mode", "size").distinct().collect())  # at most three times ``window`` values
     small = items.count() <= BROADCAST_WINDOWS
     rows = functools.reduce(DataFrame.unionByName, [_windows(
-        docs.select(F.lit(m).alias("mode"), "doc_id", _tokens(F.col("text"), m).alias("t")),
-        [n for q, n in sizes if q == m] or [window], "mode", "doc_id") for m in modes])
-    hits = rows.join(F.broadcast(items) if small else items, ["mode", "h"])
+        docs.select("doc_id", _tokens(F.col("text"), m).alias("t")), [n for q, n in sizes if q == m] or [window], m, "doc_id") for m in modes])
+    hits = rows.join(F.broadcast(items) if small else items, "h")  # one long key: the mode and size are in the hash
     hits = hits.select("mode", "doc_id", "item_id", "item_pos", "lo", "hi", "rank", "valid", "n", "size",
                        (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     pair = "mode", "doc_id", "item_id"
