@@ -56,12 +56,14 @@ RESULT = "doc_id", "item_id", "doc_start", "item_start", "n_tokens", "kind"
 def _marked(text: Column, names: int, keep: bool) -> Column:
     """The text in lower case with placeholders, before what they stand for if that is kept."""
     held = lambda end: f"$0{end}" if keep else ""
-    before = r"(?<=[^.!?:\s]\s)" if names == INSIDE else r"(?<![\p{L}\p{N}])"
-    t = F.translate(F.coalesce(text, F.lit("")), "".join((NAME, NUMBER, UNIT, END, NUMBER_END)), " " * 5)
+    before = r"(?=\p{Lu})(?<=[^.!?:\s]\s)" if names == INSIDE else r"(?=\p{Lu})(?<![\p{L}\p{N}])"  # the look ahead fails fast
+    marks = "".join((NAME, NUMBER, UNIT, END, NUMBER_END))
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.rlike(f"[{marks}]"), F.translate(t, marks, " " * 5)).otherwise(t)
     t = F.regexp_replace(t, before + NAMES, NAME + held(END))
     t = F.regexp_replace(F.lower(t), NUMBERS, NUMBER + held(NUMBER_END))
-    return F.regexp_replace(t, f"(?<={NUMBER_END if keep else NUMBER}[ ]?)(?:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\\p{{L}}\\p{{N}}])",
-                            UNIT + held(END))
+    units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+    return F.regexp_replace(t, f"({NUMBER_END if keep else NUMBER} ?)({units})(?![\\p{{L}}\\p{{N}}])", f"$1{UNIT}$2{END}" if keep else f"$1{UNIT}")
 
 
 def canonical(text: Column, names: int = INSIDE) -> Column:
