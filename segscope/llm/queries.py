@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (binary_output, chat_format, decontaminate, lang_id, ngram_join, packing, quality_rules, token_counts, toxicity,
-               url_filter)
+from . import (binary_output, byte_bpe, chat_format, decontaminate, lang_id, ngram_join, packing, quality_rules, token_counts,
+               toxicity, url_filter)
 from .common import saved, shared_path, table
 
 
@@ -147,6 +147,15 @@ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r.name}' THEN '
   WHEN {_PATTERN_SQL} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
+
+def op11_byte_bpe(spark, sf_dir):
+    """Every document encoded by the rank file, and its ids decoded again."""
+    import public_tokenizers
+    out = byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -158,4 +167,5 @@ QUERIES = {
     "op8_lang_id": (op8_lang_id, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
+    "op11_byte_bpe": (op11_byte_bpe, None),
 }
