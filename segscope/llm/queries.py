@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (binary_output, byte_bpe, chat_format, decontaminate, lang_id, ngram_join, packing, quality_rules, token_counts,
-               toxicity, url_filter)
+from . import (binary_output, byte_bpe, chat_format, decontaminate, filter_audit, lang_id, ngram_join, packing, quality_rules,
+               token_counts, toxicity, url_filter)
 from .common import saved, shared_path, table
 
 
@@ -156,6 +156,39 @@ def op11_byte_bpe(spark, sf_dir):
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_filter_audit(spark, sf_dir):
+    """What each of five filters does to every language of the documents, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_LETTERS = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+OP12_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM docs),
+marked AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END) AS m FROM split),
+known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY 1),
+kinds AS (SELECT part, m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS c
+  FROM marked LEFT JOIN known USING (doc_id) GROUP BY ALL),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM {_LETTERS} a(l, b), {_LETTERS} b(l, b), {_LETTERS} c(l, b), {_LETTERS} d(l, b), {_LETTERS} e(l, b)
+  WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (SELECT filter_order, step, bits[step] AS x, CASE WHEN step = 1 THEN 0 ELSE list_sum(bits[1:step - 1]) END::INT AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+done AS (SELECT part, filter_order, step, x, sum(CASE WHEN m & (earlier + x) = 0 THEN c ELSE 0 END) AS kept,
+    sum(CASE WHEN m & x > 0 AND m & earlier = 0 THEN c ELSE 0 END) AS removed,
+    sum(CASE WHEN m & x > 0 AND m & earlier > 0 THEN c ELSE 0 END) AS redundant, sum(CASE WHEN m = x THEN c ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN m & x > 0 AND m & earlier = 0 AND good THEN c ELSE 0 END) AS good_lost,
+    sum(CASE WHEN m & x > 0 AND m & earlier = 0 AND toxic THEN c ELSE 0 END) AS toxic_lost FROM kinds, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM done
+"""
+
+
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -168,4 +201,5 @@ QUERIES = {
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_url_filter": (op10_url_filter, OP10_SQL),
     "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_filter_audit": (op12_filter_audit, OP12_SQL),
 }
