@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (binary_output, byte_bpe, chat_format, decontaminate, filter_audit, lang_id, ngram_join, packing, quality_rules,
+from . import (binary_output, byte_bpe, chat_format, decontaminate, filter_audit, lang_id, merkle, ngram_join, packing, quality_rules,
                token_counts, toxicity, url_filter)
 from .common import saved, shared_path, table
 
@@ -189,6 +189,52 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 """
 
 
+def op13_merkle_manifest(spark, sf_dir):
+    """Every document's leaf, roots and proof, and the root folded from what was tampered with: line breaks deleted where
+    the id's crc32 is even."""
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    found = F.when(even, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), found)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.as_hex(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _leaf_sql(text):
+    one = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(map(one, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, ascii(left_over[1])), range(8)), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (SELECT doc_id, 4294967295::BIGINT AS c, doc_id::VARCHAR AS left_over FROM documents
+  UNION ALL SELECT doc_id, {_CRC_BYTE}, left_over[2:] FROM crc WHERE left_over <> ''),
+even AS (SELECT doc_id FROM crc WHERE left_over = '' AND xor(c, 4294967295) % 2 = 0),
+leaves AS (SELECT doc_id, source, {_leaf_sql('text')} AS h,
+    CASE WHEN doc_id IN (SELECT doc_id FROM even) THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS found,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM documents),
+lower AS (SELECT tree, 0 AS level, place, n, h FROM leaves
+  UNION ALL SELECT tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM lower WHERE n > 1
+  GROUP BY tree, level, place // 3, n),
+subroots AS (SELECT tree, h, level AS height FROM lower WHERE n = 1),
+upper AS (SELECT 0 AS level, tree AS place, (SELECT count(*) FROM subroots) AS n, h FROM subroots
+  UNION ALL SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM upper WHERE n > 1
+  GROUP BY level, place // 3, n),
+nodes AS (SELECT tree, level, place, h, n FROM lower UNION ALL SELECT -1, level, place, h, n FROM upper),
+runs AS (SELECT a.tree, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+climb AS (SELECT doc_id, h AS leaf, tree AS own, tree, 0 AS level, place, found AS folded, '' AS proof FROM leaves
+  UNION ALL SELECT doc_id, leaf, own, CASE WHEN r.tree IS NULL THEN -1 ELSE c.tree END, CASE WHEN r.tree IS NULL THEN 0 ELSE c.level + 1 END,
+    CASE WHEN r.tree IS NULL THEN c.tree ELSE c.place // 3 END,
+    CASE WHEN r.tree IS NULL THEN folded ELSE sha256(r.before || folded || r.after) END, proof || coalesce(r.before || r.after, '')
+  FROM climb c LEFT JOIN runs r USING (tree, level, place) WHERE r.tree IS NOT NULL OR c.tree >= 0),
+top AS (SELECT h AS root, level AS height FROM upper WHERE n = 1)
+SELECT c.doc_id, c.leaf, s.h AS subroot, t.root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.root AS verified
+FROM climb c JOIN top t ON c.tree = -1 AND c.level = t.height JOIN subroots s ON s.tree = c.own
+"""
+
+
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -202,4 +248,5 @@ QUERIES = {
     "op10_url_filter": (op10_url_filter, OP10_SQL),
     "op11_byte_bpe": (op11_byte_bpe, None),
     "op12_filter_audit": (op12_filter_audit, OP12_SQL),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
