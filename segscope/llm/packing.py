@@ -21,14 +21,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices
+from .common import shared_path, text_slices
 from .tokens import encoder
 
 BROADCAST_FILES = 100_000  # beyond, the join shuffles
-PIECE = "doc_id long, start long, length int, doc_tokens long, width int, ids binary"
+PIECE = "doc_id long, start long, length int, doc_tokens long, width int, ids binary, ids_crc32 long"
 
 
 def cuts(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -52,15 +52,16 @@ def cut_documents(df: DataFrame, tokenizer: str, end_id: int, max_len: int = 102
     def pieces(batches):
         enc = encoder(tokenizer, drops_space)
         end, w = enc.pack([end_id]), enc.width
-        for batch in slices(batches):
-            ids, texts = (c.to_pylist() for c in batch.columns)
+        for batch in text_slices(batches, 1, 1 << 20):
             out = []
-            for i, b in zip(ids, enc.encode(texts)):
+            for i, b in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 b += end
                 n = len(b) // w
-                out += [(i, at, size, n, w, b[at * w:(at + size) * w]) for at, size in cuts(n, max_len)]
+                wide = b if w == 4 else np.frombuffer(b, "<u2").astype("<u4").tobytes()
+                out += [(i, at, size, n, w, b[at * w:(at + size) * w], zlib.crc32(wide[at * 4:(at + size) * 4]))
+                        for at, size in cuts(n, max_len)]
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                                  [x.split()[0] for x in PIECE.split(", ")])
 
@@ -70,7 +71,8 @@ def cut_documents(df: DataFrame, tokenizer: str, end_id: int, max_len: int = 102
 def pack_documents(df: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write the buckets under ``path`` and return the sequences read back:
     doc_id, start, length, doc_tokens, width, ids (little-endian, ``width``
-    bytes each), sequence_id, offset."""
+    bytes each), ids_crc32 (unsigned crc32 of the ids as little-endian u32),
+    sequence_id, offset."""
     spark = df.sparkSession
     path = path or shared_path(spark, "packed")
     pieces = cut_documents(df, **options)
@@ -84,16 +86,6 @@ def pack_documents(df: DataFrame, path: str | None = None, **options) -> DataFra
     base = counts.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     few = base.count() <= BROADCAST_FILES
     return stored.join(F.broadcast(base) if few else base, "_file").select(
-        "doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "width", "ids",
+        "doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "width", "ids", "ids_crc32",
         (F.col("_base") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-
-def ids_crc32(ids: Column, width: Column) -> Column:
-    """Unsigned crc32 of the ids as little-endian u32."""
-    @F.pandas_udf("long")
-    def crc(ids, width):
-        import pandas as pd
-        return pd.Series([zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes() if w == 2 else b)
-                          for b, w in zip(ids, width)], dtype="int64")
-
-    return crc(ids, width)

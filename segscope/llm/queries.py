@@ -104,8 +104,7 @@ def op5_binary_output(spark, sf_dir):
 def op6_packing(spark, sf_dir):
     """Every document cut into power-of-two sequences of at most 1024 ids."""
     out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"), end_id=0)
-    return out.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids"), F.col("width")).alias("ids_crc32"), "doc_tokens",
-                      "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_token_counts(spark, sf_dir):

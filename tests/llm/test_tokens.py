@@ -12,8 +12,9 @@ from segscope.llm.common import shared_path
 from segscope.llm.queries import tokenizer_path
 from segscope.llm.tokens import Encoder
 
-ODD = ["a", "B", " ", "  ", "\n", "\t", "'s", "'re", "1", "23", "é", "é", ".", "!?", " ", "\x1c", "\0", "ß", "Σ", "İ", "日本",
-       "<|endoftext|>", "\r\n", "\x85", "🎉", " \n", "word", " word"]
+ODD = ["a", "B", " ", "  ", "\n", "\t", "'s", "'re", "1", "23", "é", "é", ".", "!?", " ", "\x1c", "\0", "\1", "ß", "Σ", "İ", "日本",
+       "<|endoftext|>", "\r\n", "\x85", "🎉", " \n", "word", " word",
+       " Été,", " straße!?", "\nÀÇÞÿ..", "\nPlain", " ÖL;", " o\u0308l", "µ", " Ÿ", "×", " don't,", "...", "\u0301"]
 
 
 def ids_of(name, text):
@@ -29,9 +30,35 @@ def test_chunks_give_the_ids_of_the_whole_text(name, drops, monkeypatch):
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    for entries in (1_000_000, 3):  # with a cache, and with one that is full at once
-        monkeypatch.setattr("segscope.llm.tokens.CACHE_ENTRIES", entries)
-        assert [np.frombuffer(b, "<u2").tolist() for b in Encoder(tokenizer_path(name), drops).encode(texts)] == want
+    for entries, rows in ((1_000_000, 2000), (3, 7), (100, 50)):  # with a cache, and with generations that are full at once
+        monkeypatch.setattr("segscope.llm.tokens.GENERATION", entries)
+        encoder = Encoder(tokenizer_path(name), drops)
+        got = [b for at in range(0, len(texts), rows) for b in encoder.encode(texts[at:at + rows])]
+        assert [np.frombuffer(b, "<u2").tolist() for b in got] == want
+        assert entries > 100 or len(encoder.words.young) <= entries and len(encoder.words.old) > 0
+
+
+@pytest.mark.parametrize("name,drops", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_every_plain_letter_and_mark(name, drops):
+    """Words of the letters that go to the model itself, after a space and after a line break."""
+    rnd = random.Random(8)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    words = ["".join(rnd.choices(letters, k=rnd.randrange(1, 12))) + "".join(rnd.choices(".,;:!?", k=rnd.randrange(4))) for _ in range(4000)]
+    texts = [a + w for w in words + letters for a in ("x ", "x\n", "")]
+    t = Tokenizer.from_file(tokenizer_path(name))
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in Encoder(tokenizer_path(name), drops).encode(texts)] == want
+
+
+def test_frequent_chunks_stay_while_new_ones_pass(monkeypatch):
+    monkeypatch.setattr("segscope.llm.tokens.GENERATION", 50)
+    encoder, asked = Encoder(tokenizer_path("word_bpe_49k.json"), True), []
+    real = encoder._chunks
+    encoder._chunks = lambda keys: asked.extend(keys) or real(keys)
+    for i in range(200):
+        encoder.encode([f"often used q{i} r{i}x"])
+    assert asked.count("often") == 1 and len(asked) == 2 + 400
 
 
 ROWS = [(5, "Hello world"), (None, "no id"), (3, None), (4, ""), (5, "again 5"), (2, "x " * 3000), (9, "Hello world"), (5, "Hello world")]
@@ -71,7 +98,7 @@ def test_records_of_an_empty_table(spark):
 @pytest.mark.parametrize("max_len", [1024, 8])
 def test_packing_keeps_every_id_once(spark, max_len):
     out = packing.pack_documents(frame(spark), tokenizer=tokenizer_path("byte_bpe_50k.json"), end_id=0, max_len=max_len)
-    rows = out.withColumn("crc", packing.ids_crc32(F.col("ids"), F.col("width"))).collect()
+    rows = out.withColumnRenamed("ids_crc32", "crc").collect()
     assert sorted(r["sequence_id"] for r in rows) == list(range(len(rows)))
     assert all(r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0 and r["length"] <= max_len for r in rows)
     want = {}
