@@ -82,7 +82,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, doc_id:
     def records(batches):
         enc = encoder(tokenizer, drops_space)
         end = enc.pack([end_id])
-        for batch in text_slices(batches, 1, 1 << 20):
+        for batch in text_slices(batches, 1, 1 << 22):
             ids = enc.encode(batch.column(1))
             # one byte fewer: the text sink ends each line with 0x0A
             yield pa.RecordBatch.from_arrays([pa.array(

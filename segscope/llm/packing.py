@@ -52,7 +52,7 @@ def cut_documents(df: DataFrame, tokenizer: str, end_id: int, max_len: int = 102
     def pieces(batches):
         enc = encoder(tokenizer, drops_space)
         end, w = enc.pack([end_id]), enc.width
-        for batch in text_slices(batches, 1, 1 << 20):
+        for batch in text_slices(batches, 1, 1 << 22):
             out = []
             for i, b in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 b += end

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks of a generation, and the characters of one that is kept.
-GENERATION, CACHE_CHARS = 250_000, 40
+GENERATION, CACHE_CHARS = 350_000, 40
 _RUNS = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z")
 #: Letters whose case and composed form are the same rule everywhere, then marks.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
