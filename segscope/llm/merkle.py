@@ -10,8 +10,8 @@ roots of the sources, in source order, form one more tree of the same kind.
 
 *Levels.* ``STRIDE`` levels are built at a time: ``FAN ** STRIDE`` neighbours meet
 in one group, whatever their source's size, and are hashed level by level inside
-the row. A round leaves one node of 81, so the rounds are few (four for 40 million
-leaves of one source) and each shuffles an 81st of the one before. What is
+the row. A round leaves one node of 729, so the rounds are few (three for 387 million
+leaves of one source) and each shuffles a 729th of the one before. What is
 stored is one row per node that a climb passes: its key, its parent's key (the
 node ``STRIDE`` levels up, or the source's place in the upper tree), the parent's
 digest, and the siblings on the way, level by level.
@@ -19,7 +19,7 @@ digest, and the siblings on the way, level by level.
 *Climb.* A Spark recursive query starts with every leaf's node row and its digest
 as found in the data that is to be checked, appends the siblings to the proof,
 folds the digest with them and goes on at the parent's node row, until there is
-none. Each step is one equi-join with the rows above the leaves, an 81st of them.
+none. Each step is one equi-join with the rows above the leaves, a 729th of them.
 
 Hashes are sha256 over hexadecimal text; in rows a digest takes its 32 bytes.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..operators.rank import ranked
 from .common import Scratch, saved
 
-FAN, STRIDE = 3, 4
+FAN, STRIDE = 3, 6
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -161,6 +161,7 @@ def manifest(docs: DataFrame, found: Column, fields: tuple[str, ...] = FIELDS, d
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch.save(ranked(leaves.withColumn("_tie", F.xxhash64("digest")), [("source", True), ("row", True), ("_tie", True)],
                                  n_ranges=ranges).select("row", "source", "digest", "found", "_rank"))
+    scratch.drop(1)
     # a source's number is its place among the sources; its leaves are counted from its first rank
     sources = placed.groupBy("source").agg(F.min("_rank").alias("_from"), F.count(F.lit(1)).alias("n"))
     sources = scratch.save(ranked(sources, [("source", True)]).select(
@@ -168,6 +169,7 @@ def manifest(docs: DataFrame, found: Column, fields: tuple[str, ...] = FIELDS, d
     placed = placed.join(sources, F.col("source").eqNullSafe(F.col("_source"))).select(
         "row", "tree", (F.col("_rank") - F.col("_from")).alias("place"), "n", "digest", "found")
     lower, subroots = _build(scratch, placed, ("row", "found"))
+    scratch.drop(2)
     upper, _ = _build(scratch, subroots.select(F.lit(UPPER).cast("long").alias("tree"), F.col("tree").alias("place"),
                                                F.lit(sources.count()).cast("long").alias("n"), F.col("top").alias("digest")))
     leaf_rows = _linked(lower[0], False, "row", "digest", "found")

@@ -64,7 +64,7 @@ def key(r):
 def test_sources_of_all_sizes(spark):
     rnd = random.Random(4)
     rows, i = [], 0
-    for source, n in ((None, 5), ("", 1), ("z", 82), ("é", 81), ("b\U0001f600", 3), ("big", 900), ("Z", 27), ("one", 2), ("￿", 4)):
+    for source, n in ((None, 5), ("", 1), ("z", 82), ("é", 81), ("q", 729), ("r", 730), ("b\U0001f600", 3), ("big", 2400), ("Z", 27), ("one", 2), ("￿", 4)):
         for _ in range(n):
             rows.append((i := i + rnd.randrange(1, 9), source, rnd.choice(["en", None, ""]), rnd.choice([0, -5, None, 10 ** 12]),
                          rnd.choice([None, "", "\n", "a\nb", "日本\n語", "plain", "x" * 5000])))
