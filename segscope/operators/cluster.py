@@ -1,15 +1,13 @@
 """K-means, nearest-centroid assignment, k sweeps and the
 choice of k, and cluster summaries.
 
-K-means is Spark ML's (k-means|| initialisation, distributed Lloyd steps).
-Centroids are model state: at most k x d numbers, collected and reused as
+A single k-means is Spark ML's (k-means|| initialisation, distributed Lloyd
+steps); a sweep over k runs all its models together (``sweep``). Centroids are model state: at most k x d numbers, collected and reused as
 literal arrays, so assignment is a narrow projection (no join, no pairs).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 
 from pyspark.ml.clustering import KMeans
@@ -18,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rnd
 from .rank import ranked
-from .quality import as_array, calinski_harabasz, davies_bouldin, fit_centroids, silhouette
+from .quality import as_array, fit_centroids
+from .sweep import sweep
 
 UNCLASSIFIED = "unclassified"
 
@@ -95,42 +94,27 @@ def lloyd_step(df: DataFrame, features: str, centroids: list[list[float]], out:
     return a, new
 
 
-def k_sweep(df: DataFrame, features: str, ks, seed: int = 42, n_init: int = 1, metrics: str = "silhouette",
-            parallel: int = 4) -> DataFrame:
+def k_sweep(df: DataFrame, features: str, ks, seed: int = 42, n_init: int = 1, metrics: str = "silhouette") -> DataFrame:
     """for each k, SSE (training cost) and scores. ``metrics`` is
     'silhouette' (text path) or 'all' (silhouette, Calinski-Harabasz, negated
-    Davies-Bouldin: mixed path). The input is cached once; independent fits
-    run from a small thread pool on the same session."""
-    spark = df.sparkSession
-    data = df.select(features).persist()
-    n = data.count()
-
-    def one(k):
-        if metrics == "all" and not 2 <= k <= n - 1:
-            return None
-        if k < 2:  # one cluster: no fit, the spread around the mean
-            model = fit_centroids(data.withColumn("_one", F.lit(0)), features, "_one")
-            sse = sum(m["n"] * (m["q"] - sum(x * x for x in m["centroid"])) for m in model)
-            return {"k": int(k), "sse": float(sse), "silhouette": -1.0}
-        lab, model = kmeans(data, features, k, seed, n_init)
-        row = {"k": int(k), "sse": float(model.summary.trainingCost)}
-        if n >= k:
-            row["silhouette"] = silhouette(lab, features, "cluster", noise=None).first()["silhouette"]
-            if metrics == "all":
-                row["calinski_harabasz"] = calinski_harabasz(lab, features, "cluster").first()["calinski_harabasz"]
-                row["neg_davies_bouldin"] = davies_bouldin(lab, features, "cluster").first()["negated"]
-        else:
-            row["silhouette"] = -1.0
-        return row
-
-    with ThreadPoolExecutor(max_workers=parallel) as ex:
-        rows = [r for r in ex.map(one, list(ks)) if r is not None]
-    data.unpersist()
-    schema = "k int, sse double, silhouette double"
+    Davies-Bouldin: mixed path). All models advance together (``sweep``)."""
+    return sweep_models(df, features, ks, seed, n_init, metrics)[0]
+
+
+def sweep_models(df: DataFrame, features: str, ks, seed: int = 42, n_init: int = 1, metrics: str = "silhouette"):
+    """F3 with the fitted centroids: (table of scores, {k: centroids}). With 'all', k is from 2 to n - 1."""
+    if metrics == "all":
+        ks = [k for k in ks if k >= 2]
+    best, n = sweep(df, features, ks, seed, n_init)
     if metrics == "all":
-        schema += ", calinski_harabasz double, neg_davies_bouldin double"
-    cols = [c.split()[0] for c in schema.split(", ")]
-    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema)
+        best = {k: m for k, m in best.items() if k <= n - 1}
+    rows = []
+    for k, m in sorted(best.items()):
+        if k < 2 or n < k:
+            m.scores["silhouette"] = -1.0
+        rows.append((k, m.sse, *[m.scores[c] for c in (_METRICS if metrics == "all" else _METRICS[:1])]))
+    schema = "k int, sse double, silhouette double" + (", calinski_harabasz double, neg_davies_bouldin double" if metrics == "all" else "")
+    return df.sparkSession.createDataFrame(rows, schema), {k: m.centroids.tolist() for k, m in best.items()}
 
 
 def best_k_silhouette(sweep: DataFrame, min_k: int = 2) -> DataFrame:

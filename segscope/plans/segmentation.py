@@ -28,9 +28,11 @@ def text_segmentation(df: DataFrame, key: str, text_cols: list[str], k_min: int
     vec = T.tfidf_vectors(d, key, "text_combined", max_features).persist()
     if vec.count() < 2:
         raise C.ValidationError("fewer than 2 documents to cluster")
-    sweep = CL.k_sweep(vec, "features", range(k_min, k_max + 1), seed=seed, metrics="silhouette").persist()
+    sweep, models = CL.sweep_models(vec, "features", range(k_min, k_max + 1), seed=seed)
     best_k = CL.best_k_silhouette(sweep, k_min).first()["best_k"]
-    labelled, _ = CL.kmeans(vec, "features", best_k, seed=seed, out="cluster_text")
+    if best_k not in models:  # no score beat -1 and the least k was under 2
+        models = CL.sweep_models(vec, "features", [best_k], seed=seed)[1]
+    labelled = CL.assign(vec, "features", models[best_k], out="cluster_text")
     proj = PJ.project(labelled, "features", 2, prefix="tsne_", method="random_pca")
     result = d.join(proj.select(key, "cluster_text", "tsne_1", "tsne_2"), key)
     return {"result": result, "sweep": sweep,
@@ -58,10 +60,9 @@ def numeric_segmentation(df: DataFrame, key: str, features: list[str], method: s
     if method == "density":
         lab = density_cluster(v, zc, cell, min_samples, min_cluster_size, out="cluster_num")
     else:
-        if k is None:
-            sweep = CL.k_sweep(v, "features", range(2, k_max + 1), seed=seed)
-            k = CL.best_k_silhouette(sweep).first()["best_k"]
-        lab, _ = CL.kmeans(v, "features", k, seed=seed, out="cluster_num")
+        sweep, models = CL.sweep_models(v, "features", range(2, k_max + 1) if k is None else [k], seed=seed)
+        k = k or CL.best_k_silhouette(sweep).first()["best_k"]
+        lab = CL.assign(v, "features", models[k], out="cluster_num")
     lab = PJ.project(PJ.project(lab, "features", 2, "p2_"), "features", 3, "p3_").persist()
     return {"result": lab.drop("features"),
             "stats": H.cluster_stats(lab, "cluster_num", features),
@@ -147,9 +148,9 @@ def mixed_cluster(df: DataFrame, key: str, types: dict[str, str], k_max: int = 1
     top = min(k_max, n - 1)
     if top < 2:
         return {"result": CL.label_unclassified(df), "sweep": None}
-    sweep = CL.k_sweep(enc, "encoded", range(2, top + 1), seed=seed, n_init=n_init, metrics="all").persist()
+    sweep, models = CL.sweep_models(enc, "encoded", range(2, top + 1), seed=seed, n_init=n_init, metrics="all")
     best_k = CL.best_k_vote(sweep, n).first()["best_k"]
-    lab, _ = CL.kmeans(enc, "encoded", best_k, seed=seed, n_init=n_init, out="cluster_mixed")
+    lab = CL.assign(enc, "encoded", models[best_k], out="cluster_mixed")
     lab = PJ.project(lab, "encoded", 2, prefix="p2_")
     result = df.join(lab.select(key, F.col("cluster_mixed").cast("string").alias("cluster_mixed"), "p2_1", "p2_2"), key)
     return {"result": result, "sweep": sweep, "best_k": best_k}

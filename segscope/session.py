@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,3 +69,22 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of one job in the shared checkpoint folder; the job deletes them when its result is there."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.n = spark, 0
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/segscope-{name}-{uuid.uuid4().hex[:12]}"
+
+    def save(self, df):
+        """Write, and read again: cuts the lineage, and each row is worked out once."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
