@@ -16,7 +16,7 @@ from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType,
 
 from ..functions.columns import NUMERIC_PATTERN
 
-NUMERIC, CATEGORICAL, TEXT, DATE = "numeric", "categorical", "text", "date"
+NUMERIC, CATEGORICAL, TEXT, DATE, VECTOR = "numeric", "categorical", "text", "date", "vector"
 
 
 def _is_date(dt) -> bool:
@@ -56,23 +56,31 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def _semantic(dtype_str, n_distinct, n_rows):
-    return (F.when(F.lit(dtype_str).isin("date", "timestamp", "timestamp_ntz"), F.lit(DATE))
-             .when(F.lit(dtype_str).isin("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
-                   | F.lit(dtype_str).startswith("decimal"), F.lit(NUMERIC))
-             .when(n_distinct / n_rows < 0.1, F.lit(CATEGORICAL)).otherwise(F.lit(TEXT)))
-
-
-def detect_types(df: DataFrame, approx: bool = False) -> DataFrame:
+def detect_types(df: DataFrame, limit: float = 0.1, margin: float = 0.2) -> DataFrame:
     """(column, type): date by dtype, numeric by dtype (bool included),
-    else categorical when distinct / rows < 0.1, else text."""
-    p = profile(df, approx)
-    dtype = F.col("dtype")
-    t = (F.when(dtype.isin("date", "timestamp", "timestamp_ntz"), F.lit(DATE))
-          .when(dtype.isin("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
-                | dtype.startswith("decimal"), F.lit(NUMERIC))
-          .when(F.col("n_distinct") / F.col("n_rows") < 0.1, F.lit(CATEGORICAL)).otherwise(F.lit(TEXT)))
-    return p.select("pos", "column", t.alias("type"))
+    else categorical when distinct / rows < ``limit``, else text. Distinct values
+    are estimated for all columns in one pass and counted only where the estimate
+    is within ``margin`` (ten of its standard errors) of the limit."""
+    fixed, open_ = {}, []
+    for i, f in enumerate(df.schema.fields):
+        dt = f.dataType.simpleString()
+        if dt in ("date", "timestamp", "timestamp_ntz"):
+            fixed[i] = DATE
+        elif dt in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or dt.startswith("decimal"):
+            fixed[i] = NUMERIC
+        else:
+            open_.append(i)
+    col = lambda i: F.col(f"`{df.columns[i]}`")
+    if open_:
+        one = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(col(i), 0.02).alias(f"d{i}") for i in open_]).first()
+        n = one["n"]
+        near = [i for i in open_ if n and abs(one[f"d{i}"] / n - limit) <= margin * limit]
+        exact = df.agg(*[F.count_distinct(col(i)).alias(f"d{i}") for i in near]).first() if near else {}
+        for i in open_:
+            distinct = exact[f"d{i}"] if i in near else one[f"d{i}"]
+            fixed[i] = CATEGORICAL if n and distinct / n < limit else TEXT
+    rows = [(i, c, fixed[i]) for i, c in enumerate(df.columns)]
+    return df.sparkSession.createDataFrame(rows, "pos int, column string, type string")
 
 
 def categorical_candidates(df: DataFrame, exclude: list[str] | None = None, max_distinct: int = 20,
@@ -202,5 +210,5 @@ def validate(df: DataFrame, features: list[str], types: dict[str, str] | None =
             t = types.get(c)
             if t is None:
                 raise ValidationError(f"no type for {c!r}")
-            if t not in (NUMERIC, CATEGORICAL, TEXT, DATE):
+            if t not in (NUMERIC, CATEGORICAL, TEXT, DATE, VECTOR):
                 raise ValidationError(f"unsupported type {t!r} for {c!r}")

@@ -6,7 +6,7 @@ collected) applied as literals, so the transform is a narrow projection.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +71,20 @@ def one_hot_long(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def one_hot_vectors(df: DataFrame, cols: list[str], out_col: str = "onehot") -> DataFrame:
-    """E4 vector form: categories in alphabetical order, unknown -> all zeros.
-    ``handleInvalid='keep'`` adds an unknown slot last and ``dropLast`` removes
-    exactly that slot, so known categories keep one slot each."""
+    """E4 vector form: categories in alphabetical order, missing -> all zeros.
+    The dictionary of a column is a table (``label_mapping``) that is joined;
+    only its size reaches the driver."""
     idx = [f"_{c}_idx" for c in cols]
     vec = [f"_{c}_oh" for c in cols]
-    si = StringIndexer(inputCols=cols, outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep")
+    d = df
+    for c, i in zip(cols, idx):
+        codes = label_mapping(df.where(F.col(c).isNotNull()), c).select(F.col("value").alias(f"{i}_v"), F.col("code").alias(i))
+        size = codes.count()
+        # an index of ``size`` is unknown to the encoder, whose slot for it is dropped
+        nominal = {"ml_attr": {"type": "nominal", "name": i, "num_vals": max(size, 1)}}
+        d = d.join(codes, F.col(c).cast("string") == F.col(f"{i}_v"), "left").drop(f"{i}_v")
+        d = d.withColumn(i, F.coalesce(F.col(i), F.lit(max(size, 1))).cast("double").alias(i, metadata=nominal))
     oh = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="keep")
-    d = si.fit(df).transform(df)
     d = oh.fit(d).transform(d)
     d = VectorAssembler(inputCols=vec, outputCol=out_col).transform(d)
     return d.drop(*idx, *vec)

@@ -129,14 +129,20 @@ def cluster_cards(df: DataFrame, label: str) -> DataFrame:
     return df.filter(F.col(label).isNotNull()).groupBy(label).agg(*aggs)
 
 
-def varying_columns(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
-    """Columns with more than one distinct value (parallel-coordinates axes)."""
+def varying_columns(df: DataFrame, exclude: list[str] | None = None, counted: bool = False) -> DataFrame:
+    """Columns with more than one distinct value (parallel-coordinates axes):
+    least and greatest value differ. ``counted`` adds how many, which is a distinct
+    count of those columns."""
     ex = set(exclude or [])
-    cols = [c for c in df.columns if c not in ex]
-    one = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"))
-                     for i, c in enumerate(cols)])
-    return one.select(F.inline(rows)).filter(F.col("n_distinct") > 1)
+    cols = [(i, c) for i, c in enumerate(x for x in df.columns if x not in ex)]
+    ends = df.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in cols]).first() if cols else {}
+    kept = [(i, c) for i, c in cols if ends[f"v{i}"]]
+    spark = df.sparkSession
+    if not counted or not kept:
+        return spark.createDataFrame(kept, "pos int, column string") if not counted else spark.createDataFrame([], "pos int, column string, n_distinct long")
+    one = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in kept])
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct")) for i, c in kept])
+    return one.select(F.inline(rows))
 
 
 def cluster_index(df: DataFrame, label: str, n: int = 10) -> DataFrame:

@@ -22,7 +22,6 @@ import math
 
 import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -92,11 +91,12 @@ def silhouette(df: DataFrame, features: str, label: str, noise=-1) -> DataFrame:
     ML's evaluator computes exactly this from per-cluster sums, in the JVM."""
     d = _prep(df, features, label, noise)
     if not isinstance(d.schema[label].dataType, NumericType):
-        d = StringIndexer(inputCol=label, outputCol="_lab", stringOrderType="alphabetAsc").fit(d).transform(d)
-        lab = "_lab"
+        from .features import label_mapping
+        codes = label_mapping(d, label).select(F.col("value").alias("_value"), F.col("code").cast("double").alias("_lab"))
+        d = d.join(codes, F.col(label).cast("string") == F.col("_value")).drop("_value")
     else:
         d = d.withColumn("_lab", F.col(label).cast("double"))
-        lab = "_lab"
+    lab = "_lab"
     st = d.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(lab).alias("k")).first()
     if st["k"] < 2:
         return _one_row(df.sparkSession, n=int(st["n"]), silhouette=None)

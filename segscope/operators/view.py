@@ -44,6 +44,24 @@ def table_view(df: DataFrame, where: list[tuple[str, str, object]] | None = None
     return out
 
 
+def page_after(df: DataFrame, order_by: list[tuple[str, bool]], key: list[str], after: dict | None = None,
+               size: int = 10) -> DataFrame:
+    """C6 for deep pages: the ``size`` rows that follow the last row seen, given by its values of the order columns and the
+    key (none: the first page). Only rows after it are looked at, and each task keeps ``size`` of them, so a page costs the
+    same wherever it is. NULL stands first in ascending and last in descending order."""
+    order = [*order_by, *[(k, True) for k in key]]
+    out = df
+    if after:
+        later, same = F.lit(False), F.lit(True)
+        for c, asc in order:
+            v = after[c]
+            beyond = F.col(c).isNotNull() if v is None and asc else F.lit(False) if v is None else \
+                F.coalesce(F.col(c) > F.lit(v), F.lit(False)) if asc else F.col(c).isNull() | (F.col(c) < F.lit(v))
+            later, same = later | (same & beyond), same & F.col(c).eqNullSafe(F.lit(v))
+        out = out.where(later)
+    return out.orderBy(*[F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]).limit(size)
+
+
 def preview(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
     """A4: the first n rows in key order."""
     return df.orderBy(*order_by).limit(n)
