@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 #: Chunks of a generation, and the characters of one that is kept.
 GENERATION, CACHE_CHARS = 350_000, 40
 _RUNS = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+\Z")
-#: Letters whose case and composed form are the same rule everywhere, then marks.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters whose case and composed form are the same rule everywhere, then ASCII marks other than the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 #: What a sign in front of a chunk says about the text before it.
@@ -106,6 +106,10 @@ class Encoder:
             self.marks[text] = self._pre_token("", self.letters[10]) if text == "\n" else self._pre_token(text)
         return self.marks[text]
 
+    def _known(self, word: str) -> bytes | None:
+        """Ids of a word that was met without marks."""
+        return self.words.young.get(word) or self.words.old.get(word)
+
     def _plain(self, before: str, key: str) -> bytes | None:
         """Ids of a chunk of plain letters and marks after a space, a line break or nothing; None: another chunk."""
         found = _PLAIN.fullmatch(key)
@@ -113,9 +117,10 @@ class Encoder:
             return None
         word, marks = found.groups()
         if self.drops_space:
-            ids = self._pre_token(word.lower())
+            word = word.lower()
+            ids = word != key and self._known(word) or self._pre_token(word)
         elif before == " ":
-            ids = self._pre_token(word, self.letters[32])
+            ids = marks and self._known(word) or self._pre_token(word, self.letters[32])
         else:  # a line break is a match of its own
             ids = (self._mark(before) if before else b"") + self._pre_token(word)
         return ids + self._mark(marks) if marks else ids

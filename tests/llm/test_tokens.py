@@ -42,8 +42,8 @@ def test_chunks_give_the_ids_of_the_whole_text(name, drops, monkeypatch):
 def test_every_plain_letter_and_mark(name, drops):
     """Words of the letters that go to the model itself, after a space and after a line break."""
     rnd = random.Random(8)
-    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
-    words = ["".join(rnd.choices(letters, k=rnd.randrange(1, 12))) + "".join(rnd.choices(".,;:!?", k=rnd.randrange(4))) for _ in range(4000)]
+    letters, marks = [chr(c) for c in range(256) if chr(c).isalpha()], [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    words = ["".join(rnd.choices(letters, k=rnd.randrange(1, 12))) + "".join(rnd.choices(marks, k=rnd.randrange(5))) for _ in range(4000)]
     texts = [a + w for w in words + letters for a in ("x ", "x\n", "")]
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
