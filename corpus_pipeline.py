@@ -13,7 +13,7 @@ of ``documents`` with all their columns.
    0.8) the document with the smallest id stays.
 4. decontamination: documents that hold a benchmark passage go.
 5. packing: every document as sequences of a power of two of ids; returns
-   doc_id, start, length, doc_tokens, width, ids, sequence_id, offset.
+   doc_id, start, length, doc_tokens, width, ids, ids_crc32, sequence_id, offset.
 
 Nulls, empty texts, repeated rows, empty tables and extra columns: as the
 operators' docstrings define.

@@ -6,7 +6,7 @@ collected) applied as literals, so the transform is a narrow projection.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +100,14 @@ def date_parts(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
               .withColumn(f"{p}_weekday", F.coalesce(F.weekday(c), F.lit(-1))))
 
 
+def embedding_vectors(df: DataFrame, col: str, out: str) -> DataFrame:
+    """A precomputed ``array<float>`` as a vector column of known length (that of the first row that has one;
+    another length is an error)."""
+    first = df.where(F.col(col).isNotNull()).select(F.size(col).alias("n")).first()
+    d = df.withColumn(out, array_to_vector(F.col(col).cast("array<double>")))
+    return VectorSizeHint(inputCol=out, size=first["n"] if first else 0, handleInvalid="error").transform(d)
+
+
 def assemble(df: DataFrame, cols: list[str], out_col: str = "features", array_cols: list[str] | None = None) -> DataFrame:
     """Concatenate numeric columns, vector columns and precomputed
     ``array<float>`` embeddings (as vectors) in the given order."""
@@ -107,7 +115,7 @@ def assemble(df: DataFrame, cols: list[str], out_col: str = "features", array_co
     inputs = []
     for c in cols:
         if array_cols and c in array_cols:
-            d = d.withColumn(f"_{c}_vec", array_to_vector(F.col(c)))
+            d = embedding_vectors(d, c, f"_{c}_vec")
             inputs.append(f"_{c}_vec")
         else:
             inputs.append(c)

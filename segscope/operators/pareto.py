@@ -122,25 +122,10 @@ def quantiles(p: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles of ``value`` over the ranked table.
     Position h = (n-1)q in ascending order; ascending index j is descending rank
     n - j. Only the two neighbouring rows per quantile are read."""
-    n = F.col("n_items")
-    v = F.col(value).cast("double")
-    aggs = []
-    for name, q in probs.items():
-        h = (n - 1) * F.lit(float(q))
-        lo_rank = n - F.floor(h)
-        hi_rank = F.greatest(lo_rank - 1, F.lit(1))
-        aggs += [F.max(F.when(F.col("rank") == lo_rank, v)).alias(f"_{name}_lo"),
-                 F.max(F.when(F.col("rank") == hi_rank, v)).alias(f"_{name}_hi"),
-                 F.max(h - F.floor(h)).alias(f"_{name}_d")]
-    cond = None
-    for name, q in probs.items():
-        h = (n - 1) * F.lit(float(q))
-        lo_rank = n - F.floor(h)
-        c = (F.col("rank") == lo_rank) | (F.col("rank") == F.greatest(lo_rank - 1, F.lit(1)))
-        cond = c if cond is None else (cond | c)
-    s = p.filter(cond).agg(*aggs)
-    return s.select(*[(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_d")).alias(k)
-                      for k in probs])
+    aggs, fin = _quantile_parts(value, probs)
+    lows = [F.col("n_items") - F.floor((F.col("n_items") - 1) * F.lit(float(q))) for q in probs.values()]
+    near = reduce(lambda a, b: a | b, [(F.col("rank") == r) | (F.col("rank") == F.greatest(r - 1, F.lit(1))) for r in lows])
+    return p.filter(near).agg(*aggs).select(*fin)
 
 
 def _bounds(p: DataFrame, value: str, k: float):

@@ -1,5 +1,5 @@
 """Registered queries: Pareto on derived amounts, reports written and read
-back, pick-lists, choices of k on a fixed sweep, coercions and row helpers."""
+back, pick-lists, choices of k, coercions and row helpers."""
 
 from __future__ import annotations
 
@@ -47,29 +47,31 @@ SQL_PARETO_SUMS = "WITH s AS (SELECT l_partkey, SUM(CAST(l_extendedprice AS DECI
     _ranked_sql("s", "amount", "l_partkey")
 
 
-# a fixed sweep from the nation table: k = key + 2, scores with ties and gaps
-_SIL, _CH, _DB = "(n_nationkey * 7) % 11 / 11.0 - 0.2", "(n_nationkey * 5) % 13 * 10.0", "0.0 - (n_nationkey * 3) % 7"
+# scores per k from lines: k = quantity + 1, the figures are averages and sums of the lines of that quantity
+_SWEEP = """sweep AS (SELECT CAST(l_quantity AS INT) + 1 AS k, CAST(AVG(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS silhouette,
+  CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS ch, -CAST(SUM(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS db FROM lineitem GROUP BY 1)"""
 
 
 def _sweep(spark, d):
-    return _t(spark, d, "nation").select((F.col("n_nationkey") + 2).alias("k"), F.expr(_SIL).cast("double").alias("silhouette"),
-                                         F.expr(_CH).cast("double").alias("calinski_harabasz"),
-                                         F.expr(_DB).cast("double").alias("neg_davies_bouldin"))
+    money = lambda c: F.col(c).cast(DecimalType(18, 2))
+    by = _t(spark, d, "lineitem").groupBy((F.col("l_quantity").cast("int") + 1).alias("k"))
+    return by.agg(F.avg(money("l_discount")).cast("double").alias("silhouette"), F.sum(money("l_extendedprice")).cast("double").alias("calinski_harabasz"),
+                  (-F.sum(money("l_tax")).cast("double")).alias("neg_davies_bouldin"))
 
 
 def choose_k_silhouette(spark, d):
     return CL.best_k_silhouette(_sweep(spark, d))
 
 
-SQL_CHOOSE_K_SILHOUETTE = f"SELECT n_nationkey + 2 AS best_k FROM nation ORDER BY {_SIL} DESC, n_nationkey LIMIT 1"
+SQL_CHOOSE_K_SILHOUETTE = f"WITH {_SWEEP} SELECT k AS best_k FROM sweep ORDER BY silhouette DESC, k LIMIT 1"
 
 
 def choose_k_vote(spark, d):
     return CL.best_k_vote(_sweep(spark, d))
 
 
-SQL_CHOOSE_K_VOTE = "WITH votes AS (" + " UNION ALL ".join(
-    f"(SELECT n_nationkey + 2 AS k, {i} AS o FROM nation ORDER BY {m} DESC, n_nationkey LIMIT 1)" for i, m in enumerate((_SIL, _CH, _DB))) + \
+SQL_CHOOSE_K_VOTE = f"WITH {_SWEEP}, votes AS (" + " UNION ALL ".join(
+    f"(SELECT k, {i} AS o FROM sweep ORDER BY {m} DESC, k LIMIT 1)" for i, m in enumerate(("silhouette", "ch", "db"))) + \
     ") SELECT k AS best_k FROM votes GROUP BY k ORDER BY COUNT(*) DESC, MIN(o) LIMIT 1"
 
 
@@ -84,12 +86,26 @@ SQL_SWEEP_ONE = f"SELECT 1 AS k, {R('COUNT(*) * (VAR_POP(p_size) + VAR_POP(p_ret
 
 
 def unclassified(spark, d):
-    """F8 on a table with too few rows for clusters."""
-    out = SEG.mixed_cluster(_t(spark, d, "region").where("r_regionkey < 2"), "r_regionkey", {"r_name": C.CATEGORICAL})["result"]
-    return out.select("r_regionkey", "cluster_mixed")
+    """F8: too few rows for clusters, here the totals of the two line states."""
+    few = _t(spark, d, "lineitem").groupBy("l_linestatus").agg(F.sum("l_quantity").alias("quantity"))
+    out = SEG.mixed_cluster(few, "l_linestatus", {"quantity": C.NUMERIC})["result"]
+    return out.select("l_linestatus", "cluster_mixed")
 
 
-SQL_UNCLASSIFIED = "SELECT r_regionkey, 'unclassified' AS cluster_mixed FROM region WHERE r_regionkey < 2"
+SQL_UNCLASSIFIED = "SELECT DISTINCT l_linestatus, 'unclassified' AS cluster_mixed FROM lineitem"
+
+
+def deep_page(spark, d):
+    """The page of orders that follows the row in the middle of the order."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    seen = o.groupBy("o_orderpriority").agg(F.max("o_orderkey").alias("o_orderkey")).orderBy("o_orderpriority").offset(2).first()
+    after = {"o_orderpriority": seen["o_orderpriority"], "o_orderkey": seen["o_orderkey"] // 2}
+    return V.page_after(o, [("o_orderpriority", False)], ["o_orderkey"], after, 25)
+
+
+SQL_DEEP_PAGE = """WITH s AS (SELECT o_orderpriority AS p, MAX(o_orderkey) // 2 AS k FROM orders GROUP BY 1 ORDER BY 1 LIMIT 1 OFFSET 2)
+SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders, s WHERE o_orderpriority < p OR (o_orderpriority = p AND o_orderkey > k)
+ORDER BY o_orderpriority DESC, o_orderkey LIMIT 25"""
 
 
 def coercions(spark, d):
@@ -183,7 +199,6 @@ def pareto_report(spark, d):
     csv, book = (IO.scratch_path(spark, x) for x in ("pareto-csv", "pareto-report"))
     IO.write_pareto_csv(csv, r["summary"], r["key_items"], r["pareto"])
     IO.write_pareto_report(book, r["summary"], r["recommendations"], r["key_items"], r["monitor"])
-    r["pareto"].unpersist()
     parts = [(f"csv/{x}", IO.read_table(spark, f"{csv}/{x}", "csv")) for x in ("summary", "key_items", "full")]
     parts += [(f"report/{x}", IO.read_table(spark, f"{book}/{x}", "parquet")) for x in ("summary", "key_items")]
     out = None
@@ -227,6 +242,7 @@ QUERIES = {
     "pareto_gap": (pareto_gap, SQL_PARETO_GAP), "pareto_sums": (pareto_sums, SQL_PARETO_SUMS),
     "choose_k_silhouette": (choose_k_silhouette, SQL_CHOOSE_K_SILHOUETTE), "choose_k_vote": (choose_k_vote, SQL_CHOOSE_K_VOTE),
     "sweep_one_cluster": (sweep_one_cluster, SQL_SWEEP_ONE), "unclassified": (unclassified, SQL_UNCLASSIFIED),
+    "deep_page": (deep_page, SQL_DEEP_PAGE),
     "coercions": (coercions, SQL_COERCIONS), "combined_text": (combined_text, SQL_COMBINED_TEXT),
     "attached": (attached, SQL_ATTACHED), "stats_display": (stats_display, SQL_STATS_DISPLAY),
     "numeric_and_text_columns": (numeric_and_text_columns, SQL_COLUMNS), "pareto_options": (pareto_options, SQL_PARETO_OPTIONS),

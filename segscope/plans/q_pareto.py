@@ -14,6 +14,7 @@ from pyspark.sql.types import DecimalType
 from ..operators import indicators as ind
 from ..functions.columns import rnd
 from ..operators import pareto as P
+from ..session import cut_lineage
 from .sqlbits import EXACT, MONEY, PCT, R
 
 THRESHOLD = 80.0
@@ -281,7 +282,7 @@ SQL_COMPARE_CLUSTERS = f"WITH {_P_SQL}, {_CMP_SQL} SELECT * FROM cmp"
 
 
 def _insight_frames(spark, d):
-    p = _pareto(spark, d).persist()
+    p = cut_lineage(_pareto(spark, d))
     g = P.gini(p, "value")
     o = P.outlier_summary(p, "value")
     pot = P.improvement_potential(p, "value")

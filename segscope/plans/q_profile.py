@@ -160,7 +160,7 @@ SQL_CLUSTER_CARDS = f"""WITH {_SEG_SQL} SELECT cluster, COUNT(*) AS rows, """ +
 
 
 def varying_columns(spark, d):
-    return H.varying_columns(_seg_lines(spark, d).select("cluster", *FEATS, "l_linestatus", "l_tax"), exclude=["cluster"])
+    return H.varying_columns(_seg_lines(spark, d).select("cluster", *FEATS, "l_linestatus", "l_tax"), exclude=["cluster"], counted=True)
 
 
 _VAR_COLS = FEATS + ["l_linestatus", "l_tax"]

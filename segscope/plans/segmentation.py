@@ -1,5 +1,6 @@
 """Composed analyses (the reference's three segmentations and the Pareto
-report), each a chain of DataFrame operators over one persisted input."""
+report), each a chain of DataFrame operators; what several of them read is stored
+once in the checkpoint folder."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from ..operators import project as PJ
 from ..operators import text as T
 from ..operators import view as V
 from ..operators.quality import as_array
+from ..session import cut_lineage
 
 
 def text_segmentation(df: DataFrame, key: str, text_cols: list[str], k_min: int = 2, k_max: int = 10,
@@ -24,8 +26,8 @@ def text_segmentation(df: DataFrame, key: str, text_cols: list[str], k_min: int
     by silhouette (F3, F4), k-means with the chosen k (F1, model reused),
     projection (P1), statistics and keywords (H12, H13)."""
     C.validate(df, text_cols, k_range=(k_min, k_max))
-    d = V.drop_blank(V.combine_text(df, text_cols), "text_combined").persist()
-    vec = T.tfidf_vectors(d, key, "text_combined", max_features).persist()
+    d = cut_lineage(V.drop_blank(V.combine_text(df, text_cols), "text_combined"))
+    vec = cut_lineage(T.tfidf_vectors(d, key, "text_combined", max_features))
     if vec.count() < 2:
         raise C.ValidationError("fewer than 2 documents to cluster")
     sweep, models = CL.sweep_models(vec, "features", range(k_min, k_max + 1), seed=seed)
@@ -56,14 +58,14 @@ def numeric_segmentation(df: DataFrame, key: str, features: list[str], method: s
     C.validate(df, features, min_features=2)
     d = FE.standardize(C.impute_median(df.select(key, *features), features), features, suffix="_z")
     zc = [f + "_z" for f in features]
-    v = VectorAssembler(inputCols=zc, outputCol="features").transform(d).persist()
+    v = cut_lineage(VectorAssembler(inputCols=zc, outputCol="features").transform(d))
     if method == "density":
         lab = density_cluster(v, zc, cell, min_samples, min_cluster_size, out="cluster_num")
     else:
         sweep, models = CL.sweep_models(v, "features", range(2, k_max + 1) if k is None else [k], seed=seed)
         k = k or CL.best_k_silhouette(sweep).first()["best_k"]
         lab = CL.assign(v, "features", models[k], out="cluster_num")
-    lab = PJ.project(PJ.project(lab, "features", 2, "p2_"), "features", 3, "p3_").persist()
+    lab = cut_lineage(PJ.project(PJ.project(lab, "features", 2, "p2_"), "features", 3, "p3_"))
     return {"result": lab.drop("features"),
             "stats": H.cluster_stats(lab, "cluster_num", features),
             "summary": CL.cluster_summary(lab, "cluster_num"),
@@ -87,9 +89,9 @@ def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_feat
     """Per-type transforms concatenated in column order: numeric -> median
     impute + standardise; categorical -> 'missing' + one-hot; text -> TF-IDF
     (100 terms, 1-character tokens, French + extra stop words), dense;
-    date -> year, month, day, weekday."""
+    date -> year, month, day, weekday; vector -> a precomputed ``array<float>``
+    (sentence vectors, E11) as it is, none of them missing."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     cols = list(types)
     C.validate(df, cols, {c: t for c, t in types.items() if t not in _CUSTOM} | {c: C.NUMERIC for c, t in types.items() if t in _CUSTOM})
     # bad numbers and dates in text columns are missing
@@ -119,6 +121,9 @@ def mixed_features(df: DataFrame, key: str, types: dict[str, str], text_max_feat
         elif t == C.DATE:
             d = FE.date_parts(d, c, prefix=f"_{c}")
             parts += [f"_{c}_year", f"_{c}_month", f"_{c}_day", f"_{c}_weekday"]
+        elif t == C.VECTOR:
+            d = FE.embedding_vectors(d, c, f"_{c}_vec")
+            parts.append(f"_{c}_vec")
         elif t == C.TEXT:
             tv = T.tfidf_vectors(d.select(key, F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_t")), key, "_t",
                                  text_max_features, stop_words("french_mixed"), MIXED_TOKEN, out=f"_{c}_tfidf")
@@ -135,16 +140,16 @@ def mixed_cluster(df: DataFrame, key: str, types: dict[str, str], k_max: int = 1
     (F1, model reused) -> 2-D projection -> label. Too few rows: F8.
     ``encoder='autoencoder'`` trains the non-linear encoder (F7a) instead."""
     from pyspark.ml.feature import PCA
-    feats = mixed_features(df, key, types).persist()
+    feats = cut_lineage(mixed_features(df, key, types))
     n = feats.count()
     width = len(feats.select("features").first()[0])
     dim = max(2, min(32, width // 2))
     if encoder == "autoencoder":  # F7a
         from ..operators.encoder import encode, fit_autoencoder
         model = fit_autoencoder(feats, "features", dim=32, epochs=epochs, batch=256, seed=seed)
-        enc = encode(feats, "features", model).persist()
+        enc = cut_lineage(encode(feats, "features", model))
     else:  # F7b
-        enc = PCA(k=min(dim, width), inputCol="features", outputCol="encoded").fit(feats).transform(feats).persist()
+        enc = cut_lineage(PCA(k=min(dim, width), inputCol="features", outputCol="encoded").fit(feats).transform(feats))
     top = min(k_max, n - 1)
     if top < 2:
         return {"result": CL.label_unclassified(df), "sweep": None}
@@ -158,8 +163,8 @@ def mixed_cluster(df: DataFrame, key: str, types: dict[str, str], k_max: int = 1
 
 def pareto_report(df: DataFrame, value: str, key, cluster: str, threshold: float = 80.0, clusters=None,
                   label_col: str | None = None) -> dict[str, DataFrame]:
-    """I16: every Pareto table from one persisted ranked table."""
-    p = P.pareto(df, value, key, cluster_col=cluster, clusters=clusters).persist()
+    """I16: every Pareto table from one stored ranked table."""
+    p = cut_lineage(P.pareto(df, value, key, cluster_col=cluster, clusters=clusters))
     g = P.gini(p, value)
     o = P.outlier_summary(p, value)
     pot = P.improvement_potential(p, value)

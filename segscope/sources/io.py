@@ -68,6 +68,12 @@ def write_table(df: DataFrame, path: str, format: str = "csv", mode: str = "over
     w.format(format).save(path)
 
 
+def export_consolidated(path: str, format: str = "csv", **results: DataFrame) -> None:
+    """A10: the results of the segmentations stacked (K1) and exported in one step."""
+    from ..operators.combine import consolidate
+    write_table(consolidate(**results), path, format)
+
+
 def write_text_report(path: str, summary: DataFrame, documents: DataFrame, stats: DataFrame,
                       keywords: DataFrame, label: str, metadata: dict | None = None,
                       format: str = "parquet") -> list[str]:
