@@ -20,7 +20,9 @@ the other way round for names; numbers may change freely. So a re-parameterised
 question is found, and chance meetings of a template are not.
 
 The benchmark's windows are broadcast only while they number at most
-``BROADCAST_WINDOWS`` (they are counted first); beyond that the join shuffles.
+``BROADCAST_WINDOWS`` (they are counted first); beyond that the join shuffles. Texts
+move only where they have runs: the ids of these are stored, counted, and broadcast
+while they number at most ``BROADCAST_IDS``.
 
 Defined results: null and empty texts and items match nothing; items of fewer
 than ``MIN_ITEM`` tokens match as verbatim wholes only; of runs of one item that
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WINDOW, MIN_TOKENS, MIN_LITERAL, MIN_ITEM = 8, 13, 5, 5
-BROADCAST_WINDOWS = 500_000
+BROADCAST_WINDOWS, BROADCAST_IDS = 500_000, 1_000_000
+BLOCK = 256  # tokens whose sizes are summed once
 NEAR = 8
 INSIDE, EVERY, PLAIN = 0, 1, 2
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
@@ -160,6 +163,40 @@ def _slots(run: str) -> Column:
         F.when(shared(x), rest(x["i"])).otherwise(x["i"]).alias("i"), F.when(shared(x), rest(x["d"])).otherwise(x["d"]).alias("d")))
 
 
+def _having(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose doc_id is (``left_semi``) or is not (``left_anti``) among the ids; rows are only shuffled if the ids are many."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
+def _before(at: Column) -> Column:
+    """Plain tokens before the token at ``at``: whole blocks, then the rest of one."""
+    whole = F.floor(at / BLOCK).cast("int")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
+    return total(F.slice("_blocks", F.lit(1), whole)) + total(F.slice("_sizes", whole * BLOCK + 1, at - whole * BLOCK))
+
+
+def _cut(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Runs with _d (the document's surfaces there), doc_start and doc_end in plain tokens, and _copy (which text of the id).
+    Surfaces are worked out once for each text that has runs, and only such texts move."""
+    own = [c for c in runs.columns if c not in ("mode", "doc_id")]
+    lists = runs.groupBy("mode", "doc_id").agg(F.collect_list(F.struct(*own)).alias("_runs"))
+    with_runs = _having(docs, saved(runs.select("doc_id").distinct(), "run-ids"), "left_semi")
+    modes = runs.select("mode", "doc_id").distinct()
+    texts = with_runs.join(modes, "doc_id").select("mode", "doc_id", F.xxhash64("text").alias("_copy"), _surfaces(F.col("text"), F.col("mode")).alias("_all"))
+    texts = saved(texts, "surfaces")  # stored: else they are worked out anew in the lambdas
+    texts = texts.withColumn("_sizes", F.transform("_all", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    texts = saved(texts.withColumn("_blocks", F.transform(F.sequence(F.lit(0), F.floor(F.size("_sizes") / BLOCK).cast("int")), lambda i: F.aggregate(
+        F.slice("_sizes", i * BLOCK + 1, BLOCK), F.lit(0), lambda acc, x: acc + x))), "surface-sizes")
+    joined = texts.join(lists, ["mode", "doc_id"])
+
+    def one(r):
+        at, size = r["diagonal"] + r["first"], r["end"] - r["first"]
+        return F.struct(*[r[c].alias(c) for c in own], F.slice("_all", at + 1, size).alias("_d"), _before(at).alias("doc_start"),
+                        _before(at + size).alias("doc_end"))
+
+    return joined.select("mode", "doc_id", "_copy", F.inline(F.transform("_runs", one)))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  item_id: str = "item_id", item_text: str = "text", window: int = WINDOW,
                  min_tokens: int = MIN_TOKENS, min_literal: int = MIN_LITERAL) -> DataFrame:
@@ -199,12 +236,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
         "mode", "item_id", F.when(F.col("mode") == PLAIN, plain(F.col("text"))).when(F.col("mode") == EVERY, canonical(F.col("text"), EVERY))
         .otherwise(canonical(F.col("text"), INSIDE)).alias("_c"), _surfaces(F.col("text"), F.col("mode")).alias("_i"))
     part = lambda c: F.slice(c, F.col("first") + 1, F.col("end") - F.col("first"))
-    runs = runs.join(texts, ["mode", "item_id"]).withColumns({"_c": part("_c"), "_i": part("_i")})
-    found = runs.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id")
-    found = found.withColumn("_all", _surfaces(F.col("_text"), F.col("mode"))).withColumn("_copy", F.xxhash64("_text")).drop("_text")
-    at, size = F.col("diagonal") + F.col("first"), F.col("end") - F.col("first")
-    found = found.withColumns({"doc_start": _plain_size(F.slice("_all", F.lit(1), at)), "doc_end": _plain_size(F.slice("_all", F.lit(1), at + size)),
-                               "_d": F.slice("_all", at + 1, size)}).drop("_all")
+    found = _cut(saved(runs, "runs"), docs).join(texts, ["mode", "item_id"]).withColumns({"_c": part("_c"), "_i": part("_i")})
     found = found.withColumn("_run", F.transform("_c", lambda c, k: F.struct(
         c.alias("c"), F.get("_i", k).alias("i"), F.get("_d", k).alias("d"))))
     found = found.withColumn("_same", F.array_join("_i", " ") == F.array_join("_d", " "))
@@ -225,6 +257,6 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``documents`` whose id is not given away; null ids stay."""
-    ids = contaminated(documents, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("_id")).distinct()
+    ids = saved(contaminated(documents, benchmark, doc_id=doc_id, **options).select("doc_id").distinct(), "contaminated-ids")
     rows = documents.select(F.struct(*documents.columns).alias("_row"), F.col(doc_id).alias("doc_id"))
-    return rows.join(ids, F.col("doc_id") == F.col("_id"), "left_anti").select("_row.*")
+    return _having(rows, ids, "left_anti").select("_row.*")

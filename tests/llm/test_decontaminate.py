@@ -71,3 +71,25 @@ def test_new_values_of_other_lengths(spark):
     rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {(r["doc_id"], r["item_id"]): r["kind"] for r in rows if r["doc_id"] < 20} == {(i + 10, i): "reparameterised" for i in range(4)}
     assert not [r for r in rows if r["doc_id"] == 21]
+
+
+def test_long_text_of_one_repeated_line(spark):
+    """A line that the benchmark holds, over and over: found, in time and memory that grow with the text."""
+    import time
+    item = "word " * 59 + "word"
+    bench = spark.createDataFrame([(1, item), (2, "the old clock in the hall of the house struck twelve as the red cat slept")], "item_id long, text string")
+    docs = [(1, "word " * 20_000), (2, "the old clock in the hall of the house struck twelve as the red cat slept\n" * 1500), (3, "word " * 59)]
+    started = time.time()
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["n_tokens"]) for r in rows}
+    assert set(found) == {(1, 1), (2, 2), (3, 1)} and found[1, 1][0] == 0 and found[3, 1] == (0, 59) and len(rows) < 2000
+    assert time.time() - started < 300
+
+
+def test_ids_that_are_too_many_to_send(spark, monkeypatch):
+    from segscope.llm import decontaminate
+    docs = spark.createDataFrame([(i, "so " + ITEM if i % 2 else f"nothing here {i}") for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", 3)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 3)
+    assert sorted(r["doc_id"] for r in without_contaminated(docs, bench).collect()) == list(range(0, 20, 2))
