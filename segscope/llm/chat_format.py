@@ -49,9 +49,7 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     to ``formatted``; ``loss`` marks the texts of the role ``learn``."""
     empty = F.lit("")
     turns = df.select(F.col(conv).alias("conv_id"), F.struct(
-        F.col(turn).alias("turn"),
-        F.replace(escape(F.coalesce(F.col(role), empty)), F.lit("\n"), F.lit("&#10;")).alias("role"),
-        escape(F.coalesce(F.col(text), empty)).alias("text")).alias("t"))
+        F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text")).alias("t"))
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     role_at = lambda i: F.get(F.col("t"), i)["role"]
     # first index of each run of one role
@@ -64,9 +62,10 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
         stop = F.coalesce(F.get(F.col("starts"), k + 1), F.size("t"))
         is_learned = role_at(start) == learn
         texts = F.transform(F.slice(F.col("t"), start + 1, stop - start), lambda x, j: F.when(
-            j == 0, F.array(segment(x["text"], is_learned))).otherwise(
-            F.array(segment(F.lit(SEP), no), segment(x["text"], is_learned))))
-        return F.concat(F.array(segment(F.concat(F.lit(START), role_at(start), F.lit("\n")), no)),
+            j == 0, F.array(segment(escape(x["text"]), is_learned))).otherwise(
+            F.array(segment(F.lit(SEP), no), segment(escape(x["text"]), is_learned))))
+        name = F.replace(escape(role_at(start)), F.lit("\n"), F.lit("&#10;"))
+        return F.concat(F.array(segment(F.concat(F.lit(START), name, F.lit("\n")), no)),
                         F.flatten(texts), F.array(segment(F.lit(END), no)))
 
     rows = rows.select("conv_id", F.flatten(F.transform("starts", merged)).alias("segments"))
