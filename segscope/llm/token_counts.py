@@ -11,8 +11,12 @@ token count of each trie node are computed once, level by level with numpy: a
 prefix that many words share is worked out once. The counts at terminal nodes
 are kept per worker (at most ``CACHE_WORDS``; when full the cache starts anew),
 so a word costs its computation about once per worker. Words of over
-``LONG_WORD`` characters, which share little, run the same recurrence alone.
-No shuffle; only the path of the vocabulary travels.
+``LONG_WORD`` characters (whole sentences, in scripts without spaces) are cut where
+no piece can span, that is between two characters that no piece holds side by side:
+the best ways to write the parts make up the best way to write the word. The parts go
+to the trie like words; a part that is still longer has no such place, shares
+nothing, and runs the recurrence alone. No shuffle; only the path of the vocabulary
+travels.
 
 Ties in score go to fewer tokens, then to the longest last piece.
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +77,8 @@ class Counter:
                 keys = np.array(sorted(table), np.uint64)
                 self.tables[n] = keys, np.array([table[int(k)] for k in keys])
         self.seen: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.joined = {p[i:i + 2] for p in scores for i in range(len(p) - 1)}
 
     @staticmethod
     def _hash(s: str) -> int:
@@ -127,24 +134,47 @@ class Counter:
             counts[ends] = tokens[own[ends]]
         return counts
 
+    def cut(self, text: str) -> list[str]:
+        """The parts of a text between places that no piece spans."""
+        joined, at, out = self.joined, 0, []
+        for i in range(1, len(text)):
+            if text[i - 1:i + 1] not in joined:
+                out.append(text[at:i])
+                at = i
+        return [*out, text[at:]]
+
     def _alone(self, word: str) -> int:
-        best = [(0.0, 0)]
+        best = deque([(0.0, 0)], self.longest)  # no piece reaches back further
         for end in range(1, len(word) + 1):
-            s, t = best[end - 1][0] + UNKNOWN, best[end - 1][1] + 1
+            s, t = best[-1][0] + UNKNOWN, best[-1][1] + 1
             for n in range(1, min(end, self.longest) + 1):
                 piece = self.scores.get(word[end - n:end])
                 if piece is not None:
-                    s2, t2 = best[end - n][0] + piece, best[end - n][1] + 1
+                    s2, t2 = best[-n][0] + piece, best[-n][1] + 1
                     if s2 > s + 1e-9 or (s2 > s - 1e-9 and t2 <= t):
                         s, t = s2, t2
             best.append((s, t))
         return best[-1][1]
 
+    def _learn_parts(self, parts: set[str]) -> None:
+        """Counts of parts as they stand, without the word mark."""
+        if len(self.parts) + len(parts) > CACHE_WORDS:
+            self.parts.clear()
+        new = parts.difference(self.parts)
+        self.parts.update((p, self._alone(p)) for p in new if len(p) > LONG_WORD)
+        todo = sorted(p for p in new if len(p) <= LONG_WORD)
+        for at in range(0, len(todo), BATCH_WORDS):
+            part = todo[at:at + BATCH_WORDS]
+            self.parts.update(zip(part, self._count(part).tolist()))
+
     def learn(self, words: set[str]) -> None:
         if len(self.seen) + len(words) > CACHE_WORDS:
             self.seen.clear()
         new = words.difference(self.seen)
-        self.seen.update((w, self._alone(MARK + w)) for w in new if len(w) > LONG_WORD)
+        cut = {w: self.cut(MARK + w) for w in new if len(w) > LONG_WORD}
+        if cut:
+            self._learn_parts(set(itertools.chain.from_iterable(cut.values())))
+            self.seen.update((w, sum(map(self.parts.__getitem__, parts))) for w, parts in cut.items())
         todo = sorted(w for w in new if len(w) <= LONG_WORD)
         for at in range(0, len(todo), BATCH_WORDS):
             part = todo[at:at + BATCH_WORDS]
