@@ -5,9 +5,10 @@ known language: one passage from each of at most ``SAMPLES`` documents (for each
 of ``SAMPLES`` hash classes the document of least hash), up to
 ``DICTIONARY_BYTES`` in all. That bounded sample is the whole model.
 
-A text is reduced to its lower-case letter words, cut into chunks of
-``CHUNK_WORDS`` words, and a word counts once per chunk, so that repetition says
-nothing. Every chunk of the whole text is compressed with each dictionary; the
+A text is reduced to its lower-case letter words (runs of letters without spaces
+are cut after ``WORD_CHARS``), cut into chunks of ``CHUNK_WORDS`` words, so that a
+chunk stays within reach of the dictionary, and a word counts once per chunk, so that
+repetition says nothing. Every chunk of the whole text is compressed with each dictionary; the
 language with the smallest total wins. A fixed tail keeps short chunks
 compressible, else they would be stored raw and tie. The margin is the share by
 which the best beats the second; a text whose margin is below ``NARROW`` is
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, text_slices
 
-SAMPLES, DICTIONARY_BYTES, CHUNK_WORDS = 256, 1 << 16, 400
+SAMPLES, DICTIONARY_BYTES, CHUNK_WORDS, WORD_CHARS = 256, 1 << 16, 400, 48
 NARROW, SURE = 0.002, 0.1
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % WORD_CHARS)
 _TAIL = b"\0" * 64
 
 
@@ -61,7 +62,9 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             out.append(parts[x % len(parts)].decode() if parts else "")
         return pd.Series(out)
 
-    found = rows.where(F.col("h").isin(hashes)).select("lang", "h", passage("text", "h").alias("p")).distinct().collect()
+    # one passage per hash, also where an id is repeated over many texts
+    found = rows.where(F.col("h").isin(hashes)).select("lang", "h", passage("text", "h").alias("p")).groupBy("lang", "h").agg(
+        F.min("p").alias("p")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["p"])):
         out[r["lang"]] = (out.get(r["lang"], b"") + r["p"].encode() + b" ")[:DICTIONARY_BYTES]
