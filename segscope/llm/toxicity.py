@@ -9,7 +9,10 @@ inside), and the length. The lexicon is learned: words, and word beginnings of
 (and in ``LEAST_SUPPORT``) and ``ODDS`` times as often there as in the others.
 
 Learning uses at most about ``MAX_TRAIN`` labelled documents, chosen by hash of
-their id: a bounded sample, so its label rows may be broadcast. Documents whose
+their id: a bounded sample, so its label rows may be broadcast. The bound holds for
+each class by itself (up to half, and what the other class leaves), so that a rare
+class is kept whole; trees and calibration weigh a row by the rows it stands for.
+Documents whose
 crc32(id) mod 4 is 2 are never learned from; remainder 1 calibrates, 0 and 3
 train lexicon and trees. Scoring covers every document; labels, language, source
 and id are no inputs of a score.
@@ -83,11 +86,15 @@ def with_features(df: DataFrame, lexicon: tuple[frozenset, frozenset]) -> DataFr
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text, toxic, part (0, 1 or 3) of at most about ``most`` labelled documents outside the held-out rows."""
+    """doc_id, text, toxic, part (0, 1 or 3), weight of at most about ``most`` labelled documents outside the held-out rows.
+    Each class is bounded by itself, so that a rare one is kept whole; the weight is how many rows a row stands for."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
-    share = min(1.0, most / max(1, marks.count()))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    have = {r["toxic"] != 0: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    fewer = {c: min(have.get(c, 0), most // 2) for c in (True, False)}
+    share = {c: min(1.0, (most - fewer[not c]) / max(1, have.get(c, 0))) for c in (True, False)}
+    share = F.when(F.col("toxic") != 0, share[True]).otherwise(share[False])
+    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).withColumn("weight", 1 / share)
     marks = marks.withColumn("part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4)
     return docs.join(F.broadcast(marks), "doc_id")  # at most about ``most`` rows of three numbers
 
@@ -115,17 +122,19 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     count = {(r["part"] == 1, r["toxic"]): r["count"] for r in known.groupBy((F.col("part") == 1).alias("part"), "toxic").count().collect()}
     held = held_out(F.col("doc_id")).alias("held_out")
     if min(count.get((c, y), 0) for c in (False, True) for y in (0, 1)) < LEAST:
-        share = float(sum(n for (_, y), n in count.items() if y) / max(1, sum(count.values())))
+        weights = {r["toxic"]: r["w"] for r in known.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
+        share = float(sum(w for y, w in weights.items() if y) / max(1.0, sum(weights.values())))
         scored = docs.select("doc_id", held, F.lit(share).alias("score"))
     else:
         train = known.where("part <> 1")
         lexicon = learn_lexicon(train, count[False, 1], count[False, 0])
-        vectors = with_features(known, lexicon).join(known.select("doc_id", "toxic", "part").distinct(), "doc_id")
+        vectors = with_features(known, lexicon).join(known.select("doc_id", "toxic", "part", "weight").distinct(), "doc_id")
         vectors = saved(vectors, "toxicity-features").withColumn("features", array_to_vector("f")).withColumn("label", F.col("toxic").cast("double"))
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, subsamplingRate=1.0).fit(
-            vectors.where("part <> 1").select("features", "label"))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, subsamplingRate=1.0, weightCol="weight").fit(
+            vectors.where("part <> 1").select("features", "label", "weight"))
         p = lambda d: model.transform(d).withColumnRenamed("features", "_f").withColumnRenamed("probability", "features")
-        curve = IsotonicRegression(featureIndex=1, predictionCol="score").fit(p(vectors.where("part = 1")).select("features", "label"))
+        curve = IsotonicRegression(featureIndex=1, predictionCol="score", weightCol="weight").fit(
+            p(vectors.where("part = 1")).select("features", "label", "weight"))
         every = with_features(docs, lexicon).withColumn("features", array_to_vector("f"))
         scored = curve.transform(p(every)).select("doc_id", held,
                                                   F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
