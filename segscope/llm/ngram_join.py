@@ -58,6 +58,8 @@ from .common import Scratch, saved, text_slices
 from .shingles import U, mix, shingle_sets
 
 GROUPS = 32
+#: Below, a set may agree with another in empty ranges alone, and the keys for that grow beyond all bounds.
+LEAST_PERCENT = 70
 TILE_SHINGLES = 500_000
 BROADCAST_NODES = 500_000  # ids of 16 bytes; beyond, the texts are shuffled to them
 FINE = U(20)  # group of a shingle: its hash without the last 20 bits
@@ -252,6 +254,8 @@ def _connecting(tasks: DataFrame, percent: int, exact: bool) -> DataFrame:
 def groups(df: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text",
            tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """doc_id, n, node (names the shingle set), root (names the component): one row per input row."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the index serves similarities from {LEAST_PERCENT} to 100 %")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     scratch = Scratch(df.sparkSession, "ngram-join")
     save = scratch.save

@@ -87,3 +87,10 @@ def test_blocks_and_long_runs(monkeypatch):
     s._powers.cache_clear()
     assert [len(x) for x in whole] == [len(x) for x in cut] == [len(whole[0]), 1, 0]
     assert len(np.intersect1d(whole[0], cut[0])) >= len(whole[0]) - 3
+
+
+def test_low_percents_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="70 to 100"):
+        ngram_join(df, k=1, percent=60)
+    assert {r["component_id"] for r in ngram_join(df, k=1, percent=70).collect()} == {1, 2}

@@ -11,6 +11,14 @@ from segscope.llm.queries import SITE_RULES, tokenizer_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def test_chat_ties_follow_the_raw_texts(spark):
+    """Escaping would put '<|x' before '0'; rows of one turn stand in the order of their own role and text."""
+    rows = [(1, 0, "user", "<|x"), (1, 0, "user", "0"), (1, 0, "user", "&"), (1, 0, "[INST]", "z"), (1, 0, "Z", "a"), (1, 0, "a\nb", "<s>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = chat_format.format_conversations(df).select(chat_format.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [(t["role"], t["text"]) for t in out] == sorted((r, t) for _, _, r, t in rows)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a & b <|im_end|>\n <|im_start|>x"), (1, 1, "assistant", "</s>[INST]&lt;|"), (1, 2, "assistant", None),
             (1, 2, "assistant", "tie"), (1, 2, "assistant", "tie"), (2, None, None, None), (2, 5, "a\nb", "x<|im_sep|>"),
@@ -144,3 +152,89 @@ def test_quality_score(spark):
     assert not any(g["kept"] for q, g in marked if q == 0)
 
 
+def _viterbi(scores, word):
+    best = [(0.0, 0)]
+    longest = max(map(len, scores))
+    for end in range(1, len(word) + 1):
+        s, t = best[end - 1][0] + token_counts.UNKNOWN, best[end - 1][1] + 1
+        for n in range(1, min(end, longest) + 1):
+            if (p := scores.get(word[end - n:end])) is not None:
+                s2, t2 = best[end - n][0] + p, best[end - n][1] + 1
+                if s2 > s + 1e-9 or (s2 > s - 1e-9 and t2 <= t):
+                    s, t = s2, t2
+        best.append((s, t))
+    return best[-1][1]
+
+
+def test_token_counts_of_a_whole_table(spark):
+    model = tokenizer_path("piece_bpe_32k.model")
+    scores, known = token_counts.scores_of(token_counts.piece_list(model)), {}
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: (r["n_pretokens"], r["n_tokens"]) for r in token_counts.token_counts(df, model).collect()}
+    for r in df.collect():
+        w = (r["text"] or "").split()
+        for x in set(w).difference(known):
+            known[x] = _viterbi(scores, token_counts.MARK + x)
+        assert got[r["doc_id"]] == (len(w), sum(map(known.__getitem__, w)))
+
+
+def test_long_words_are_cut_where_no_piece_spans():
+    import random
+    scores = token_counts.scores_of(token_counts.piece_list(tokenizer_path("piece_bpe_32k.model")))
+    counter, rnd = token_counts.Counter(scores), random.Random(6)
+    words = ["".join(rnd.choices("日本語学中文的了是不", k=300)), "the" * 50 + "日本" * 40, "ab" * 200, "".join(rnd.choices("abcdefgh", k=150)) + "é😀" * 30]
+    counter.learn(set(words))
+    assert [counter.seen[w] for w in words] == [_viterbi(scores, token_counts.MARK + w) for w in words]
+    assert max(map(len, counter.cut(words[0]))) <= token_counts.LONG_WORD
+    long = "".join(rnd.choices([chr(c) for c in range(0x4e00, 0x9000)], k=200_000))
+    counter.learn({long})
+    assert counter.seen[long] >= 200_000 and all(len(p) < 100 for p in counter.cut(long))
+
+
+def test_language_by_plain_compression(spark):
+    """Each language's dictionary, one compressor at a time, over a whole table."""
+    import zstandard as z
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang_id.learn(df)
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in lang_id.predict_languages(df, model).collect()}
+    params = z.ZstdCompressionParameters(strategy=z.STRATEGY_GREEDY, min_match=4, search_log=4, window_log=17, hash_log=16, chain_log=16)
+    by = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(v, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params) for k, v in model.items()}
+    for r in df.collect():
+        words, parts = re.findall(r"[^\W\d_]{1,48}", (r["text"] or "").lower()), []
+        for at in range(0, len(words), 400):
+            seen = []
+            for w in words[at:at + 400]:
+                if w not in seen:
+                    seen.append(w)
+            parts.append(" ".join(seen).encode() + b"\0" * 64)
+        if not parts:
+            assert got[r["doc_id"]] == ("und", True)
+            continue
+        size = {k: sum(len(c.compress(p)) for p in parts) for k, c in by.items()}
+        first, second = sorted(size.values())[:2]
+        assert got[r["doc_id"]] == (min(size, key=lambda k: (size[k], k)), (second - first) / second < lang_id.NARROW)
+
+
+def test_language_of_texts_without_spaces_and_ties():
+    text = "".join(chr(0x4e00 + i * i % 20000) for i in range(200_000))
+    parts = lang_id.chunks(text)
+    assert max(map(len, parts)) < 1 << 17 and sum(p.count(b" ") + 1 for p in parts) <= -(-200_000 // 48)
+    model = (("aa", b"some words of one language"), ("bb", b"some words of one language"))
+    assert lang_id.classify("other words", model)[0] == "aa" and lang_id.classify("other words", model)[3]
+
+
+def test_repeated_ids_give_one_passage_each(spark):
+    rows = [(1, f"text number {i} of many", "en") for i in range(300)] + [(5, "ein deutscher text", "de")]
+    model = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model) <= {"en", "de"} and len(model.get("en", b"")) < 40
+
+
+def test_a_rare_class_is_kept_whole(spark):
+    from segscope.llm import toxicity
+    ids = list(range(20_000))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 400 == 1)) for i in ids], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, 1000).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    n = {r["toxic"]: (r["n"], r["w"]) for r in got}
+    toxic = labels.where("toxic = 1").where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert n[1] == (toxic, toxic) and 700 < n[0][0] < 1200 and abs(n[0][1] / 15_000 - 1) < 0.15
