@@ -5,10 +5,10 @@ Here they advance together: a Lloyd round is one pass over the rows, in which ev
 Arrow block meets the centroids of all models that still move (a matrix product per
 k), and what leaves a task is, per k, one vector of sums: rows, squared norms and
 feature sums of each centroid. Spark adds these vectors up; the driver sees the sums,
-which are as large as the models. A model whose centroids move no more than ``tol``
-makes one closing round with its final centroids and leaves. The pass after the last
-round scores the best start of every k (silhouette, Davies-Bouldin; the other figures
-follow from the sums).
+which are as large as the models. A model whose centroids' squared moves add up to no
+more than ``tol`` times the mean variance of a feature makes one closing round with its
+final centroids and leaves. The pass after the last round scores the best start of every
+k (silhouette, Davies-Bouldin; the other figures follow from the sums).
 
 Models are bounded: more than ``WAVE_NUMBERS`` centroid coordinates go in several
 waves, one after the other, each in the same way.
@@ -231,7 +231,7 @@ class Fitted:
 def lloyd_together(data: DataFrame, column: str, width: int, models: dict[tuple[int, int], np.ndarray], max_iter: int = 300,
                    tol: float = 1e-4) -> dict[tuple[int, int], Fitted]:
     """Models by (k, start), from their first centroids to their last, one pass per round for all."""
-    now, moving, rounds, done = dict(models), dict.fromkeys(models, True), 0, {}
+    now, moving, rounds, done, still = dict(models), dict.fromkeys(models, True), 0, {}, None
     while now:
         rounds += 1
         groups: dict[int, list] = {}
@@ -242,6 +242,9 @@ def lloyd_together(data: DataFrame, column: str, width: int, models: dict[tuple[
             if k not in sums:  # no rows
                 continue
             each = sums[k].reshape(len(keys), -1, width + 2)
+            if still is None:  # the mean variance of a feature, from the sums of any model
+                rows, squares, total = each[0, :, 0].sum(), each[0, :, 1].sum(), each[0, :, 2:].sum(0)
+                still = tol * max(0.0, squares / rows - ((total / rows) ** 2).sum()) / max(1, width)
             for key, v in zip(keys, each):
                 n, c = v[:, 0], now[key]
                 if not moving[key]:
@@ -249,7 +252,7 @@ def lloyd_together(data: DataFrame, column: str, width: int, models: dict[tuple[
                     del now[key]
                     continue
                 new = np.where(n[:, None] > 0, v[:, 2:] / np.maximum(n, 1)[:, None], c)  # an empty cluster stays
-                moving[key] = rounds < max_iter and bool(np.sqrt(((new - c) ** 2).sum(1)).max() > tol)
+                moving[key] = rounds < max_iter and bool(((new - c) ** 2).sum() > still)
                 now[key] = new
         if not sums:
             break

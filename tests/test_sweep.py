@@ -23,8 +23,8 @@ def lloyd(rows, c, max_iter=300, tol=1e-4):
     for _ in range(max_iter):
         label = np.array([((r - c) ** 2).sum(1).argmin() for r in rows])
         new = np.array([rows[label == j].mean(0) if (label == j).any() else c[j] for j in range(len(c))])
-        moved, c = np.sqrt(((new - c) ** 2).sum(1)).max(), new
-        if moved <= tol:
+        moved, c = ((new - c) ** 2).sum(), new
+        if moved <= tol * rows.var(0).mean():
             break
     return c, sum(((r - c) ** 2).sum(1).min() for r in rows)
 
