@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import noise_last, rnd
-from .combine import join_small
+from .combine import join_small, per_group
 from .rank import ranked
 from .stats import feature_quantiles, group_quantiles
 
@@ -81,7 +81,7 @@ def box_stats(long: DataFrame, label: str, k: float = 1.5) -> DataFrame:
     q = group_quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = q.withColumn("_lo", F.col("q1") - k * (F.col("q3") - F.col("q1"))) \
          .withColumn("_hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
-    j = join_small(long.filter(F.col("value").isNotNull()), q, keys, "inner")
+    j = join_small(long.filter(F.col("value").isNotNull()), per_group(q), keys, "inner")
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
     return (j.groupBy(*keys)
              .agg(F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -95,7 +95,7 @@ def box_outliers(long: DataFrame, label: str, k: float = 1.5) -> DataFrame:
     keys = [label, "feature"]
     q = group_quantiles(long, keys, "value", {"_q1": 0.25, "_q3": 0.75})
     reach = k * (F.col("_q3") - F.col("_q1"))
-    j = join_small(long.filter(F.col("value").isNotNull()), q, keys, "inner")
+    j = join_small(long.filter(F.col("value").isNotNull()), per_group(q), keys, "inner")
     return j.filter((F.col("value") < F.col("_q1") - reach) | (F.col("value") > F.col("_q3") + reach)).drop("_q1", "_q3")
 
 
