@@ -12,11 +12,13 @@ Every row's ``k`` nearest other rows, without comparing all pairs.
    exact; what is missed lies in other cells. How many cells the wanted recall needs is
    measured: ``TRIED`` sample vectors are compared with all rows. All cells give the exact
    answer.
-3. *Hot cells.* A cell is cut into pieces of at most about ``PIECE_ROWS`` filed rows and as
-   many asking ones, by hashes of their ids; every piece of askers meets every piece of
+3. *Areas.* The cells of one coarse cell are an area. A row is sent once to each area that it
+   looks into, with the list of its cells there, not once to each cell; vectors of floats
+   travel as floats. An area is cut into pieces of at most about ``PIECE_ROWS`` filed rows and
+   ``ASK_ROWS`` asking ones, by hashes of their ids; every piece of askers meets every piece of
    filed rows. So a group is bounded whatever a cell holds.
-4. A group yields k candidates a row, from numpy products over blocks of rows; the best k of
-   a row's few lists are its neighbours.
+4. A group compares a row with its cells alone and yields k candidates, from numpy products
+   over blocks of rows; the best k of a row's few lists are its neighbours.
 
 The cell table (at most ``FIT_ROWS`` / 8 centroids) travels with the tasks. Ties go to the
 smaller id; a row is not its own neighbour; rows without a vector, or with one of another
@@ -27,15 +29,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..session import Scratch
 from .quality import as_array
 from .rank import top_n
 from .sweep import plus_plus, start_rows
 
-FIT_ROWS, PIECE_ROWS, BLOCK_NUMBERS, TRIED = 4096, 1 << 15, 1 << 21, 256
+FIT_ROWS, PIECE_ROWS, ASK_ROWS, BLOCK_NUMBERS, TRIED = 4096, 1 << 15, 1 << 14, 1 << 21, 256
 _KEY = ["_c1", "_c2"]
 
 
@@ -47,17 +51,18 @@ def _lloyd(rows: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit_cells(rows: np.ndarray, cells: int, seed: int) -> np.ndarray:
-    """About ``cells`` centroids: a coarse partition, and one inside each of its cells in proportion to their rows."""
+def fit_cells(rows: np.ndarray, cells: int, seed: int) -> tuple[np.ndarray, list[int]]:
+    """About ``cells`` centroids, and the area of each: a coarse partition, and one inside each of its cells in proportion
+    to their rows."""
     coarse = _lloyd(rows, max(1, round(cells ** 0.5)), seed)
     label = ((coarse * coarse).sum(1) - 2 * rows @ coarse.T).argmin(1)
     fine = [_lloyd(rows[label == j], max(1, round(cells * (label == j).mean())), seed) for j in range(len(coarse)) if (label == j).any()]
-    return np.concatenate(fine)
+    return np.concatenate(fine), [i for i, c in enumerate(fine) for _ in c]
 
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 def _route(cells, probe: int):
@@ -121,34 +126,54 @@ def _nearest(k: int):
         order = np.lexsort((ids, d), axis=-1)[..., :most]
         return np.take_along_axis(d, order, -1), np.take_along_axis(ids, order, -1)
 
+    def search(x, ids, a, asking):
+        """Rows a against filed rows x -> (dist, cid), k columns at most."""
+        norm, own = (x * x).sum(1), (a * a).sum(1)
+        some = min(len(ids), k + 9)  # a row itself may be among them, and a few for rounding
+        for at in range(0, len(a), max(1, BLOCK_NUMBERS // len(x))):
+            part, mine = a[at:at + max(1, BLOCK_NUMBERS // len(x))], asking[at:at + max(1, BLOCK_NUMBERS // len(x))]
+            d = norm - 2 * part @ x.T
+            d[mine[:, None] == ids] = np.inf
+            cut = np.argpartition(d, some - 1, axis=1)[:, :some] if some < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
+            rough = np.take_along_axis(d, cut, 1)
+            exact = np.sqrt(((part[:, None, :] - x[cut]) ** 2).sum(2))
+            exact[~np.isfinite(rough)] = np.inf
+            near, who = best_of(exact, ids[cut], k)
+            # where rounding or ties may hide a nearer one: all rows up to the farthest candidate, measured
+            slack = 1e-9 * (own[at:at + len(part)] + norm.max() + 1)
+            last = np.where(np.isfinite(rough), rough, -np.inf).max(1)
+            kth = near[:, min(k, near.shape[1]) - 1] ** 2 - own[at:at + len(part)]
+            for i in np.flatnonzero((some < len(ids)) & (last <= kth + slack)):
+                wide = np.flatnonzero(d[i] <= kth[i] + slack[i])
+                e = np.sqrt(((part[i] - x[wide]) ** 2).sum(1))
+                near[i], who[i] = best_of(e, ids[wide], k)
+            yield at, near, who
+
     def run(filed: pa.Table, asks: pa.Table) -> pa.Table:
-        ids, asking = filed["cid"].to_numpy(), asks["asking"].to_numpy()
-        lists = []
+        ids, home, asking = filed["cid"].to_numpy(), filed["home"].to_numpy(), asks["asking"].to_numpy()
+        owner, dist, cid = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, np.int64)]
         if len(ids) and len(asking):
             x, a = _matrix(filed["x"]), _matrix(asks["ax"])
-            norm, own = (x * x).sum(1), (a * a).sum(1)
-            some = min(len(ids), k + 9)  # a row itself may be among them, and a few for rounding
-            for at in range(0, len(a), max(1, BLOCK_NUMBERS // len(x))):
-                part, mine = a[at:at + max(1, BLOCK_NUMBERS // len(x))], asking[at:at + max(1, BLOCK_NUMBERS // len(x))]
-                d = norm - 2 * part @ x.T
-                d[mine[:, None] == ids] = np.inf
-                cut = np.argpartition(d, some - 1, axis=1)[:, :some] if some < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
-                rough = np.take_along_axis(d, cut, 1)
-                exact = np.sqrt(((part[:, None, :] - x[cut]) ** 2).sum(2))
-                exact[~np.isfinite(rough)] = np.inf
-                near, who = best_of(exact, ids[cut], k)
-                # where rounding or ties may hide a nearer one: all rows up to the farthest candidate, measured
-                slack = 1e-9 * (own[at:at + len(part)] + norm.max() + 1)
-                last = np.where(np.isfinite(rough), rough, -np.inf).max(1)
-                kth = near[:, min(k, near.shape[1]) - 1] ** 2 - own[at:at + len(part)]
-                for i in np.flatnonzero((some < len(ids)) & (last <= kth + slack)):
-                    wide = np.flatnonzero(d[i] <= kth[i] + slack[i])
-                    e = np.sqrt(((part[i] - x[wide]) ** 2).sum(1))
-                    near[i], who[i] = best_of(e, ids[wide], k)
-                lists += [[{"dist": float(p), "cid": int(q)} for p, q in zip(ds, qs) if np.isfinite(p)] for ds, qs in zip(near, who)]
-        else:
-            asking = asking[:0]
-        return pa.table([pa.array(asking, pa.int64()), pa.array(lists, pa.list_(pa.struct([("dist", pa.float64()), ("cid", pa.int64())])))],
+            looks = asks["looks"].combine_chunks()
+            row = np.repeat(np.arange(len(a)), pc.list_value_length(looks).to_numpy(zero_copy_only=False))
+            cell = looks.flatten().to_numpy(zero_copy_only=False)
+            by_cell, by_home = cell.argsort(kind="stable"), home.argsort(kind="stable")
+            cell, row, home = cell[by_cell], row[by_cell], home[by_home]
+            for c in np.intersect1d(home, cell):
+                here = by_home[np.searchsorted(home, c):np.searchsorted(home, c, side="right")]
+                who = row[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
+                for at, d, q in search(x[here], ids[here], a[who], asking[who]):
+                    found = np.isfinite(d)
+                    owner.append(np.repeat(who[at:at + len(d)], found.sum(1)))
+                    dist.append(d[found])
+                    cid.append(q[found])
+        owner, dist, cid = map(np.concatenate, (owner, dist, cid))
+        order = np.lexsort((cid, dist, owner))
+        owner = owner[order]
+        best = order[np.arange(len(owner)) - np.searchsorted(owner, owner) < k]  # the k nearest of each row
+        found, n = np.unique(owner[np.arange(len(owner)) - np.searchsorted(owner, owner) < k], return_counts=True)
+        near = pa.StructArray.from_arrays([pa.array(dist[best], pa.float64()), pa.array(cid[best], pa.int64())], ["dist", "cid"])
+        return pa.table([pa.array(asking[found], pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]), pa.int32()), near)],
                         names=["cid", "near"])
     return run
 
@@ -157,26 +182,30 @@ def _class_neighbors(scratch: Scratch, classes: DataFrame, k: int, cells: int |
     """classes (cid, x) -> cid, near: array of (dist, cid), the k nearest classes."""
     spark = classes.sparkSession
     n = classes.count()
-    rows = start_rows(classes, "x", len(classes.select("x").first()[0]), seed)[:FIT_ROWS]
-    fitted = fit_cells(rows, cells or max(1, min(FIT_ROWS // 8, round(n ** 0.5))), seed)
+    rows = start_rows(classes.select(F.col("x").cast("array<double>").alias("x")), "x", len(classes.select("x").first()[0]), seed)[:FIT_ROWS]
+    fitted, area = fit_cells(rows, cells or max(1, min(FIT_ROWS // 8, round(n ** 0.5))), seed)
     probe = probe or probes_for(classes, fitted, rows, k, recall)
     sent = spark.sparkContext.broadcast(fitted)
-    routed = scratch.save(classes.select("cid", "x").mapInArrow(_route(sent, probe), "cid long, x array<double>, near array<int>"))
-    # rows filed and rows asking per cell: as many rows as cells
-    load = routed.select("near", F.posexplode("near").alias("place", "cell")).groupBy("cell").agg(
-        F.count(F.when(F.col("place") == 0, 1)).alias("filed"), F.count(F.lit(1)).alias("asks"))
-    plan = F.broadcast(load.select("cell", *[F.greatest(F.lit(1), F.ceil(F.col(c) / PIECE_ROWS)).cast("int").alias(o)
-                                             for c, o in (("filed", "pieces"), ("asks", "splits"))]))
+    schema = f"cid long, x {classes.schema['x'].dataType.simpleString()}, near array<int>"
+    routed = scratch.save(classes.select("cid", "x").mapInArrow(_route(sent, probe), schema))
+    area_of = lambda c: F.element_at(F.array(*map(F.lit, area)), c + 1)
+    filed = routed.select("cid", "x", F.col("near")[0].alias("home")).withColumn("area", area_of(F.col("home")))
+    # of each row the areas it looks into
+    asks = routed.select(F.col("cid"), "x", "near", F.explode(F.array_distinct(F.transform("near", area_of))).alias("area"))
+    load = filed.groupBy("area").agg(F.count(F.lit(1)).alias("filed")).join(
+        asks.groupBy("area").agg(F.count(F.lit(1)).alias("asks")), "area")  # as many rows as areas
+    plan = F.broadcast(load.select("area", *[F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int").alias(o)
+                                             for c, most, o in (("filed", PIECE_ROWS, "pieces"), ("asks", ASK_ROWS, "splits"))]))
     each = lambda upto: F.explode(F.sequence(F.lit(0), F.col(upto) - 1))
     part = lambda of, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(of)).cast("int")
-    filed = routed.select("cid", "x", F.col("near")[0].alias("cell")).join(plan, "cell") \
-        .select("cid", "x", "cell", part("pieces", 1).alias("piece"), each("splits").alias("split"))
-    asks = routed.select("cid", "x", F.explode("near").alias("cell")).join(plan, "cell") \
-        .select(F.col("cid").alias("asking"), F.col("x").alias("ax"), "cell", part("splits", 2).alias("split"), each("pieces").alias("piece"))
-    keys = ["cell", "piece", "split"]
+    filed = filed.join(plan, "area").select("cid", "x", "home", "area", part("pieces", 1).alias("piece"), each("splits").alias("split"))
+    looks = F.filter("near", lambda c: area_of(c) == F.col("area"))
+    asks = asks.join(plan, "area").select(F.col("cid").alias("asking"), F.col("x").alias("ax"), looks.alias("looks"), "area",
+                                          part("splits", 2).alias("split"), each("pieces").alias("piece"))
+    keys = ["area", "piece", "split"]
     found = filed.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(_nearest(k), "cid long, near array<struct<dist:double,cid:long>>")
     lists = found.select("cid", F.explode("near").alias("e")).groupBy("cid").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k).alias("near"))
-    return scratch.save(lists)  # a row has at most probe x pieces lists of k
+    return scratch.save(lists)  # a row has at most areas x pieces lists of k
 
 
 def knn(df: DataFrame, features: str, id_col: str, k: int, cells: int | None = None, probe: int | None = None, recall: float = 0.97,
@@ -192,6 +221,9 @@ def knn(df: DataFrame, features: str, id_col: str, k: int, cells: int | None = N
     if first is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("x") == first["w"]).withColumns({"_c1": F.xxhash64("x", F.lit(1)), "_c2": F.xxhash64("x", F.lit(2))})
+    kind = df.schema[features].dataType
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType):  # the same numbers in half the bytes
+        rows = rows.withColumn("x", F.col("x").cast(kind))
     rows = scratch.save(rows)
     # classes of equal vectors with their least k + 1 ids, found in two rounds, so that a large class is no single task
     least = top_n(rows.select(*_KEY, "id", F.lit(0).alias("_s")), "_s", k + 1, by=_KEY, tiebreak=["id"])

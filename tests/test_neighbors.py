@@ -188,3 +188,35 @@ def test_layout_against_dense_eigenvectors(spark):
         v, want = np.array([rows[i][c] for i in range(n)]), vectors[:, ::-1][:, c + 1]
         assert v[np.abs(v).argmax()] > 0 and abs(v @ v - 1) < 1e-6
         assert np.linalg.norm(a @ v - info["values"][c] * v) <= 2 * max(info["residual"], 1e-3)
+
+
+def test_an_area_answers_a_row_once_and_from_its_cells_alone():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    x, a = rng.standard_normal((60, 4)).astype(np.float32), rng.standard_normal((9, 4)).astype(np.float32)
+    home = np.arange(60) % 3
+    looks = [[0, 2] if i % 2 else [1] for i in range(9)]
+    vectors = lambda m: pa.array(list(m), pa.list_(pa.float32()))
+    filed = pa.table({"cid": pa.array(range(60), pa.int64()), "x": vectors(x), "home": pa.array(home, pa.int32())})
+    asks = pa.table({"asking": pa.array(range(100, 109), pa.int64()), "ax": vectors(a), "looks": pa.array(looks, pa.list_(pa.int32()))})
+    out = N._nearest(5)(filed, asks).to_pylist()
+    assert [r["cid"] for r in out] == list(range(100, 109))
+    for i, r in enumerate(out):
+        d = np.sqrt(((x.astype(float) - a[i].astype(float)) ** 2).sum(1))
+        d[~np.isin(home, looks[i])] = np.inf
+        assert [e["cid"] for e in r["near"]] == list(np.argsort(d, kind="stable")[:5])
+        assert np.allclose([e["dist"] for e in r["near"]], np.sort(d)[:5])
+
+
+def test_layout_rounds_send_no_table_of_nodes_to_all(spark, monkeypatch):
+    plans = []
+
+    class Watched(GL.Scratch):
+        def save(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df)
+
+    monkeypatch.setattr(GL, "Scratch", Watched)
+    graph = spark.createDataFrame([(i, (i + 1) % 12, 1.0 + i % 3) for i in range(12)], "u long, v long, weight double")
+    GL.spectral_layout(spark.range(12).select("id"), graph, 2, rounds=2)
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
