@@ -78,7 +78,7 @@ def spectral_layout(nodes: DataFrame, graph: DataFrame, dim: int = 2, rounds: in
     names = [f"_y{i}" for i in range(d)]
     both = graph.select("u", "v", "weight").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     degree = both.groupBy("u").agg(F.sum("weight").alias("degree"))
-    of = lambda c: degree.select(F.col("u").alias(c), F.col("degree").alias(f"d{c}"))
+    of = lambda c: degree.select(F.col("u").alias(c), F.col("degree").alias(f"d{c}")).hint("merge")
     edges = scratch.save(both.join(of("u"), "u").join(of("v"), "v").select("u", "v", (F.col("weight") / F.sqrt(F.col("du") * F.col("dv"))).alias("a")))
     # starts from the ids: the same however the rows are dealt
     unit = lambda i: F.pmod(F.xxhash64("u", F.lit(seed + i)), F.lit(1 << 30)) / float(1 << 30) - 0.5
@@ -100,9 +100,10 @@ def spectral_layout(nodes: DataFrame, graph: DataFrame, dim: int = 2, rounds: in
     while True:
         done += 1
         y = scratch.save(orthonormal(y))
-        ends = y.select(F.col("u").alias("v"), *names)
+        # both sides are dealt by node: a table of all nodes is sent to no one, however few bytes it has
+        ends = y.select(F.col("u").alias("v"), *names).hint("merge")
         z = edges.join(ends, "v").groupBy("u").agg(*[F.sum(F.col("a") * F.col(n)).alias(f"_z{i}") for i, n in enumerate(names)])
-        j = scratch.save(y.join(z, "u"))
+        j = scratch.save(y.join(z.hint("merge"), "u"))
         zs = [f"_z{i}" for i in range(d)]
         # the block's own small problem: values of the matrix on it, largest first
         small = _gram(j, names, zs)
@@ -119,6 +120,6 @@ def spectral_layout(nodes: DataFrame, graph: DataFrame, dim: int = 2, rounds: in
     # entries of one size up to rounding count as equal, so that the sign does not hang on the order of sums
     largest = out.agg(*[F.max_by(F.col(c), F.struct(F.round(F.abs(c), 9), -F.col("u"))).alias(c) for c in cols]).first()
     out = out.select(F.col("u").alias("id"), *[(F.col(c) * (-1.0 if largest[c] < 0 else 1.0)).alias(c) for c in cols])
-    out = cut_lineage(nodes.select("id").join(out, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols]))
+    out = cut_lineage(nodes.select("id").join(out.hint("merge"), "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols]))
     scratch.drop()
     return out, {"values": values[:dim].tolist(), "residual": max(residual), "rounds": done}
