@@ -89,3 +89,37 @@ def test_axes_of_texts_are_found_on_the_stored_vectors(spark, monkeypatch):
     assert seen == [["doc_id", "features"]]  # without labels, which every pass would work out anew
     assert len(rows) == 30 and len({r["cluster_text"] for r in rows}) >= 2
     assert len({(r["doc_id"] % 2, r["cluster_text"]) for r in rows}) == len({r["cluster_text"] for r in rows})
+
+
+def test_cells_meet_few_centroids_and_lose_no_nearest():
+    rows = RNG.normal(size=(4000, 3)) * [5, 2, 1]
+    models = [rows[RNG.choice(4000, k, replace=False)] for k in (2, 9, 60)]
+    near, met = S._Nearest(models), 0
+    cells = S._cells(rows, 64)
+    assert sorted(np.concatenate(cells)) == list(range(4000)) and max(map(len, cells)) <= 64
+    sums = np.zeros((71, 4))
+    for c in cells:
+        at = near.candidates(rows[c])
+        met += len(at)
+        for first, m in zip(near.first, models):
+            label = ((rows[c][:, None, :] - m) ** 2).sum(2).argmin(1)
+            assert set(first + label) <= set(at)
+        assert near.add(rows[c], np.column_stack([np.ones(len(c)), rows[c]]), at, sums)
+    assert met < 0.4 * len(cells) * 71  # of all meetings of a cell and a centroid
+    for first, m in zip(near.first, models):
+        label = ((rows[:, None, :] - m) ** 2).sum(2).argmin(1)
+        assert np.allclose(sums[first:first + len(m), 0], np.bincount(label, minlength=len(m)))
+        assert np.allclose(sums[first:first + len(m), 1:], [rows[label == j].sum(0) for j in range(len(m))])
+
+
+def test_rows_stored_by_cells_give_the_same_models(spark, monkeypatch):
+    rows = [[float(v) for v in r] for r in RNG.normal(size=(500, 3))] + [[1.0, 1.0, 1.0]] * 200
+    df = spark.createDataFrame([(r,) for r in rows], "x array<double>").repartition(3)
+    held = S.in_cells(df, "x", np.array(rows[:300]), 4, 1)
+    assert sorted(r["x"] for r in held.collect()) == sorted(rows) and held.columns == ["x"]
+    plain, n = S.sweep(df, "x", range(2, 6), n_init=2)
+    monkeypatch.setattr(S, "MANY_CENTROIDS", 1)
+    placed, m = S.sweep(df, "x", range(2, 6), n_init=2)
+    assert n == m == 700
+    for k in plain:
+        assert np.allclose(plain[k].centroids, placed[k].centroids) and plain[k].scores == pytest.approx(placed[k].scores)
