@@ -71,7 +71,7 @@ def _marked(text: Column, names: int, keep: bool) -> Column:
 
 def canonical(text: Column, names: int = INSIDE) -> Column:
     """Array of canonical tokens."""
-    return F.array_remove(F.split(_marked(text, names, False), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"), "")
+    return F.array_remove(F.split(_marked(text, names, False), rf"[^a-z\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"), "")
 
 
 def surfaces(text: Column, names: int = INSIDE) -> Column:
@@ -84,45 +84,28 @@ def surfaces(text: Column, names: int = INSIDE) -> Column:
 
 def plain(text: Column) -> Column:
     """The same tokens as they are, in lower case."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z\p{L}\p{N}]+"), "")
 
 
 def _seed(mode: int, size: int) -> Column:
     return F.lit(mode * 1_000_000 + size)
 
 
-def _half(size: int) -> int:
-    """A window's hash is that of two windows of this size, at its start and at its end."""
-    return 1 << (size - 1).bit_length() - 1
+def _window_hash(span: Column, mode: int, size: int) -> Column:
+    """The hash of a window of ``size`` tokens."""
+    return F.xxhash64(span, _seed(mode, size))
 
 
 def _windows(df: DataFrame, sizes: list[int], mode: int, *keys: str) -> DataFrame:
     """keys, pos, h: every window of the given sizes over the tokens t."""
     def of(size):
-        rows, have = df.select(*keys, F.transform("t", lambda x: F.xxhash64(x, _seed(mode, size))).alias("g")), 1
-        while have < size:  # windows twice as long each time: a few hashes a token instead of ``size``
-            step = min(have, size - have)
-            left = F.greatest(F.size("g") - step, F.lit(0))
-            rows = rows.select(*keys, F.zip_with(F.slice("g", F.lit(1), left), F.slice("g", F.lit(step + 1), left),
-                                                 lambda x, y: F.xxhash64(x, y)).alias("g"))
-            have += step
-        # outer: for the inner form the planner repeats the hashes in a filter below it
-        return rows.select(*keys, F.posexplode_outer("g").alias("pos", "h"))
+        # outer: for the inner form the planner repeats the tokens in a filter below it
+        rows = df.select(*keys, "t", F.posexplode_outer("t").alias("pos", "_token")).where(F.col("pos") <= F.size("t") - size)
+        return rows.select(*keys, "pos", _window_hash(F.slice("t", F.col("pos") + 1, F.lit(size)), mode, size).alias("h"))
 
     return functools.reduce(DataFrame.unionByName, map(of, sizes))
 
 
-def _window_hash(span: str, mode: int, window: int) -> Column:
-    """What ``_windows`` gives for a window of at most ``window`` tokens."""
-    def tree(size, at, whole):
-        if size == 1:
-            return F.xxhash64(F.get(span, F.lit(at)), _seed(mode, whole))
-        half = _half(size)
-        return F.xxhash64(tree(half, at, whole), tree(half, at + size - half, whole))
-
-    return functools.reduce(lambda c, n: c.when(F.size(span) == n, tree(n, 0, n)), range(1, window + 1), F.when(F.lit(False), F.lit(0).cast("long")))
-
-
 def _tokens(text: Column, mode: int) -> Column:
     return plain(text) if mode == PLAIN else canonical(text, mode)
 
@@ -147,9 +130,11 @@ def _items(texts: DataFrame, window: int, min_literal: int, least: int, mode: in
     literal = F.size(F.filter("span", lambda x: ~x.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
     spans = spans.where(literal >= F.least(F.lit(min_literal), F.col("size")))
     each = Window.partitionBy("item_id")
+    hashed = functools.reduce(lambda c, n: c.when(F.size("span") == n, _window_hash(F.col("span"), mode, n)), range(1, window + 1),
+                              F.when(F.lit(False), F.lit(0).cast("long")))
     return spans.select(F.lit(mode).alias("mode"), "item_id", "size", "n", "item_pos",
                         _plain_size(F.slice("s", F.lit(1), F.col("item_pos"))).alias("lo"),
-                        _plain_size(F.slice("s", F.lit(1), F.col("item_pos") + F.col("size"))).alias("hi"), _window_hash("span", mode, window).alias("h"),
+                        _plain_size(F.slice("s", F.lit(1), F.col("item_pos") + F.col("size"))).alias("hi"), hashed.alias("h"),
                         F.row_number().over(each.orderBy("item_pos")).alias("rank"), F.count(F.lit(1)).over(each).alias("valid"))
 
 
