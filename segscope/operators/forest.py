@@ -5,7 +5,8 @@ Everything works on edge and component tables; a round is joins and map-side
 aggregates, and stored before the next one.
 
 *Forest* (Borůvka). In each round every component takes its least edge, by (weight, u, v),
-so that equal weights make no circle; the components these edges join are merged, and the
+so that equal weights make no circle but that of two components with one edge; the components
+these edges join are merged along them, in as many steps as the longest way has doublings, and the
 edges between what is left are contracted (of parallel ones the least stays). The number
 of rounds grows with the logarithm of the nodes.
 
@@ -31,6 +32,20 @@ from .components import components
 from .rank import ranked
 
 
+def tops(links: DataFrame, save) -> DataFrame:
+    """links (c, to): the one link of every node, where circles are of two nodes only -> (node, root), root being the smaller
+    of the two. Each round doubles the way of the links that have not reached their root; ``save`` stores a round."""
+    links = save(links)
+    on = links.select(F.col("c").alias("to"), F.col("to").alias("next"))
+    pair = F.col("next") == F.col("c")
+    now = save(links.join(on, "to").select("c", F.when(pair, F.least("c", "to")).otherwise(F.col("next")).alias("to"), pair.alias("there")))
+    while not now.where(~F.col("there")).isEmpty():
+        on = now.select(F.col("c").alias("to"), F.col("to").alias("next"), "there")
+        moved = now.where(~F.col("there")).select("c", "to").join(on, "to").select("c", F.col("next").alias("to"), "there")
+        now = save(now.where("there").unionByName(moved))
+    return now.select(F.col("c").alias("node"), F.col("to").alias("root"))
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """F6e: the edges (u, v, w) of a minimum spanning forest of the graph of ``edges`` (u, v, w); loops, and edges without
     an end or a weight are ignored; ends are ordered u < v."""
@@ -41,11 +56,12 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     least = lambda d: d.groupBy("a", "b").agg(F.min("e").alias("e"))
     now, found = scratch.save(least(now)), None
     while not now.isEmpty():
-        both = now.select(F.col("a").alias("c"), "e").unionByName(now.select(F.col("b").alias("c"), "e"))
-        taken = both.groupBy("c").agg(F.min("e").alias("e")).select("e").distinct()
-        taken = scratch.save(now.join(taken, "e").select("a", "b", "e"))
-        found = taken.select("e.u", "e.v", "e.w") if found is None else found.unionByName(taken.select("e.u", "e.v", "e.w"))
-        merged = scratch.save(components(taken.select(F.col("a").alias("u"), F.col("b").alias("v")), cut=scratch.save))
+        way = lambda c, to: now.select(F.col(c).alias("c"), F.struct("e", F.col(to).alias("to")).alias("way"))  # noqa: E731,B023
+        taken = way("a", "b").unionByName(way("b", "a")).groupBy("c").agg(F.min("way").alias("way"))
+        taken = scratch.save(taken.select("c", "way.to", "way.e"))
+        picked = taken.select("e.u", "e.v", "e.w").distinct()  # an edge may be the least of both its ends
+        found = picked if found is None else found.unionByName(picked)
+        merged = tops(taken.select("c", "to"), scratch.save)
         now = now.join(merged.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a") \
                  .join(merged.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         now = scratch.save(least(now.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "e")))

@@ -39,7 +39,7 @@ from .quality import as_array
 from .rank import top_n
 from .sweep import plus_plus, start_rows
 
-FIT_ROWS, PIECE_ROWS, ASK_ROWS, BLOCK_NUMBERS, TRIED = 4096, 1 << 15, 1 << 14, 1 << 21, 256
+FIT_ROWS, PIECE_ROWS, ASK_ROWS, BLOCK_NUMBERS, TRIED, PAIRS = 4096, 1 << 15, 1 << 14, 1 << 21, 256, 1 << 12
 _KEY = ["_c1", "_c2"]
 
 
@@ -65,21 +65,41 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
 
 
-def _route(cells, probe: int):
+def _route(cells, sample, probe: int, k: int):
+    """Kernel: per row the ``probe`` cells nearest to it, and ``far``: the squared distance that no sample row of these cells but the
+    k nearest ones falls short of. The k nearest of all rows of these cells are not beyond it."""
     def run(batches):
-        c = cells.value
+        c, s = cells.value, sample.value
         norm, most = (c * c).sum(1), min(probe, len(c))
+        among, own = norm - 2 * s @ c.T, (s * s).sum(1)
+        home = among.argmin(1)
+        if len(c) > 1:  # a sample row between two cells may be filed under either
+            two = np.partition(among, 1, axis=1)[:, :2]
+            sure = two[:, 1] - two[:, 0] > 1e-9 * (own + norm.max())
+            s, own, home = s[sure], own[sure], home[sure]
+        step = max(1, BLOCK_NUMBERS // (len(c) + len(s)))
         for b in batches:
             x = _matrix(b.column(1))
-            near = []
-            for at in range(0, len(x), max(1, BLOCK_NUMBERS // len(c))):
-                part = x[at:at + max(1, BLOCK_NUMBERS // len(c))]
+            near, far = [], []
+            for at in range(0, len(x), step):
+                part = x[at:at + step]
                 d = norm - 2 * part @ c.T
                 best = np.argpartition(d, most - 1, axis=1)[:, :most] if most < len(c) else np.tile(np.arange(len(c)), (len(part), 1))
                 near.append(np.take_along_axis(best, np.take_along_axis(d, best, 1).argsort(1, kind="stable"), 1))
+                far.append(np.full(len(part), np.inf))
+                if len(s) >= k:
+                    mine = (part * part).sum(1)
+                    slack = 1e-12 * (mine + own.max())
+                    d = own - 2 * part @ s.T + mine[:, None]
+                    d[~(d > slack[:, None])] = np.inf  # the row itself
+                    if most < len(c):
+                        seen = np.zeros((len(part), len(c)), bool)
+                        np.put_along_axis(seen, near[-1], True, 1)
+                        d[~seen[:, home]] = np.inf
+                    far[-1] = np.partition(d, k - 1, axis=1)[:, k - 1] + slack
             near = np.concatenate(near) if near else np.zeros((0, most), int)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))],
-                                             [*b.schema.names, "near"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())),
+                                              pa.array(np.concatenate([np.zeros(0), *far]))], [*b.schema.names, "near", "far"])
     return run
 
 
@@ -120,59 +140,68 @@ def probes_for(classes: DataFrame, cells: np.ndarray, rows: np.ndarray, k: int,
     return 1 + int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if needed else 1
 
 
+def _bounds(x: np.ndarray, a: np.ndarray, far: np.ndarray):
+    """Filed rows x, asking rows a and their limits -> (X, A, most, slack) in single precision: a pair whose squared distance is within
+    the limit has A @ X <= most, whatever the rounding; a product is at most 2 * slack below the true value less own."""
+    error = np.finfo(np.float32).eps * (x.shape[1] + 8)
+    middle = np.nan_to_num(x[np.isfinite(x).all(1)].mean(0)) if np.isfinite(x).all(1).any() else np.zeros(x.shape[1])
+    x, a = x - middle, a - middle
+    scale = max((np.abs(m[np.isfinite(m)]).max(initial=0.0) for m in (x, a))) or 1.0
+    x, a = x / scale, a / scale
+    norm, own = (x * x).sum(1), (a * a).sum(1)
+    most = far / scale / scale - own * (1 - error) + error * np.where(np.isfinite(far), far / scale / scale, 0.0) + 1e-30
+    return (np.column_stack([x, norm * (1 - 2 * error)]).astype(np.float32), np.column_stack([-2 * a, np.ones(len(a))]).astype(np.float32),
+            np.nextafter(most.astype(np.float32), np.float32(np.inf)), error * (own + 2 * norm.max(initial=0.0)))
+
+
 def _nearest(k: int):
-    """Kernel of one piece: filed rows and asking rows -> per asking row the k nearest filed ones."""
-    def best_of(d: np.ndarray, ids: np.ndarray, most: int):
-        order = np.lexsort((ids, d), axis=-1)[..., :most]
-        return np.take_along_axis(d, order, -1), np.take_along_axis(ids, order, -1)
-
-    def search(x, ids, a, asking):
-        """Rows a against filed rows x -> (dist, cid), k columns at most."""
-        norm, own = (x * x).sum(1), (a * a).sum(1)
-        some = min(len(ids), k + 9)  # a row itself may be among them, and a few for rounding
-        for at in range(0, len(a), max(1, BLOCK_NUMBERS // len(x))):
-            part, mine = a[at:at + max(1, BLOCK_NUMBERS // len(x))], asking[at:at + max(1, BLOCK_NUMBERS // len(x))]
-            d = norm - 2 * part @ x.T
-            d[mine[:, None] == ids] = np.inf
-            cut = np.argpartition(d, some - 1, axis=1)[:, :some] if some < len(ids) else np.tile(np.arange(len(ids)), (len(part), 1))
-            rough = np.take_along_axis(d, cut, 1)
-            exact = np.sqrt(((part[:, None, :] - x[cut]) ** 2).sum(2))
-            exact[~np.isfinite(rough)] = np.inf
-            near, who = best_of(exact, ids[cut], k)
-            # where rounding or ties may hide a nearer one: all rows up to the farthest candidate, measured
-            slack = 1e-9 * (own[at:at + len(part)] + norm.max() + 1)
-            last = np.where(np.isfinite(rough), rough, -np.inf).max(1)
-            kth = near[:, min(k, near.shape[1]) - 1] ** 2 - own[at:at + len(part)]
-            for i in np.flatnonzero((some < len(ids)) & (last <= kth + slack)):
-                wide = np.flatnonzero(d[i] <= kth[i] + slack[i])
-                e = np.sqrt(((part[i] - x[wide]) ** 2).sum(1))
-                near[i], who[i] = best_of(e, ids[wide], k)
-            yield at, near, who
+    """Kernel of one piece: filed rows and asking rows -> per asking row the k nearest filed ones. Products in single precision
+    rule out the pairs beyond a row's limit; the distances of the few that are left are measured."""
+    def best_of(owner, dist, cid):
+        order = np.lexsort((cid, dist, owner))
+        owner = owner[order]
+        best = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+        return owner[best], dist[order[best]], cid[order[best]]
+
+    def search(x, ids, a, asking, flat, most, slack):
+        """One cell's rows x and those that ask it -> (row of a, dist, cid)."""
+        low = flat[1] @ flat[0].T
+        hit = np.flatnonzero(low <= most[:, None])
+        if len(hit) > 8 * k * len(a) and k < len(ids):  # limits too wide to rule out much: the k nearest of this cell set them
+            low[asking[:, None] == ids] = np.inf
+            most = np.fmin(most, np.partition(low, k - 1, axis=1)[:, k - 1] + 2 * slack.astype(np.float32))
+            hit = np.flatnonzero(low <= most[:, None])
+        row, col = np.divmod(hit, len(ids))
+        dist = np.concatenate([np.zeros(0), *(np.sqrt(((a[row[i:i + PAIRS]] - x[col[i:i + PAIRS]]) ** 2).sum(1)) for i in range(0, len(row), PAIRS))])
+        found = np.isfinite(dist) & (asking[row] != ids[col])
+        return row[found], dist[found], ids[col[found]]
 
     def run(filed: pa.Table, asks: pa.Table) -> pa.Table:
         ids, home, asking = filed["cid"].to_numpy(), filed["home"].to_numpy(), asks["asking"].to_numpy()
-        owner, dist, cid = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        out = [(np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64))]
         if len(ids) and len(asking):
-            x, a = _matrix(filed["x"]), _matrix(asks["ax"])
-            looks = asks["looks"].combine_chunks()
-            row = np.repeat(np.arange(len(a)), pc.list_value_length(looks).to_numpy(zero_copy_only=False))
-            cell = looks.flatten().to_numpy(zero_copy_only=False)
-            by_cell, by_home = cell.argsort(kind="stable"), home.argsort(kind="stable")
-            cell, row, home = cell[by_cell], row[by_cell], home[by_home]
-            for c in np.intersect1d(home, cell):
-                here = by_home[np.searchsorted(home, c):np.searchsorted(home, c, side="right")]
-                who = row[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
-                for at, d, q in search(x[here], ids[here], a[who], asking[who]):
-                    found = np.isfinite(d)
-                    owner.append(np.repeat(who[at:at + len(d)], found.sum(1)))
-                    dist.append(d[found])
-                    cid.append(q[found])
-        owner, dist, cid = map(np.concatenate, (owner, dist, cid))
-        order = np.lexsort((cid, dist, owner))
-        owner = owner[order]
-        best = order[np.arange(len(owner)) - np.searchsorted(owner, owner) < k]  # the k nearest of each row
-        found, n = np.unique(owner[np.arange(len(owner)) - np.searchsorted(owner, owner) < k], return_counts=True)
-        near = pa.StructArray.from_arrays([pa.array(dist[best], pa.float64()), pa.array(cid[best], pa.int64())], ["dist", "cid"])
+            by_home = home.argsort(kind="stable")
+            ids, home = ids[by_home], home[by_home]
+            x, a = _matrix(filed["x"])[by_home], _matrix(asks["ax"])
+            far = asks["far"].to_numpy() if "far" in asks.column_names else np.full(len(a), np.inf)
+            with np.errstate(all="ignore"):
+                flat_x, flat_a, most, slack = _bounds(x, a, far)
+                looks = asks["looks"].combine_chunks()
+                row = np.repeat(np.arange(len(a)), pc.list_value_length(looks).to_numpy(zero_copy_only=False))
+                cell = looks.flatten().to_numpy(zero_copy_only=False)
+                by_cell = cell.argsort(kind="stable")
+                cell, row = cell[by_cell], row[by_cell]
+                for c in np.intersect1d(home, cell):
+                    here = slice(np.searchsorted(home, c), np.searchsorted(home, c, side="right"))
+                    who = row[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
+                    step = max(1, BLOCK_NUMBERS // (here.stop - here.start))
+                    for at in range(0, len(who), step):
+                        w = who[at:at + step]
+                        r, d, q = search(x[here], ids[here], a[w], asking[w], (flat_x[here], flat_a[w]), most[w], slack[w])
+                        out.append(best_of(w[r], d, q) if len(r) > 2 * k * len(w) else (w[r], d, q))
+        owner, dist, cid = best_of(*map(np.concatenate, zip(*out)))
+        found, n = np.unique(owner, return_counts=True)
+        near = pa.StructArray.from_arrays([pa.array(dist, pa.float64()), pa.array(cid, pa.int64())], ["dist", "cid"])
         return pa.table([pa.array(asking[found], pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]), pa.int32()), near)],
                         names=["cid", "near"])
     return run
@@ -186,12 +215,12 @@ def _class_neighbors(scratch: Scratch, classes: DataFrame, k: int, cells: int |
     fitted, area = fit_cells(rows, cells or max(1, min(FIT_ROWS // 8, round(n ** 0.5))), seed)
     probe = probe or probes_for(classes, fitted, rows, k, recall)
     sent = spark.sparkContext.broadcast(fitted)
-    schema = f"cid long, x {classes.schema['x'].dataType.simpleString()}, near array<int>"
-    routed = scratch.save(classes.select("cid", "x").mapInArrow(_route(sent, probe), schema))
+    schema = f"cid long, x {classes.schema['x'].dataType.simpleString()}, near array<int>, far double"
+    routed = scratch.save(classes.select("cid", "x").mapInArrow(_route(sent, spark.sparkContext.broadcast(rows), probe, k), schema))
     area_of = lambda c: F.element_at(F.array(*map(F.lit, area)), c + 1)
     filed = routed.select("cid", "x", F.col("near")[0].alias("home")).withColumn("area", area_of(F.col("home")))
     # of each row the areas it looks into
-    asks = routed.select(F.col("cid"), "x", "near", F.explode(F.array_distinct(F.transform("near", area_of))).alias("area"))
+    asks = routed.select(F.col("cid"), "x", "near", "far", F.explode(F.array_distinct(F.transform("near", area_of))).alias("area"))
     load = filed.groupBy("area").agg(F.count(F.lit(1)).alias("filed")).join(
         asks.groupBy("area").agg(F.count(F.lit(1)).alias("asks")), "area")  # as many rows as areas
     plan = F.broadcast(load.select("area", *[F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int").alias(o)
@@ -200,7 +229,7 @@ def _class_neighbors(scratch: Scratch, classes: DataFrame, k: int, cells: int |
     part = lambda of, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(of)).cast("int")
     filed = filed.join(plan, "area").select("cid", "x", "home", "area", part("pieces", 1).alias("piece"), each("splits").alias("split"))
     looks = F.filter("near", lambda c: area_of(c) == F.col("area"))
-    asks = asks.join(plan, "area").select(F.col("cid").alias("asking"), F.col("x").alias("ax"), looks.alias("looks"), "area",
+    asks = asks.join(plan, "area").select(F.col("cid").alias("asking"), F.col("x").alias("ax"), looks.alias("looks"), "far", "area",
                                           part("splits", 2).alias("split"), each("pieces").alias("piece"))
     keys = ["area", "piece", "split"]
     found = filed.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(_nearest(k), "cid long, near array<struct<dist:double,cid:long>>")

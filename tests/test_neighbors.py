@@ -220,3 +220,52 @@ def test_layout_rounds_send_no_table_of_nodes_to_all(spark, monkeypatch):
     graph = spark.createDataFrame([(i, (i + 1) % 12, 1.0 + i % 3) for i in range(12)], "u long, v long, weight double")
     GL.spectral_layout(spark.range(12).select("id"), graph, 2, rounds=2)
     assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_limits_of_the_index_lose_no_neighbor_and_rule_out_most_pairs(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+    rng = np.random.default_rng(8)
+    x = (1000 + rng.standard_normal((3000, 8))).astype(np.float32)
+    cells = np.float64(x[:12])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(list(x), pa.list_(pa.float32()))], ["cid", "x"])
+    out = next(N._route(SimpleNamespace(value=cells), SimpleNamespace(value=np.float64(x[:600])), 7, 5)([rows])).to_pydict()
+    home = np.array([n[0] for n in out["near"]])
+    measured, sqrt = [], np.sqrt
+    monkeypatch.setattr(N.np, "sqrt", lambda v: (measured.append(len(v)), sqrt(v))[1])
+    filed = pa.table({"cid": out["cid"], "x": rows["x"], "home": pa.array(home, pa.int32())})
+    asks = pa.table({"asking": rows["cid"], "ax": rows["x"], "looks": pa.array(out["near"], pa.list_(pa.int32())), "far": out["far"]})
+    got = N._nearest(5)(filed, asks).to_pylist()
+    monkeypatch.undo()
+    assert sum(measured) < 0.05 * 3000 * 3000
+    for i in range(0, 3000, 7):
+        d = np.sqrt(((np.float64(x) - np.float64(x[i])) ** 2).sum(1))
+        d[~np.isin(home, out["near"][i])] = np.inf
+        d[i] = np.inf
+        assert d[np.argsort(d, kind="stable")[4]] ** 2 <= out["far"][i]
+        assert [e["cid"] for e in got[i]["near"]] == list(np.argsort(d, kind="stable")[:5])
+
+
+def test_a_row_is_not_its_own_neighbor_beside_an_infinite_one():
+    import pyarrow as pa
+    x = [[float(i % 3), 0.0] for i in range(60)] + [[float("inf"), 1.0]]
+    filed = pa.table({"cid": pa.array(range(61), pa.int64()), "x": pa.array(x), "home": pa.array([0] * 61, pa.int32())})
+    asks = pa.table({"asking": filed["cid"], "ax": filed["x"], "looks": pa.array([[0]] * 61, pa.list_(pa.int32()))})
+    out = {r["cid"]: [e["cid"] for e in r["near"]] for r in N._nearest(4)(filed, asks).to_pylist()}
+    assert sorted(out) == list(range(60))
+    assert all(out[i] == [j for j in range(i % 3, 60, 3) if j != i][:4] for i in out)
+
+
+def test_a_long_chain_is_merged_in_few_steps(spark, monkeypatch):
+    edges = [(i, i + 1, 200.0 - i) for i in range(200)]
+    saved = []
+
+    class Counted(FO.Scratch):
+        def save(self, df):
+            saved.append(1)
+            return super().save(df)
+
+    monkeypatch.setattr(FO, "Scratch", Counted)
+    got = FO.spanning_forest(spark.createDataFrame(edges, "u long, v long, w double"))
+    assert sorted(tuple(r) for r in got.collect()) == edges
+    assert len(saved) <= 13  # one round: its edges, the least of each, the links, nine doublings at most, what is left
