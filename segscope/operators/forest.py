@@ -12,7 +12,8 @@ of rounds grows with the logarithm of the nodes.
 
 *Hierarchy.* The components at any threshold are those of the forest. The ladder holds all
 distinct weights while there are no more than ``levels``, else that many quantiles of
-them. From the finest threshold up, components are merged once per level; each has a row
+them. The components of all levels are found together, an edge of the forest taking part in
+every level from its own up; each has a row
 (level, component, parent in the next coarser level, size). From the coarsest down, a
 component of at least ``min_cluster_size`` rows stays the cluster of its parent while it
 is the only such child, and starts a cluster where there are several. The stability of a
@@ -94,27 +95,24 @@ def density_tree(nodes: DataFrame, forest: DataFrame, levels: int = 32, scratch:
     its rows, parent that of the component that holds it in the next level (none in the last). Second: the thresholds."""
     save = (scratch or Scratch(nodes.sparkSession, "tree")).save
     steps = ladder(forest, levels)
-    left = save(forest.select(F.col("u").alias("a"), F.col("v").alias("b"), "w"))
-    comps = save(nodes.select(F.col("id").alias("comp"), F.lit(1).cast("long").alias("size")))
-    tables = []
-    for level, eps in enumerate(steps):
-        merged = components(left.where(F.col("w") <= eps).select(F.col("a").alias("u"), F.col("b").alias("v")), cut=save)
-        merged = save(merged)
-        up = comps.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("comp", "size", F.coalesce("root", "comp").alias("parent"))
-        if level:
-            tables.append(save(up.select(F.lit(level - 1).alias("level"), "comp", "parent", "size")))
-        else:
-            tables.append(save(up.select(F.lit(-1).alias("level"), "comp", "parent", "size")))  # rows as they are: apart
-        comps = save(tables[-1].groupBy("parent").agg(F.sum("size").alias("size")).withColumnRenamed("parent", "comp"))
-        back = lambda c: merged.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731,B023
-        left = left.where(F.col("w") > eps)
-        left = save(left.join(back("a"), "a", "left").join(back("b"), "b", "left").select(
-            F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "w"))
-    tables.append(comps.select(F.lit(len(steps) - 1).alias("level"), "comp", F.lit(None).cast("long").alias("parent"), "size"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out, steps
+    top = len(steps) - 1
+    if not steps:
+        return save(nodes.select(F.lit(-1).alias("level"), F.col("id").alias("comp"), F.lit(None).cast("long").alias("parent"),
+                                 F.lit(1).cast("long").alias("size"))), steps
+    # an edge is in every level from the first whose threshold it does not pass; all levels are merged at once
+    first = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s < F.col("w")))
+    edges = forest.select("u", "v", first.alias("from")).where(F.col("from") <= top)
+    edges = edges.select("u", "v", F.explode(F.sequence("from", F.lit(top))).alias("level"))
+    merged = save(components(edges, cut=save, by=["level"]))
+    root = merged.select("level", F.col("node").alias("comp"), "root")
+    every = nodes.select(F.col("id").alias("comp"), F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    comps = every.join(root, ["level", "comp"], "left").select("level", F.coalesce("root", "comp").alias("comp")) \
+                 .groupBy("level", "comp").agg(F.count(F.lit(1)).alias("size"))
+    comps = comps.unionByName(nodes.select(F.lit(-1).alias("level"), F.col("id").alias("comp"), F.lit(1).cast("long").alias("size")))  # rows as they are
+    up = root.withColumn("level", F.col("level") - 1)
+    tree = comps.join(up, ["level", "comp"], "left").select(
+        "level", "comp", F.when(F.col("level") < top, F.coalesce("root", "comp")).alias("parent"), "size")
+    return save(tree, by=("level",)), steps
 
 
 def select_eom(tree: DataFrame, steps: list[float], min_cluster_size: int, allow_single: bool = False,

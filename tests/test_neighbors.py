@@ -269,3 +269,39 @@ def test_a_long_chain_is_merged_in_few_steps(spark, monkeypatch):
     got = FO.spanning_forest(spark.createDataFrame(edges, "u long, v long, w double"))
     assert sorted(tuple(r) for r in got.collect()) == edges
     assert len(saved) <= 13  # one round: its edges, the least of each, the links, nine doublings at most, what is left
+
+
+def test_levels_of_the_tree_are_merged_at_once(spark, monkeypatch):
+    """Sixteen levels against union-find, a repeated and a null node, an edge that leaves the nodes; few tables whatever the levels."""
+    rng = np.random.default_rng(4)
+    edges = [(int(rng.integers(0, i)), i, float(rng.integers(1, 40))) for i in range(1, 120)] + [(119, 500, 3.0)]
+    ids = [*range(130), 7, None]
+    saved = []
+
+    class Counted(FO.Scratch):
+        def save(self, df, **how):
+            saved.append(1)
+            return super().save(df, **how)
+
+    monkeypatch.setattr(FO, "Scratch", Counted)
+    tree, steps = FO.density_tree(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "u long, v long, w double"), 50)
+    assert len(steps) > 16 and len(saved) < len(steps)
+
+    def roots(eps):
+        root = {}
+        for u, v, w in edges:
+            if w <= eps:
+                a, b = root.setdefault(u, u), root.setdefault(v, v)
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+        return root
+
+    label = [roots(s) for s in steps]
+    want = [(-1, i, label[0].get(i, i), 1) for i in ids]
+    for at, found in enumerate(label):
+        comps = [found.get(i, i) for i in ids]
+        up = (lambda c: label[at + 1].get(c, c)) if at + 1 < len(steps) else (lambda c: None)  # noqa: B023
+        want += [(at, c, up(c), comps.count(c)) for c in set(comps)]
+    key = lambda r: tuple((v is not None, v or 0) for v in r)
+    assert sorted((tuple(r) for r in tree.select("level", "comp", "parent", "size").collect()), key=key) == sorted(want, key=key)
+    lone, none = FO.density_tree(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([], "u long, v long, w double"))
+    assert none == [] and sorted(tuple(r) for r in lone.collect()) == [(-1, 1, None, 1), (-1, 2, None, 1)]
